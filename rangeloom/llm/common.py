@@ -1,0 +1,80 @@
+"""What the operators share: the shared folder, tables written to it, word rules, small-table joins."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A word is a run of anything but these six characters.
+WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]+"
+
+#: A small side of at most so many rows may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own; on a cluster the
+    setting is required, because executors don't see each other's disks.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="rangeloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/rangeloom/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: computed once, lineage cut,
+    and still readable when an executor is lost."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def n_words(text: Column) -> Column:
+    """Number of words, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def remainder(doc_id: Column, by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
+
+
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
+    """Left join of ``big`` to a small table on ``keys`` (compared null-safe).
+
+    ``small`` is broadcast if a count shows at most ``BROADCAST_ROWS`` rows. Beyond that each of its
+    rows is repeated for ``salts`` values and both sides are shuffled by key and salt, so that a key
+    with a third of all rows is spread over ``salts`` tasks. ``spread``: what picks a row's salt.
+    """
+    right = small
+    for k in keys:
+        right = right.withColumnRenamed(k, f"__r_{k}")
+    on = [big[k].eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = big.join(F.broadcast(right), on, "left")
+    else:
+        left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on = [left[k].eqNullSafe(F.col(f"__r_{k}")) for k in keys] + [F.col("__salt") == F.col("__r_salt")]
+        out = left.join(right, on, "left").drop("__salt", "__r_salt")
+    return out.drop(*[f"__r_{k}" for k in keys])
