@@ -49,6 +49,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with at least this share of the rows counts as hot; there can't be more than 1 / HOT of them.
+HOT = 1 / 4096
+
+
+def counted_join(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the struct ``v`` of the other columns of ``values``: one row a key, whose column
+    ``n`` counts the key's ``rows``, of which there are ``total``.
+
+    Rows of hot keys stay where they are and get their values by broadcast, of at most 1 / ``HOT``
+    rows whatever the input; the others are joined by shuffle, where no key is large.
+    """
+    hot = F.col(n) >= max(2.0, total * HOT)
+    v = F.struct(*[c for c in values.columns if c != key])
+    met = rows.join(F.broadcast(values.where(hot).select(key, v.alias("__h"))), key, "left")
+    cool = met.where("__h IS NULL").drop("__h").join(values.where(~hot).select(key, v.alias("v")), key)
+    return cool.unionByName(met.where("__h IS NOT NULL").withColumnRenamed("__h", "v"))
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -64,7 +82,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column
 
     ``small`` is broadcast if a count shows at most ``BROADCAST_ROWS`` rows. Beyond that each of its
     rows is repeated for ``salts`` values and both sides are shuffled by key and salt, so that a key
-    with a third of all rows is spread over ``salts`` tasks. ``spread``: what picks a row's salt.
+    with a third of all rows is spread over ``salts`` tasks (1: no key is large). ``spread``: what
+    picks a row's salt.
     """
     right = small
     for k in keys:
@@ -72,6 +91,8 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column
     on = [big[k].eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         out = big.join(F.broadcast(right), on, "left")
+    elif salts == 1:
+        out = big.join(right, on, "left")
     else:
         left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
         right = right.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

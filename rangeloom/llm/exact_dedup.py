@@ -17,12 +17,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import BLANKS, new_path, stored
+from rangeloom.llm.common import BLANKS, counted_join, new_path, stored
 
 BUCKETS = 64
-#: A digest with at least this share of the rows is joined by broadcast. There can't be more than
-#: 1 / HOT of them, whatever the input.
-HOT = 1 / 4096
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -74,13 +71,7 @@ class DigestIndex:
         known = self.table().select("digest", "keep_id", F.when(F.col("batch") == batch, F.col("keep_rid")).alias("keep_rid"))
         verdict = groups.select("digest", "group_size").join(known.hint("merge"), "digest")
         total = groups.agg(F.sum("group_size")).first()[0] or 0
-        hot = F.col("group_size") >= max(2.0, total * HOT)
-        # A hot digest's rows stay where they are: its verdict (one of at most 1 / HOT) is broadcast.
-        few = F.broadcast(verdict.where(hot).select("digest", F.struct("keep_id", "keep_rid", "group_size").alias("h")))
-        rest = verdict.where(~hot).select("digest", F.struct("keep_id", "keep_rid", "group_size").alias("c"))
-        met = rows.join(few, "digest", "left")
-        cool = met.where("h IS NULL").drop("h").join(rest, "digest").withColumnRenamed("c", "v")
-        both = cool.unionByName(met.where("h IS NOT NULL").withColumnRenamed("h", "v"))
+        both = counted_join(rows, verdict, "digest", "group_size", total)
         return both.select("doc_id", "v.keep_id", "v.group_size", F.coalesce(F.col("rid") == F.col("v.keep_rid"), F.lit(False)).alias("kept"), "rid", "digest")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import exact_dedup
+from rangeloom.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_pareto_mix": mixing.op1,
+    "op7_simhash_groups": simhash.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op9_shard_interleave": sharding.op9,
 }
 
 #: Where SQL can't express a query, tests hold it against a brute-force version instead.
