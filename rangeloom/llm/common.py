@@ -99,3 +99,25 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Column
         on = [left[k].eqNullSafe(F.col(f"__r_{k}")) for k in keys] + [F.col("__salt") == F.col("__r_salt")]
         out = left.join(right, on, "left").drop("__salt", "__r_salt")
     return out.drop(*[f"__r_{k}" for k in keys])
+
+
+def spread_of(*cols: Column | str) -> Column:
+    """A number in [0, 1) that only the row's values decide; for samples that come out alike on each run."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
+def sampled(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows of each value of ``by`` (all if there are fewer), with ``rate``, the share kept.
+
+    A bounded sample to fit a classifier on. Rows are chosen by the hash of doc_id, so no value's rows meet in a task.
+    """
+    rates = rows.groupBy(by).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("rate"))
+    met = small_join(rows, stored(rates, "rates"), [by], F.col("doc_id"))
+    return met.where(spread_of(F.lit(seed), "doc_id") < F.col("rate"))
+
+
+def marked(labels: DataFrame, name: str, held_out: Column) -> DataFrame:
+    """(doc_id, y): one 0/1 label a document, without held-out documents; of several labels the largest
+    counts, nulls and other values don't."""
+    y = F.col(name).cast("int")
+    return labels.where(~held_out & F.col("doc_id").isNotNull() & y.isin(0, 1)).groupBy("doc_id").agg(F.max(y).alias("y"))
