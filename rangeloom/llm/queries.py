@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import exact_dedup, mixing, sharding, simhash
+from rangeloom.llm import exact_dedup, language, mixing, sharding, simhash, toxicity, trees
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
+    "op2_nnpu_toxicity": toxicity.op2,
+    "op4_kneser_ney_language": language.op4,
     "op7_simhash_groups": simhash.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_shard_interleave": sharding.op9,
+    "op10_boosted_rules": trees.op10,
 }
 
 #: Where SQL can't express a query, tests hold it against a brute-force version instead.

@@ -7,7 +7,7 @@ second part does, its gradient is stepped back instead. Labels "not toxic" are u
 alone, unless the prior is given.
 
 Features are words and word beginnings (4 to 7 letters) that positives have more often than
-unlabelled text, each with the logarithm of its number of different words; ``CLASSIFIERS`` linear
+unlabelled text, each with the logarithm of its occurrences; ``CLASSIFIERS`` linear
 classifiers, each on its own half of the unlabelled sample, are averaged. Training sees a bounded
 sample (``POSITIVES``, ``UNLABELLED`` documents, ``FEATURES`` features); scoring every whole text.
 
@@ -18,6 +18,7 @@ rows score alike; only doc_id, text and the labels' doc_id and toxic are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,9 +32,11 @@ from rangeloom.llm.arrow import by_batch
 from rangeloom.llm.common import marked, remainder, spread_of, stored
 
 POSITIVES, UNLABELLED = 4000, 8000
-CANDIDATES, FEATURES, CLASSIFIERS = 40_000, 3000, 3
+CANDIDATES, FEATURES, CLASSIFIERS = 40_000, 1500, 3
 WORDS = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 4, 7
+#: Words at which an occurrence counts half.
+SCALE = 500
 
 
 def _features(text: str | None) -> Iterator[str]:
@@ -51,18 +54,21 @@ class Lexicon:
         self.at = {f: k for k, f in enumerate(features)}
         self.starts = {f[:SHORT] for f in features}
 
-    def counts(self, text: str | None) -> dict[int, int]:
+    def values(self, text: str | None) -> dict[int, float]:
+        """Value by feature: the logarithm of 1 + its occurrences, those of long texts scaled down."""
         found: dict[int, int] = {}
         at, starts = self.at, self.starts
-        for w in set(WORDS.findall((text or "").lower())):
-            if w[:SHORT] in starts or len(w) < SHORT:
+        words = WORDS.findall((text or "").lower())
+        for w in words:
+            if w[:SHORT] in starts:
                 for f in (w, *(w[:n] + "*" for n in range(SHORT, min(LONG, len(w) - 1) + 1))):
                     if (k := at.get(f)) is not None:
                         found[k] = found.get(k, 0) + 1
-        return found
+        scale = SCALE / (SCALE + len(words))
+        return {k: math.log1p(n * scale) for k, n in found.items()}
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, part: int = 2000) -> np.ndarray:
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: int = 1000, rate: float = 0.1, decay: float = 3e-5, part: int = 1000) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier with the logistic loss, by Adam over batches of ``part`` rows of each kind."""
     random = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
@@ -92,10 +98,10 @@ class Model:
             return np.zeros(len(texts))
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            found = self.lexicon.counts(t)
+            found = self.lexicon.values(t)
             z = self.weights[:, -1]
             if found:
-                z = z + self.weights[:, list(found)] @ np.log1p(np.fromiter(found.values(), float))
+                z = z + self.weights[:, list(found)] @ np.fromiter(found.values(), float)
             out[i] = (1 / (1 + np.exp(-z))).mean()
         return out
 
@@ -141,17 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | Non
     lexicon = Lexicon(features)
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [lexicon.counts(t) for t in batch.column("text").to_pylist()]
+        found = [lexicon.values(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("p"), batch.column("u"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))],
-            ["doc_id", "p", "u", "k", "n"],
+            [batch.column("doc_id"), batch.column("p"), batch.column("u"), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))],
+            ["doc_id", "p", "u", "k", "v"],
         )
 
-    rows = by_batch(texts.select(F.col("doc_id").cast("long"), "p", "u", "text"), sparse, "doc_id long, p boolean, u boolean, k array<int>, n array<int>").toPandas()
+    rows = by_batch(texts.select(F.col("doc_id").cast("long"), "p", "u", "text"), sparse, "doc_id long, p boolean, u boolean, k array<int>, v array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.zeros((len(rows), len(features)), np.float32)
-    for i, (k, c) in enumerate(zip(rows["k"], rows["n"], strict=True)):
-        x[i, np.asarray(k, int)] = np.log1p(np.asarray(c, float))
+    for i, (k, c) in enumerate(zip(rows["k"], rows["v"], strict=True)):
+        x[i, np.asarray(k, int)] = np.asarray(c, float)
     xp, xu = x[rows["p"].to_numpy()], x[rows["u"].to_numpy()]
     weights = []
     for k in range(CLASSIFIERS):
