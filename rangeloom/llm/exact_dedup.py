@@ -95,11 +95,17 @@ FROM d
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns; needs the same row order on each read, so
-    ``docs`` is matched by (doc_id, digest) and only one row of equal ones is let through."""
-    names = docs.columns
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
+    """The rows of ``docs`` that stay, with all its columns.
+
+    Rows are found again by id and digest; where several rows have both alike, one of them is taken.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    verdict = stored(exact_dedup(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "kept"), "verdict")
+    alike = verdict.groupBy("__id", "__d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, " ")
     mine = docs.withColumn("__d", F.unhex(F.sha2(text, 256)))
-    on = mine["doc_id"].eqNullSafe(verdict["__id"]) & (mine["__d"] == verdict["__d"])
-    return mine.join(verdict, on, "left_semi").dropDuplicates(["doc_id", "__d"]).select(*[F.col(f"`{c}`") for c in names])
+    stays = verdict.where("kept")
+    out = mine.join(stays, mine["doc_id"].eqNullSafe(stays["__id"]) & (mine["__d"] == stays["__d"]), "left_semi")
+    if not alike.isEmpty():
+        out = out.dropDuplicates(["doc_id", "__d"])
+    return out.select(*names)

@@ -32,7 +32,7 @@ from rangeloom.llm.common import BLANKS, n_words, stored
 CAPACITY = 4096
 GROUP = 20_000
 #: Slots that all sources share by their documents' number, one each at least.
-SLOTS = 32
+SLOTS = 48
 SCHEMA = "doc_id long, piece int, bin_id long, start int, length int, offset int"
 
 

@@ -200,6 +200,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) ->
     return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select("doc_id", "fp", "v.component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The document of each group whose id names it, with all columns of ``docs``.
+
+    Rows that share both id and group are one document and stay or go together.
+    """
+    named = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
