@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import exact_dedup, factorisation, language, mixing, packing, sharding, simhash, toxicity, trees
+from rangeloom.llm import exact_dedup, factorisation, language, mixing, packing, recurrent, sharding, simhash, toxicity, trees
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_conflict_best_fit": packing.op3,
     "op4_kneser_ney_language": language.op4,
     "op5_factorisation_quality": factorisation.op5,
+    "op6_recurrent_scoring": recurrent.op6,
     "op7_simhash_groups": simhash.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_shard_interleave": sharding.op9,
