@@ -1,4 +1,5 @@
 """All queries of the engine and the SQL that states what each returns."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from rangeloom.queries import ORACLE_SQL, QUERIES, lists, maps, products, reductions
+
+__all__ = ["ORACLE_SQL", "QUERIES", "lists", "maps", "products", "reductions"]

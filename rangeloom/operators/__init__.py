@@ -1 +1 @@
-
+"""Collections and what is done with them."""

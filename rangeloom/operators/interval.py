@@ -1,0 +1,66 @@
+"""Joins of indices with ranges, by block: equi-joins instead of comparing each index with each range."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: A side of at most so many rows, as a count shows, may be broadcast.
+SMALL = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def blocks(ranges: DataFrame, width: int) -> DataFrame:
+    """Each range once for each block of ``width`` indices that it meets."""
+    return ranges.where("start < stop").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+
+
+def block_width(ranges: DataFrame) -> int:
+    """The mean length of the ranges, so that each meets few blocks and blocks meet few ranges."""
+    row = ranges.agg(F.sum(F.col("stop") - F.col("start")), F.count(F.lit(1))).first()
+    return max(1, -(-(row[0] or 1) // max(row[1], 1)))
+
+
+def range_join(rows: DataFrame, ranges: DataFrame, idx: str = "idx", how: str = "inner", width: int | None = None) -> DataFrame:
+    """Each row with each range (start, stop, ...) that holds its index; ``how``: inner, left, left_semi or left_anti."""
+    width = width or block_width(ranges)
+    right = blocks(ranges, width)
+    if small(ranges):
+        right = F.broadcast(right)
+    left = rows.withColumn("block", F.floor(F.col(idx) / width))
+    on = (left["block"] == right["block"]) & (left[idx] >= right["start"]) & (left[idx] < right["stop"])
+    out = left.join(right, on, how)
+    return out.drop(left["block"]) if how in ("left_semi", "left_anti") else out.drop(left["block"]).drop(right["block"])
+
+
+def floor_join(rows: DataFrame, marks: DataFrame, idx: str = "idx", mark: str = "start", width: int | None = None) -> DataFrame:
+    """Each row with ``marks``' row of the greatest ``mark`` at or below its index (columns null if none).
+
+    Rows and marks are dealt by block of ``width`` indices; the last mark before each block is
+    carried into it by a scan over blocks that have marks, so no task sees more than a block.
+    """
+    rest = [c for c in marks.columns if c != mark]
+    if width is None:
+        row = marks.agg(F.min(mark), F.max(mark), F.count(F.lit(1))).first()
+        width = max(1, ((row[1] or 0) - (row[0] or 0) + 1) * 64 // max(row[2], 1))
+    payload = F.struct(F.col(mark).alias("__at"), *rest)
+    marked = marks.select(F.floor(F.col(mark) / width).alias("__block"), F.col(mark).alias("__key"), payload.alias("__mark"))
+    keyed = rows.withColumn("__block", F.floor(F.col(idx) / width))
+    # What each block of rows starts with: the last mark of the latest block before it. One row a block.
+    lasts = marked.groupBy("__block").agg(F.max_by("__mark", "__key").alias("__mark"))
+    wanted = keyed.select("__block").distinct()
+    line = lasts.select("__block", "__mark").unionByName(wanted.select("__block", F.lit(None).alias("__mark")), allowMissingColumns=True)
+    line = line.groupBy("__block").agg(F.max("__mark").alias("__mark"))
+    order = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = line.select("__block", F.last("__mark", ignorenulls=True).over(order).alias("__carried"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    both = keyed.select("__block", F.col(idx).alias("__key"), F.struct(*names).alias("__row"), F.lit(None).alias("__mark")).unionByName(
+        marked.select("__block", "__key", F.lit(None).alias("__row"), "__mark"), allowMissingColumns=True
+    )
+    inside = Window.partitionBy("__block").orderBy("__key", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__m", F.last("__mark", ignorenulls=True).over(inside)).where("__row IS NOT NULL")
+    found = found.join(carried, "__block", "left").withColumn("__m", F.coalesce("__m", "__carried"))
+    return found.select("__row.*", F.col("__m.__at").alias(mark), *[F.col(f"__m.{c}").alias(c) for c in rest])

@@ -1 +1 @@
-
+"""Sessions, row errors and event logs."""

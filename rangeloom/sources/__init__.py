@@ -1 +1 @@
-
+"""Tables as collections."""

@@ -1 +1 @@
-
+"""Streams into collections."""
