@@ -168,7 +168,8 @@ def check_disjoint(ranges: DataFrame) -> DataFrame:
     before = F.max("stop").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
     same = F.lag("start").over(Window.orderBy("start", "stop"))
     clash = (before > F.col("start")) | ((same == F.col("start")) & (F.col("start") == F.col("stop")))
-    return ranges.withColumn("__clash", clash).where(F.when(F.col("__clash"), F.raise_error(F.lit("ranges overlap"))).isNull() | F.lit(True)).drop("__clash")
+    checked = ranges.withColumn("__ok", F.assert_true(~F.coalesce(clash, F.lit(False)), "ranges overlap"))
+    return checked.where(F.col("__ok").isNull()).drop("__ok")
 
 
 def overlapping(ranges: DataFrame, start: int, stop: int) -> DataFrame:

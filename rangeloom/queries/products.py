@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import LongRange, SquareRange
@@ -12,9 +12,11 @@ from rangeloom.operators.indexed import IndexedFrame
 from rangeloom.operators.product import Product
 from rangeloom.queries import money, query
 from rangeloom.queries.lists import suppliers
-from rangeloom.sources.tables import indexed, table
+from rangeloom.sources.tables import table
 
-N, ONE = F.count(F.lit(1)), F.lit(1)
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> IndexedFrame:
@@ -23,13 +25,13 @@ def parts(spark: SparkSession, sf_dir: str) -> IndexedFrame:
 
 @query("SELECT count(*) AS n, CAST(sum(s.s_suppkey * p.p_size) AS BIGINT) AS total FROM supplier s CROSS JOIN part p")
 def product_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).product(parts(spark, sf_dir)).reduce(n=N, total=F.sum(F.col("i") * F.col("r_p_size")))
+    return suppliers(spark, sf_dir).product(parts(spark, sf_dir)).reduce(n=rows(), total=F.sum(F.col("i") * F.col("r_p_size")))
 
 
 @query("SELECT count(*) AS n, CAST(sum(a.p_size * b.p_size) AS BIGINT) AS total FROM part a JOIN part b ON a.p_partkey < b.p_partkey")
 def product_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = parts(spark, sf_dir)
-    return x.combination().reduce(n=N, total=F.sum((F.col("l_p_size") * F.col("r_p_size")).cast("long")))
+    return x.combination().reduce(n=rows(), total=F.sum((F.col("l_p_size") * F.col("r_p_size")).cast("long")))
 
 
 @query("SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_acctbal AS l_s_acctbal, b.s_acctbal AS r_s_acctbal FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey < 20")
@@ -42,17 +44,17 @@ def combination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, CAST(sum(a.s_suppkey * 1000 + b.s_suppkey) AS BIGINT) AS total FROM supplier a JOIN supplier b ON b.s_suppkey >= a.s_suppkey + 1 - 3")
 def product_triangle_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = suppliers(spark, sf_dir)
-    return Product.triangle(x, x, shift=3).split(4, 3).reduce(n=N, total=F.sum(F.col("i") * 1000 + F.col("j")))
+    return Product.triangle(x, x, shift=3).split(4, 3).reduce(n=rows(), total=F.sum(F.col("i") * 1000 + F.col("j")))
 
 
 @query("SELECT a.s_suppkey AS i, count(*) AS n, max(b.s_acctbal) AS top FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey >= 5 AND a.s_suppkey < 60 GROUP BY 1")
 def product_per_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).combination().reduce_outer(LongRange(5, 60), n=N, top=F.max("r_s_acctbal"))
+    return suppliers(spark, sf_dir).combination().reduce_outer(LongRange(5, 60), n=rows(), top=F.max("r_s_acctbal"))
 
 
 @query("SELECT b.s_suppkey AS j, count(*) AS n, min(a.s_acctbal) AS low FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey GROUP BY 1")
 def product_per_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).combination().reduce_inner(n=N, low=F.min("l_s_acctbal"))
+    return suppliers(spark, sf_dir).combination().reduce_inner(n=rows(), low=F.min("l_s_acctbal"))
 
 
 @query("""
@@ -60,7 +62,7 @@ WITH a AS (SELECT s_suppkey AS i, CAST(ntile(3) OVER (ORDER BY s_suppkey) - 1 AS
 SELECT ti, tj, count(*) AS n, CAST(sum(i * j) AS BIGINT) AS total FROM a JOIN b ON i < j GROUP BY ti, tj""")
 def product_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = suppliers(spark, sf_dir)
-    return x.combination().split(3, 5).reduce_tiles(n=N, total=F.sum(F.col("i") * F.col("j")))
+    return x.combination().split(3, 5).reduce_tiles(n=rows(), total=F.sum(F.col("i") * F.col("j")))
 
 
 @query("SELECT a.s_suppkey AS i, p_partkey AS j, a.s_acctbal AS balance, p_size AS size FROM supplier a CROSS JOIN part WHERE a.s_suppkey >= 3 AND a.s_suppkey < 9 AND p_partkey >= 10 AND p_partkey < 40")
@@ -86,7 +88,7 @@ def product_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT how, CAST((SELECT count(*) * (count(*) - 1) // 2 FROM supplier) AS BIGINT) AS n FROM (VALUES ('block'), ('cyclic'), ('random')) t(how)")
 def product_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = suppliers(spark, sf_dir).combination().split(4, 4)
-    each = [p.dealt(3, how, seed=42).groupBy("part").agg(N.alias("n")).agg(F.lit(how).alias("how"), F.sum("n").alias("n")) for how in ("block", "cyclic", "random")]
+    each = [p.dealt(3, how, seed=42).groupBy("part").agg(rows().alias("n")).agg(F.lit(how).alias("how"), F.sum("n").alias("n")) for how in ("block", "cyclic", "random")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
@@ -140,12 +142,12 @@ def square_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id, count(*) AS n, max(size) AS longest FROM {TALKS} WHERE conv_id >= 10 AND conv_id < 60 GROUP BY conv_id")
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return talks(spark, sf_dir).reduce_rows(LongRange(10, 60), n=N, longest=F.max("size"))
+    return talks(spark, sf_dir).reduce_rows(LongRange(10, 60), n=rows(), longest=F.max("size"))
 
 
 @query(f"SELECT turn, count(*) AS n, CAST(sum(size) AS BIGINT) AS total FROM {TALKS} GROUP BY turn")
 def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return talks(spark, sf_dir).reduce_columns(n=N, total=F.sum("size"))
+    return talks(spark, sf_dir).reduce_columns(n=rows(), total=F.sum("size"))
 
 
 @query(f"SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM {TALKS} WHERE conv_id < 50 GROUP BY conv_id")
@@ -179,12 +181,12 @@ WITH c AS (SELECT i, j, i * 100 + j AS v, CAST(i // 4 AS INTEGER) AS ti, CAST(j
 SELECT ti, tj, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM c GROUP BY ti, tj""")
 def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GridFrame.generate(spark, SquareRange(LongRange(0, 12), LongRange(0, 9)), v=F.col("i") * 100 + F.col("j"))
-    return g.with_tile(3, 3).groupBy("ti", "tj").agg(N.alias("n"), F.sum("v").alias("total"))
+    return g.with_tile(3, 3).groupBy("ti", "tj").agg(rows().alias("n"), F.sum("v").alias("total"))
 
 
 @query("SELECT i, j, 1 AS v FROM range(0, 4) a(i), range(0, 4) b(j) UNION ALL SELECT i, j, 2 FROM range(10, 13) a(i), range(2, 5) b(j)")
 def tiled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = GridFrame.generate(spark, SquareRange(LongRange(0, 4), LongRange(0, 4)), v=ONE)
+    a = GridFrame.generate(spark, SquareRange(LongRange(0, 4), LongRange(0, 4)), v=F.lit(1))
     b = GridFrame.generate(spark, SquareRange(LongRange(10, 13), LongRange(2, 5)), v=F.lit(2))
     c = GridFrame.generate(spark, SquareRange(LongRange(20, 22), LongRange(2, 5)), v=F.lit(3))
     return TiledGrid(a.df, [a.square]).add(b).add(c).remove(c.square).df
@@ -201,5 +203,3 @@ def product_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = suppliers(spark, sf_dir).product(parts(spark, sf_dir)).sub_view(SquareRange(LongRange(0, 8), LongRange(0, 8)))
     return view.to_grid(v=F.col("l_s_acctbal") * F.col("r_p_size")).df
 
-
-__all__ = ["indexed", "money"]

@@ -1,0 +1,246 @@
+"""Collections against plain Python, on small frames; results must not depend on partitions or tiles."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rangeloom import BagFrame, FoldReducer, GridFrame, IndexedFrame, KeyedFrame, LongRange, OverlapError, Product, RangedKeyedFrame, RangeSet, SquareRange, TiledGrid, accept, prefix_sum, reduce_with, reduction, scatter
+from rangeloom.operators import rangeset
+from rangeloom.operators.interval import floor_join, range_join
+from rangeloom.operators.keyed import MultiMap
+from rangeloom.operators.reduce import exact_product, fold, team_reduction, top_k
+
+VALUES = [-5, -1, 5, 2, 4, -5, -4, 5]
+
+
+@pytest.fixture(scope="module")
+def eight(spark):
+    return IndexedFrame.from_values(spark, LongRange(0, 8), VALUES, kind="int")
+
+
+@pytest.mark.parametrize("kind", ["short", "int", "long", "float", "double"])
+def test_typed_reductions(eight, kind):
+    v = F.col("value").cast(kind)
+    row = eight.reduce(s=reduction("sum", v, kind), p=reduction("prod", v, kind), hi=reduction("max", v, kind), lo=reduction("min", v, kind)).first()
+    assert (row.s, row.p, row.hi, row.lo) == (1, 20000, 5, -5)
+    assert dict(eight.reduce(hi=reduction("max", v, kind)).dtypes)["hi"] == {"short": "smallint", "long": "bigint"}.get(kind, kind)
+
+
+def test_bool_and_identities(eight):
+    v = F.col("value")
+    row = eight.reduce(a=reduction("and", v > -9), b=reduction("and", v > 0), c=reduction("or", v > 4), d=reduction("or", v > 5)).first()
+    assert tuple(row) == (True, False, True, False)
+    none = eight.slice(LongRange(100, 200))
+    row = none.reduce(a=reduction("and", v > 0), o=reduction("or", v > 0), s=reduction("sum", v, "int"), p=reduction("prod", v, "int"), m=reduction("max", v, "short"), f=reduction("max", v, "float"), c=reduction("max", v.cast("double"), "double", compat=True)).first()
+    assert tuple(row)[:5] == (True, False, 0, 1, -32768) and row.f == float("-inf") and row.c == 5e-324
+
+
+def test_wrapping_and_products(spark, eight):
+    big = IndexedFrame.from_values(spark, LongRange(0, 3), [2**31 - 1, 5, -2], kind="long")
+    assert big.reduce(w=reduction("sum", "value", "int", wrap=True)).first().w == -(2**31) + 2
+    assert exact_product(eight.df, "value") == 20000
+    assert exact_product(IndexedFrame.from_values(spark, LongRange(0, 4), [3**20, 3**20, 7, None], kind="long").df, "value") == (3**40 * 7 + 2**63) % 2**64 - 2**63
+
+
+def test_nan_never_wins(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (-2.0,), (None,)], "v double")
+    assert tuple(df.agg(reduction("max", "v", "double"), reduction("min", "v", "double")).first()) == (1.0, -2.0)
+
+
+def test_user_reducer_on_any_partitioning(eight):
+    top3 = FoldReducer(list, lambda s, r: sorted([*s, r["value"]])[:3], lambda a, b: sorted(a + b)[:3])
+    for n in (1, 3, 9):
+        assert reduce_with(eight.df.repartition(n), top3, "value", fan_in=2) == [-5, -5, -4]
+    assert [r.value for r in top_k(eight.df, 3, "value", "idx").collect()] == [-5, -5, -4]
+
+
+def test_ordered_fold(spark, eight):
+    out = fold(eight.df.repartition(3), F.lit(0), lambda a, x: a * 2 + x["value"], "value").first().result
+    want = 0
+    for v in VALUES:
+        want = want * 2 + v
+    assert out == want
+    assert team_reduction(eight.df, eight.reduce(m=F.max("value"))).where("m = 5").count() == 8
+
+
+def test_list_access(spark, eight):
+    assert eight.get(3).value == 2 and eight.set(3, value=9).get(3).value == 9
+    with pytest.raises(IndexError):
+        eight.get(8)
+    with pytest.raises(IndexError):
+        eight.set(8, value=1)
+    assert [r.value for r in eight.iterate(LongRange(2, 6), start=4, reverse=True)] == [4, 2, 5]
+    assert eight.slice(LongRange(20, 30)).size() == 0
+    assert eight.sub_list(LongRange(6, 30)).ranges == [LongRange(6, 8)]
+    with pytest.raises(IndexError):
+        eight.sub_list(LongRange(20, 30))
+    with pytest.raises(ValueError):
+        IndexedFrame.from_values(spark, LongRange(0, 2), [1])
+    assert eight.contains("value", 2) and not eight.contains("value", None)
+    null = IndexedFrame.empty(spark, LongRange(0, 3), n="int")
+    assert null.contains("n", None) and null.size() == 3
+    assert eight.equals(eight.update(value=F.col("value") + 0)) and not eight.equals(eight.slice(LongRange(0, 7)))
+    assert null.equals(IndexedFrame.empty(spark, LongRange(0, 3), n="int"))
+
+
+def test_chunks(spark):
+    make = lambda a, b: IndexedFrame.generate(spark, LongRange(a, b), n=F.col("idx"))
+    x = make(0, 3).add(make(3, 5)).add(make(5, 6))
+    assert x.ranges == [LongRange(0, 3), LongRange(3, 5), LongRange(5, 6)] and x.num_chunks == 3
+    with pytest.raises(OverlapError):
+        x.add(make(4, 9))
+    assert x.contains_range(LongRange(1, 6)) and not x.contains_range(LongRange(5, 7)) and x.contains_chunk(LongRange(3, 5))
+    assert {r.start: r.s for r in x.reduce_chunks(s=F.sum("n")).collect()} == {0: 3, 3: 7, 5: 5}
+    assert x.filter_chunks(F.col("s") > 4, s=F.sum("n")).ranges == [LongRange(3, 5), LongRange(5, 6)]
+    assert x.remove(LongRange(3, 5)).size() == 4
+    assert [[r.idx for r in p.to_list()] for p in x.separate(4)] == [[0, 1], [2, 3], [4], [5]]
+    assert x.split_chunks(LongRange(1, 4)).ranges == [LongRange(1, 3), LongRange(3, 4)]
+    assert [p.ranges for p in x.split_at(1, 4)] == [[LongRange(0, 1)], [LongRange(1, 3)], [LongRange(3, 4)], [LongRange(4, 5)], [LongRange(5, 6)]]
+    loose = IndexedFrame(x.df.where("idx != 3"))
+    assert loose.ranges == [LongRange(0, 3), LongRange(4, 6)]
+    assert [(r.start, r.stop) for r in IndexedFrame(x.df.where("idx != 3")).runs(2).collect()] == [(0, 3), (4, 6)]
+    parts = {(r.part, r.n) for r in x.with_part(4).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert parts == {(0, 2), (1, 2), (2, 1), (3, 1)}
+
+
+def test_zip_and_bag(spark, eight):
+    other = IndexedFrame.generate(spark, LongRange(2, 20), w=F.col("idx") * 10)
+    zipped = eight.zip_map(other, LongRange(0, 5), s=F.col("value") + F.col("r1_w"))
+    assert [r.s for r in zipped.to_list()] == [25, 32, 44]
+    assert eight.zip_fold(other, d=F.sum(F.col("value") * F.col("r1_w"))).first().d == sum(VALUES[i] * i * 10 for i in range(2, 8))
+    assert [r.value for r in eight.setup_from(other, within=LongRange(2, 4), value=F.col("r1_w").cast("int")).to_list()] == [-5, -1, 20, 30, 4, -5, -4, 5]
+    flat = eight.to_bag(F.array(F.when(F.col("value") > 0, F.struct("value")), F.struct((F.col("value") * 2).alias("value"))))
+    assert sorted(r.value for r in flat.df.collect()) == sorted([v for v in VALUES if v > 0] + [2 * v for v in VALUES])
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_prefix_sum(spark, width):
+    rng = random.Random(42)
+    values = {i: rng.randrange(1000) for r in (LongRange(0, 100), LongRange(100, 200), LongRange(260, 400)) for i in r}
+    df = spark.createDataFrame(list(values.items()), "idx long, value int").repartition(3)
+    got = {r.idx: r.prefix for r in prefix_sum(df, "idx", F.col("value"), width=width).collect()}
+    total, want = 0, {}
+    for i in sorted(values):
+        total += values[i]
+        want[i] = total
+    assert got == want
+
+
+def test_bags(spark):
+    b = BagFrame.of_lists(spark, [[0, 1, 2], [3, 4], [5]])
+    assert (b.size(), b.list_count(), b.reduce(s=F.sum("value")).first().s) == (6, 3, 15)
+    both = b.add(BagFrame.of_lists(spark, [[7, None]]))
+    assert (both.list_count(), both.size()) == (4, 8) and both.contains("value", None) and not b.contains("value", None)
+    taken, rest = both.remove(3)
+    assert (taken.count(), rest.size()) == (3, 5)
+    assert sum(p.size() for p in both.separate(3)) == 8
+    assert sorted(r["count"] for r in both.with_part(3, "value", "list_id").groupBy("part").count().collect()) == [2, 3, 3]
+    assert b.reduce_lists({"s": F.sum("value")}, {"m": F.max("s")}).first().m == 7
+    assert b.contains_all(spark.createDataFrame([(1,), (5,)], "v long"), "value") and not b.contains_all(spark.createDataFrame([(9,)], "v long"), "value")
+
+
+def test_maps(spark):
+    m = KeyedFrame(spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "key string, value int"))
+    assert m.get("z") is None and m.set_default(value=F.length("key")).get("zz").value == 2
+    assert m.put("a", value=7).get("a").value == 7 and m.put("n", value=None).contains_key("n") and m.size() == 3
+    assert not m.remove("a").contains_key("a") and m.contains_value("value", None)
+    looked = m.set_default(value=F.lit(-1)).lookup(spark.createDataFrame([("a",), ("q",), ("c",)], "key string"))
+    assert {r.key: r.value for r in looked.collect()} == {"a": 1, "q": -1, "c": None}
+    r = RangedKeyedFrame(spark.createDataFrame([], "key long, value long")).add_range(LongRange(0, 3), value=F.col("key")).add_range(LongRange(5, 9))
+    assert (r.size(), r.count()) == (7, 3)
+    with pytest.raises(OverlapError):
+        r.add_range(LongRange(2, 4))
+    more = r.put_all(spark.createDataFrame([(6, 60), (1, 10)], "key long, value long"))
+    assert sorted((x.key, x.value) for x in more.df.collect()) == [(0, 0), (1, 10), (2, 2), (6, 60)]
+    with pytest.raises(Exception, match="no range holds key 4"):
+        r.put_all(spark.createDataFrame([(4, 1)], "key long, value long")).df.collect()
+    removed, left = more.remove_range(LongRange(5, 9))
+    assert (removed.count(), left.size()) == (1, 3)
+    assert more.split(LongRange(1, 7)).ranges == [LongRange(1, 3), LongRange(5, 7)]
+    multi = MultiMap(spark.createDataFrame([("x", 2), ("x", 1), ("y", 3)], "key string, value int"))
+    assert {r.key: r["values"] for r in multi.grouped().collect()} == {"x": [1, 2], "y": [3]} and multi.size() == 2
+
+
+@pytest.mark.parametrize("tiles", [(1, 1), (2, 2), (3, 5), (7, 3)])
+@pytest.mark.parametrize("shift", [None, 0, 3])
+def test_products(spark, tiles, shift):
+    x = IndexedFrame.generate(spark, LongRange(10, 20), v=F.col("idx"))
+    p = (x.product(x) if shift is None else Product.triangle(x, x, shift)).split(*tiles)
+    want = {(i, j) for i in range(10, 20) for j in range(10, 20) if shift is None or j >= i + 1 - shift}
+    assert {(r.i, r.j) for r in p.pairs().collect()} == want and p.size() == len(want) == p.square.size
+    assert {r.i: r.n for r in p.reduce_outer(LongRange(12, 15), n=F.count("*")).collect()} == {i: n for i in (12, 13, 14) if (n := sum(1 for a, _ in want if a == i))}
+    acc = {r.idx: r.delta for r in p.scatter((F.col("i"), F.col("r_v")), (F.col("j"), F.col("l_v"))).collect()}
+    assert acc == {k: s for k in range(10, 20) if (s := sum(j for i, j in want if i == k) + sum(i for i, j in want if j == k))}
+
+
+def test_product_parts(spark):
+    a = IndexedFrame.generate(spark, LongRange(1, 10), v=F.col("idx") + 10)
+    b = IndexedFrame.generate(spark, LongRange(2, 10), v=F.col("idx") + 20)
+    p = a.product(b)
+    r = p.get(3, 5)
+    assert (r.l_v, r.r_v) == (13, 25)
+    with pytest.raises(IndexError):
+        p.get(3, 1)
+    t = Product.triangle(a, b)
+    assert t.size() == 36 and t.inner_pairs(4).count() == 5 and t.outer_pairs(4).count() == 3
+    view = t.sub_view(SquareRange(LongRange(1, 3), LongRange(4, 6)))
+    assert view.size() == 4
+    for how in ("block", "cyclic", "random"):
+        assert p.split(3, 3).dealt(4, how).count() == 72
+
+
+def test_grids(spark):
+    square = SquareRange(LongRange(0, 4), LongRange(0, 3))
+    g = GridFrame.generate(spark, square, value=F.col("i") * 10 + F.col("j"))
+    assert g.get(2, 1).value == 21 and g.set(2, 1, value=-1).get(2, 1).value == -1
+    with pytest.raises(IndexError):
+        g.set(4, 0, value=1)
+    assert {r.i: r["values"] for r in g.row_lists("value").collect()}[2] == [20, 21, 22]
+    assert {r.j: r["values"] for r in g.column_lists("value").collect()}[1] == [1, 11, 21, 31]
+    near = {(r.i, r.j): r.s for r in g.siblings("value", s=lambda v, di, dj: F.sum(v)).collect()}
+    for i in range(4):
+        for j in range(3):
+            assert near[i, j] == sum(a * 10 + b for a in range(i - 1, i + 2) for b in range(j - 1, j + 2) if 0 <= a < 4 and 0 <= b < 3)
+    assert g.view(SquareRange(LongRange(1, 9), LongRange(1, 2))).size() == 3
+    assert g.equals(GridFrame.from_values(spark, square, [i * 10 + j for i in range(4) for j in range(3)]))
+    other = GridFrame.generate(spark, SquareRange(LongRange(3, 5), LongRange(2, 4)), value=F.lit(0).cast("long"))
+    with pytest.raises(ValueError):
+        TiledGrid(g.df, [square]).add(other)
+    tiled = TiledGrid(g.df, [square]).add(GridFrame.generate(spark, SquareRange(LongRange(9, 10), LongRange(0, 2)), value=F.lit(0).cast("long")))
+    assert tiled.size() == 14 and tiled.contains_index(9, 1) and not tiled.contains_index(5, 0)
+
+
+def test_scatter_and_accept(spark, eight):
+    acc = scatter(eight.df, (F.when(F.col("value") > 0, F.lit(3)), F.col("value")), (F.col("idx") % 2, F.lit(1)))
+    assert {r.idx: r.delta for r in acc.collect()} == {3: 16, 0: 4, 1: 4}
+    out = accept(eight, acc, value=(F.col("value") + F.col("acc_delta")).cast("int"))
+    assert [r.value for r in out.to_list()] == [-1, 3, 5, 18, 4, -5, -4, 5]
+
+
+def test_range_joins(spark):
+    rng = random.Random(1)
+    ranges = [(a, a + rng.randrange(0, 30)) for a in (rng.randrange(300) for _ in range(40))]
+    rdf = spark.createDataFrame(ranges, "start long, stop long")
+    rows = spark.range(0, 330).withColumnRenamed("id", "idx")
+    for width in (1, 8, 100):
+        got = sorted((r.idx, r.start, r.stop) for r in range_join(rows, rdf, width=width).collect())
+        assert got == sorted((i, a, b) for i in range(330) for a, b in ranges if a <= i < b)
+        anti = {r.idx for r in range_join(rows, rdf, how="left_anti", width=width).collect()}
+        assert anti == {i for i in range(330) if not any(a <= i < b for a, b in ranges)}
+        marks = spark.createDataFrame([(m, str(m)) for m in (5, 90, 91, 300)], "start long, name string")
+        found = {r.idx: (r.start, r.name) for r in floor_join(rows, marks, width=width).collect()}
+        want = {i: max((m for m in (5, 90, 91, 300) if m <= i), default=None) for i in range(330)}
+        assert found == {i: (m, None if m is None else str(m)) for i, m in want.items()}
+    a, b = RangeSet([LongRange(0, 10), LongRange(15, 20)]), RangeSet([LongRange(5, 17)])
+    assert sorted(tuple(r) for r in rangeset.intersect(a.frame(spark), b.frame(spark), 4).collect()) == [(5, 10), (15, 17)]
+    assert rangeset.check_disjoint(a.frame(spark)).count() == 2
+    with pytest.raises(Exception, match="overlap"):
+        rangeset.check_disjoint(spark.createDataFrame([(0, 5), (3, 7)], "start long, stop long")).collect()
+
+
+def test_storage(spark, eight, tmp_path):
+    eight.write(str(tmp_path / "x"))
+    assert IndexedFrame.read(spark, str(tmp_path / "x")).equals(eight)
