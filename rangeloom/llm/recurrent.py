@@ -40,7 +40,9 @@ from rangeloom.llm.common import remainder, spread_of, stored
 
 HEAD, WIDTH, BANDS = 1024, 32, 48
 STATE = 16
-CHUNK = 1_000_000
+CHUNK = 3_000_000
+#: Words that a worker trains on or scores at once.
+POOL = 2_000_000
 ROUNDS, SLICES = 4, 16
 WINDOW, LANES = 32, 256
 RATE, UPDATES = 0.02, 100
@@ -382,7 +384,7 @@ def _round(start: np.ndarray, rate: float):
             lists = batch.column(0)
             docs += [np.asarray(x) for x in lists.to_numpy(zero_copy_only=False)]
             size = sum(map(len, docs))
-            if size >= 4 * CHUNK:
+            if size >= 2 * POOL:
                 step()
                 docs, size = [], 0
         step()
@@ -431,7 +433,7 @@ def score(codes: DataFrame, counts: Counts, net: Network) -> DataFrame:
             docs += [np.asarray(x) for x in batch.column("codes").to_numpy(zero_copy_only=False)]
             pool.append(batch.drop_columns(["codes"]))
             size += int(sum(map(len, docs[-batch.num_rows :])))
-            if size >= 2 * CHUNK:
+            if size >= POOL:
                 yield flush()
                 pool, docs, size = [], [], 0
         if docs:
