@@ -33,12 +33,13 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
     slim = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32"))
-    slim = stored(slim.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "text_crc32", "size")), "slim")
+    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text_crc32", "size"), 1)
+    slim = stored(slim.withColumn("h", shuffled), "slim")
     total = slim.count()
     ranges = max(16, -(-total // range_rows))
 
     # Rank within the source.
-    slim = slim.withColumn("hr", F.shiftrightunsigned("h", 32) * ranges / F.lit(1 << 32)).withColumn("hr", F.floor("hr").cast("int"))
+    slim = slim.withColumn("hr", F.shiftright(F.shiftright("h", 31) * ranges, 32).cast("int"))
     counts = slim.groupBy("source", "hr").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source")
     starts = counts.select(

@@ -18,7 +18,7 @@ shared by at most 65 fingerprints. Copies of a text have one fingerprint and are
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like others; rows with
 the same id are separate rows with the same component if their texts link; null ids are never a
-component's name unless it has no other; an empty table gives an empty result.
+component's name unless it has no other (then its name is null); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.arrow import by_batch
@@ -67,14 +67,19 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def mark(text: Column) -> Column:
+    """A hash of the text that tells rows with the same id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row of ``docs`` (doc_id, text); ``fp`` is the fingerprint as a signed long."""
+    """(doc_id, mark, fp) of each row of ``docs`` (doc_id, text); ``fp`` is the fingerprint as a signed long."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(made.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), "text"), of, "doc_id long, fp long")
+    return by_batch(docs.select(F.col("doc_id").cast("long"), mark(F.col("text")).alias("mark"), "text"), of, "doc_id long, mark long, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -188,7 +193,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD)
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, mark, fp, root, component_id) of each row of ``docs`` (doc_id, text); ``root`` is a fingerprint of the component."""
     rows = stored(fingerprints(docs), "fingerprints")
     groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(near_links(groups.select("fp"), radius, spread))
@@ -196,17 +201,20 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) ->
     rooted = stored(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
     total = groups.agg(F.sum("n"), F.count(F.lit(1))).first()
-    by_fp = counted_join(rooted, stored(named, "named"), "root", "fps", total[1]).select("fp", "n", "v.component_id")
-    return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select("doc_id", "fp", "v.component_id")
+    by_fp = counted_join(rooted, stored(named, "named"), "root", "fps", total[1]).select("fp", "n", "root", "v.component_id")
+    return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select("doc_id", "mark", "fp", "v.root", "v.component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each group whose id names it, with all columns of ``docs``.
-
-    Rows that share both id and group are one document and stay or go together.
-    """
-    named = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+    """One row of each group, with all columns of ``docs``: the one whose id names the group; of several
+    such rows one of those with the smallest mark."""
+    rows = stored(near_groups(docs), "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = rows.groupBy("root").agg(F.min(F.struct("mark", "doc_id")).alias("r"), F.count(F.lit(1)).alias("n"))
+    named = stored(named.select(F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__m"), "n"), "named")
+    mine = docs.withColumn("__mark", mark(F.col("text")))
+    out = mine.join(named, mine["doc_id"].eqNullSafe(named["__id"]) & (mine["__mark"] == named["__m"]), "left_semi")
+    if not named.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__mark"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,0 +1,44 @@
+from __future__ import annotations
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, kept string, shard string, bin_id string, component_id string"
+OTHER = ("x",) * 6
+LONG = " ".join(f"w{k % 977}" for k in range(60_000)) + " the end"
+
+
+def rows():
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, columns with clashing names."""
+    base = [
+        (1, "the cat sat on the mat and the dog sat on the log", "en", "a", 50),
+        (2, "the cat sat on the mat and the dog sat on the log", "en", "a", 50),
+        (2, "the cat sat on the mat and the dog sat on the log", "en", "a", 50),
+        (3, "The  cat sat on the\tmat and the dog sat on the log", "en", None, 52),
+        (4, None, "en", "b", None),
+        (5, "", None, "b", 0),
+        (6, " \n\t ", "fr", "b", 4),
+        (7, LONG, "en", "a", len(LONG)),
+        (8, "le chat est sur le tapis et le chien est sur la route", "fr", "c", 54),
+        (9, "one", "en", "c", 3),
+        (None, "le chat est sur le tapis", "fr", None, 24),
+        (None, None, None, None, None),
+        (-4, "12345 !!! ??? 999", "fr", "c", 17),
+        (10, "ein Hund läuft über die Straße   und bellt 😀", "de", "a", 48),
+    ]
+    return [(*r, *OTHER) for r in base]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def labels(spark):
+    values = [(1, 1, 0), (2, 0, 1), (2, None, 0), (3, 1, None), (4, 0, 1), (None, 1, 1), (7, 1, 0), (9, 7, 9), (10, 1, 1), (8, 0, 0)]
+    return spark.createDataFrame(values, "doc_id long, quality int, toxic int")
