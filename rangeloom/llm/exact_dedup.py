@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import BLANKS, counted_join, new_path, stored
 
-BUCKETS = 64
+#: Buckets of an index at least, and rows that a bucket is made for.
+BUCKETS, BUCKET_ROWS = 64, 4_000_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -76,9 +77,11 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "0") -> DataFrame:
-    """``docs`` against ``index`` (default: a new, empty one); see :meth:`DigestIndex.add`."""
+    """``docs`` against ``index`` (default: a new, empty one, with buckets for as many rows); see :meth:`DigestIndex.add`."""
     spark = docs.sparkSession
-    return (index or DigestIndex(spark, new_path(spark, "index"))).add(docs.select("doc_id", "text"), batch)
+    if index is None:
+        index = DigestIndex(spark, new_path(spark, "index"), max(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
+    return index.add(docs.select("doc_id", "text"), batch)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
