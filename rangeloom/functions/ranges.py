@@ -6,6 +6,7 @@ pushes into the scan.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -199,10 +200,18 @@ class SquareRange:
         return rows.select(i, F.explode(F.sequence(F.col("__low"), F.lit(self.inner.stop - 1).cast("long"))).alias(j))
 
 
-def split_squares(parts: int, squares: list[SquareRange]) -> list[list[SquareRange]]:
-    """Tiles dealt to ``parts`` lists of near-equal length, in order."""
-    cuts = [cut_point(0, len(squares), parts, k) for k in range(parts + 1)]
-    return [squares[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+def split_squares(parts: int, squares: list[SquareRange], seed: int | None = None) -> list[list[SquareRange]]:
+    """Tiles dealt to ``parts`` lists of near-equal length, in order or shuffled by a seed."""
+    own = list(squares)
+    if seed is not None:
+        random.Random(seed).shuffle(own)
+    cuts = [cut_point(0, len(own), parts, k) for k in range(parts + 1)]
+    return [own[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def split_two_levels(hosts: int, workers: int, squares: list[SquareRange], seed: int | None = None) -> list[list[list[SquareRange]]]:
+    """Tiles dealt to hosts, and each host's to its workers."""
+    return [split_squares(workers, own) for own in split_squares(hosts, squares, seed)]
 
 
 # ---- columns ----------------------------------------------------------------------------------

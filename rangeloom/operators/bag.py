@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import part_of
@@ -68,26 +68,31 @@ class BagFrame:
         return out.agg(*[c.alias(k) for k, c in final.items()]) if final else out
 
     def remove(self, n: int = 1) -> tuple[DataFrame, BagFrame]:
-        """Any ``n`` rows, and the bag without them. A row that occurs several times loses one occurrence for each taken."""
-        taken = self.df.limit(n)
+        """Some ``n`` rows, the same ones whenever it is worked out, and the bag without them. A row that
+        occurs several times loses one occurrence for each taken."""
+        taken = self.df.orderBy(F.xxhash64(*self.df.columns), *self.df.columns).limit(n)
         return taken, BagFrame(self.df.exceptAll(taken))
 
+    def with_part(self, parts: int, *order: str, name: str = "part", blocks: int = 4096) -> DataFrame:
+        """Rows with a part, sizes at most one apart.
+
+        Rows are dealt to hash blocks, blocks are counted and get their first position from a scan over
+        the counts, and rows are numbered inside their block; so rows that agree in all columns of
+        ``order`` (default: all columns) are the only ones whose places may change between runs.
+        """
+        by = order or tuple(self.df.columns)
+        keyed = self.df.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(blocks)))
+        counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+        before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+        numbered = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*by)))
+        met = numbered.join(F.broadcast(starts), "__b")  # at most ``blocks`` rows
+        return met.withColumn(name, part_of(F.col("__s") + F.col("__rn") - 1, F.col("__n"), parts)).drop("__b", "__rn", "__s", "__n")
+
     def separate(self, parts: int) -> list[BagFrame]:
-        """``parts`` bags of like size that together hold all rows; rows go by the hash of their values and place."""
-        dealt = self.df.withColumn("__k", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *self.df.columns), F.lit(parts)))
-        return [BagFrame(dealt.where(F.col("__k") == k).drop("__k")) for k in range(parts)]
-
-    def with_part(self, parts: int, *order: str, name: str = "part") -> DataFrame:
-        """Rows with a part, sizes at most one apart; ``order`` must tell rows apart for reruns to agree."""
-        ordered = self.df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-        p = F.shiftright("__id", 33).cast("int")
-        counts = ordered.groupBy(p.alias("__p")).agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__first"))
-        from pyspark.sql import Window
-
-        before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.select("__p", "__first", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-        met = ordered.withColumn("__p", p).join(F.broadcast(starts), "__p")  # a row a partition
-        return met.withColumn(name, part_of(F.col("__s") + F.col("__id") - F.col("__first"), F.col("__n"), parts)).drop("__p", "__id", "__first", "__s", "__n")
+        """``parts`` bags, sizes at most one apart, that together hold all rows."""
+        dealt = self.with_part(parts, name="__part")
+        return [BagFrame(dealt.where(F.col("__part") == k).drop("__part")) for k in range(parts)]
 
     def convert_to_list(self) -> list[Row]:
         """All rows on the driver: for small bags."""

@@ -162,11 +162,19 @@ def team_reduction(df: DataFrame, reduced: DataFrame) -> DataFrame:
     return df.join(F.broadcast(reduced.limit(1)), F.lit(True), "left")
 
 
-def fold(df: DataFrame, zero: Column, step: Callable[[Column, Column], Column], *values: str, order: str = "idx") -> DataFrame:
-    """An ordered fold that needn't be associative: one row ``result``. The values are gathered in one
-    place, in order, so this is for collections that fit there; associative folds are reductions."""
+def fold(df: DataFrame, zero: Column | None, step: Callable[[Column, Column], Column], *values: str, order: str = "idx") -> DataFrame:
+    """An ordered fold that needn't be associative: one row ``result``.
+
+    With ``zero`` steps take the state and a struct of ``values``. Without it they take two values of
+    the one column named, the first element is where it starts, and an empty list gives null. The
+    values are gathered in one place, in order, so this is for collections that fit there; associative
+    folds are reductions.
+    """
     rows = F.array_sort(F.collect_list(F.struct(order, *values)))
-    return df.agg(F.aggregate(rows, zero, step).alias("result"))
+    if zero is not None:
+        return df.agg(F.aggregate(rows, zero, step).alias("result"))
+    plain = df.agg(F.transform(rows, lambda x: x[values[0]]).alias("v"))
+    return plain.select(F.aggregate(F.slice("v", 2, F.greatest(F.size("v"), F.lit(1))), F.get("v", F.lit(0)), step).alias("result"))
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:

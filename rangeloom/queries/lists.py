@@ -310,6 +310,14 @@ def fold_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(df, F.lit(""), lambda a, x: F.concat(a, x["o_orderstatus"]), "o_orderstatus", order="o_orderkey")
 
 
+@query("SELECT CAST(max(o_totalprice) AS DOUBLE) AS result, CAST(NULL AS DOUBLE) AS none FROM orders WHERE o_orderkey < 200")
+def fold_without_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, bigger = orders(spark, sf_dir), lambda a, b: F.greatest(a, b)
+    some = fold(x.slice(LongRange(0, 200)).df, None, bigger, "o_totalprice", order="o_orderkey")
+    none = fold(x.slice(LongRange(-9, -5)).df, None, bigger, "o_totalprice", order="o_orderkey").withColumnRenamed("result", "none")
+    return some.join(none, F.lit(True))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
 def topk_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(orders(spark, sf_dir).df.select("o_orderkey", "o_totalprice"), 25, "o_totalprice", "o_orderkey")

@@ -168,3 +168,18 @@ def session_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = s.submit(lambda: orders(spark, sf_dir).slice(LongRange(0, 100)).map(next=F.col("o_custkey") + 1), "map")
         made: IndexedFrame = x.result()
     return made.df
+
+
+@query("""
+SELECT 'map' AS what, CAST(sum(o_custkey * 2) AS BIGINT) AS value FROM orders UNION ALL SELECT 'reduce', max(o_custkey) FROM orders
+UNION ALL SELECT 'to_bag', CAST(2 * count(*) AS BIGINT) FROM orders UNION ALL SELECT 'errors', count(*) FROM orders WHERE o_custkey % 100 = 0""")
+def session_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list's operators as operations of one session: a map, a reduction, a flat map, and one with row errors."""
+    x = orders(spark, sf_dir)
+    with Session(spark, Config(lifeline="hypercube", grain=50)) as s:
+        mapped = s.submit(lambda: x.map(v=F.col("o_custkey") * 2).reduce(v=reduction("sum", "v")).first().v, "map")
+        reduced = s.submit(lambda: x.reduce(v=reduction("max", "o_custkey")).first().v, "reduce").after(mapped)
+        bagged = s.submit(lambda: x.to_bag(F.array(F.struct("o_orderkey"), F.struct("o_orderkey"))).size(), "to_bag")
+        failed = s.submit(lambda: errors.errors(errors.capture(x.df.select("o_orderkey", "o_custkey"), lambda r: {"v": 1 // (r["o_custkey"] % 100)}, "v long", "o_orderkey")).count(), "errors")
+        found = [(f.name, f.result()) for f in (mapped, reduced, bagged, failed)]
+    return spark.createDataFrame(found, "what string, value long")

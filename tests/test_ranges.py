@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rangeloom.functions.ranges import LongRange, SquareRange, chunk_order, slice_bounds, split_list, split_squares
+from rangeloom.functions.ranges import LongRange, SquareRange, chunk_order, slice_bounds, split_list, split_squares, split_two_levels
 from rangeloom.operators.rangeset import OverlapError, RangeSet
 
 bounds = st.tuples(st.integers(-20, 20), st.integers(0, 15)).map(lambda x: LongRange(x[0], x[0] + x[1]))
@@ -123,3 +123,10 @@ def test_range_set_remove_retain():
     assert s.retain_all([LongRange(20, 30)]) and list(s) == [LongRange(20, 30)]
     with pytest.raises(OverlapError):
         RangeSet([LongRange(0, 5), LongRange(4, 6)])
+
+
+def test_two_levels_hold_all_tiles():
+    tiles = SquareRange(LongRange(0, 20), LongRange(0, 30)).split(5, 6)
+    dealt = split_two_levels(3, 2, tiles, seed=7)
+    assert sorted((t.outer, t.inner) for host in dealt for worker in host for t in worker) == sorted((t.outer, t.inner) for t in tiles)
+    assert [sum(map(len, host)) for host in dealt] == [10, 10, 10] and dealt == split_two_levels(3, 2, tiles, seed=7)
