@@ -239,13 +239,24 @@ def range_intersection(a: Column | str, b: Column | str, c: Column | str, d: Col
     return F.when(low < high, F.struct(low.alias("start"), high.alias("stop")))
 
 
+def quotient(a: Column, b: Column | int) -> Column:
+    """Integer division, exact for all longs that aren't negative."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def block_of(idx: Column | str, width: int) -> Column:
+    """The number of the block of ``width`` indices that holds an index, negative ones too; exact for all longs."""
+    i = col(idx).cast("long")
+    return quotient(i - F.pmod(i, F.lit(width).cast("long")), F.lit(width).cast("long"))
+
+
 def part_of(position: Column | str, total: Column | int, parts: int) -> Column:
     """The part, of ``parts`` near-equal ones, that a position (from 0) falls into."""
     p, n = col(position), F.lit(total) if isinstance(total, int) else total
-    small = F.floor(n / parts)
+    small = quotient(n, parts)
     extra = n - small * parts
     wide = extra * (small + 1)
-    return F.when(p < wide, F.floor(p / (small + 1))).otherwise(extra + F.floor((p - wide) / F.greatest(small, F.lit(1)))).cast("int")
+    return F.when(p < wide, quotient(p, small + 1)).otherwise(extra + quotient(p - wide, F.greatest(small, F.lit(1).cast("long")))).cast("int")
 
 
 def null_safe_equals(a: Column | str, b: Column | str) -> Column:

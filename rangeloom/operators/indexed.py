@@ -11,7 +11,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import LongRange, part_of, split_list
+from rangeloom.functions.ranges import LongRange, block_of, part_of, split_list
 from rangeloom.operators.interval import range_join, small
 from rangeloom.operators.rangeset import OverlapError, RangeSet, cut
 from rangeloom.operators.reduce import Reducer, reduce_with
@@ -66,8 +66,8 @@ class IndexedFrame:
         """(start, stop) of each run of consecutive indices. Runs within blocks of ``width`` indices
         come first; those that meet at a block's edge are then joined, a few rows a block."""
         i = F.col(self.idx)
-        rank = F.row_number().over(Window.partitionBy(F.floor(i / width)).orderBy(self.idx))
-        parts = self.df.select(i.alias("i"), F.floor(i / width).alias("b"), (i - rank).alias("g")).groupBy("b", "g")
+        rank = F.row_number().over(Window.partitionBy(block_of(i, width)).orderBy(self.idx))
+        parts = self.df.select(i.alias("i"), block_of(i, width).alias("b"), (i - rank).alias("g")).groupBy("b", "g")
         parts = parts.agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
         order = Window.orderBy("start")
         fresh = F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))
@@ -131,7 +131,7 @@ class IndexedFrame:
 
     def reduce_blocks(self, width: int, **aggregates: Column) -> DataFrame:
         """A row for each block of ``width`` indices that has elements: range_id, start, stop, aggregates."""
-        k = F.floor(F.col(self.idx) / width)
+        k = block_of(self.idx, width)
         out = self.df.groupBy(k.alias("range_id")).agg(*[c.alias(n) for n, c in aggregates.items()])
         return out.select("range_id", (F.col("range_id") * width).alias("start"), ((F.col("range_id") + 1) * width).alias("stop"), *aggregates)
 
@@ -340,7 +340,7 @@ def positions(df: DataFrame, idx: str, width: int = 1 << 16) -> DataFrame:
     Blocks of ``width`` indices are counted, the counts are summed up over blocks, and rows are
     numbered inside their block.
     """
-    block = F.floor(F.col(idx) / width)
+    block = block_of(idx, width)
     counts = df.groupBy(block.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
     order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     starts = counts.select("__b", (F.sum("__c").over(order) - F.col("__c")).alias("__start"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
@@ -354,7 +354,7 @@ def prefix_sum(df: DataFrame, idx: str, value: Column, name: str = "prefix", wid
 
     Sums of blocks of ``width`` indices are scanned, a row a block; rows are scanned inside their block.
     """
-    keyed = df.withColumn("__b", F.floor(F.col(idx) / width)).withColumn("__v", value)
+    keyed = df.withColumn("__b", block_of(idx, width)).withColumn("__v", value)
     sums = keyed.groupBy("__b").agg(F.sum("__v").alias("__s"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__b", F.sum("__s").over(before).alias("__start"))

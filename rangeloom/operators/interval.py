@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.functions.ranges import block_of
+
 #: A side of at most so many rows, as a count shows, may be broadcast.
 SMALL = 20_000
 
@@ -15,7 +17,7 @@ def small(df: DataFrame, most: int = SMALL) -> bool:
 
 def blocks(ranges: DataFrame, width: int) -> DataFrame:
     """Each range once for each block of ``width`` indices that it meets."""
-    return ranges.where("start < stop").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    return ranges.where("start < stop").withColumn("block", F.explode(F.sequence(block_of("start", width), block_of(F.col("stop") - 1, width))))
 
 
 def block_width(ranges: DataFrame) -> int:
@@ -30,7 +32,7 @@ def range_join(rows: DataFrame, ranges: DataFrame, idx: str = "idx", how: str =
     right = blocks(ranges, width)
     if small(ranges):
         right = F.broadcast(right)
-    left = rows.withColumn("block", F.floor(F.col(idx) / width))
+    left = rows.withColumn("block", block_of(idx, width))
     on = (left["block"] == right["block"]) & (left[idx] >= right["start"]) & (left[idx] < right["stop"])
     out = left.join(right, on, how)
     return out.drop(left["block"]) if how in ("left_semi", "left_anti") else out.drop(left["block"]).drop(right["block"])
@@ -47,8 +49,8 @@ def floor_join(rows: DataFrame, marks: DataFrame, idx: str = "idx", mark: str =
         row = marks.agg(F.min(mark), F.max(mark), F.count(F.lit(1))).first()
         width = max(1, ((row[1] or 0) - (row[0] or 0) + 1) * 64 // max(row[2], 1))
     payload = F.struct(F.col(mark).alias("__at"), *rest)
-    marked = marks.select(F.floor(F.col(mark) / width).alias("__block"), F.col(mark).alias("__key"), payload.alias("__mark"))
-    keyed = rows.withColumn("__block", F.floor(F.col(idx) / width))
+    marked = marks.select(block_of(mark, width).alias("__block"), F.col(mark).alias("__key"), payload.alias("__mark"))
+    keyed = rows.withColumn("__block", block_of(idx, width))
     # What each block of rows starts with: the last mark of the latest block before it. One row a block.
     lasts = marked.groupBy("__block").agg(F.max_by("__mark", "__key").alias("__mark"))
     wanted = keyed.select("__block").distinct()

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import LongRange, cut_point
+from rangeloom.functions.ranges import LongRange, block_of, cut_point, quotient
 
 
 class OverlapError(ValueError):
@@ -198,7 +198,7 @@ def intersect(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     right = blocks(b.select("start", "stop"), width).withColumnsRenamed({"start": "c", "stop": "d"})
     low, high = F.greatest("a", "c"), F.least("b", "d")
     # A pair may share several blocks; the one where its common part begins counts.
-    met = left.join(right, "block").where((low < high) & (F.floor(low / width) == F.col("block")))
+    met = left.join(right, "block").where((low < high) & (block_of(low, width) == F.col("block")))
     return met.select(low.alias("start"), high.alias("stop"))
 
 
@@ -215,8 +215,8 @@ def split_frame(ranges: DataFrame, parts: int) -> DataFrame:
     size = F.col("stop") - F.col("start")
     placed = ranges.select("start", "stop", F.sum(size).over(order).alias("__end"), F.sum(size).over(Window.partitionBy()).alias("__n"))
     n, k = F.col("__n"), F.col("part")
-    low = k * F.floor(n / parts) + F.least(k, n % parts)
-    high = (k + 1) * F.floor(n / parts) + F.least(k + 1, n % parts)
+    low = k * quotient(n, parts) + F.least(k, n % parts)
+    high = (k + 1) * quotient(n, parts) + F.least(k + 1, n % parts)
     begin = F.col("__end") - size
     out = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     out = out.withColumn("__a", F.greatest(begin, low)).withColumn("__b", F.least(F.col("__end"), high)).where("__a < __b")

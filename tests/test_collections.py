@@ -244,3 +244,11 @@ def test_range_joins(spark):
 def test_storage(spark, eight, tmp_path):
     eight.write(str(tmp_path / "x"))
     assert IndexedFrame.read(spark, str(tmp_path / "x")).equals(eight)
+
+
+def test_blocks_are_exact_for_all_longs(spark):
+    from rangeloom.functions.ranges import block_of
+
+    values = [0, 1, -1, -7, -8, 2**53 + 1, 2**62 + 13, -(2**62) - 5]
+    df = spark.createDataFrame([(v,) for v in values], "i long")
+    assert [r[0] for r in df.select(block_of("i", 7)).collect()] == [v // 7 for v in values]
