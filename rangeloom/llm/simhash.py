@@ -123,8 +123,9 @@ def _links(fps: np.ndarray, hidden: list[int], radius: int) -> tuple[np.ndarray,
     return head[keep], who[keep]
 
 
-def _bucket_links(radius: int):
-    """For rows (t, fp) sorted by table and masked value: links of each bucket's members to one of them."""
+def _bucket_links(radius: int, spread: int):
+    """For rows (t, fp) sorted by table and masked value: links (u, v, -1) of each bucket's members to one
+    of them, or (key, 0, t) for a bucket of more than about ``spread`` members."""
     table = masks(radius)
 
     def solve(t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
@@ -145,23 +146,41 @@ def _bucket_links(radius: int):
                 vs.append(own[root[moved]])
         if not us or not sum(map(len, us)):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+        u, v = (np.concatenate(x).view(np.int64) for x in (us, vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), -1))], ["u", "v", "t"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, skipped = 0, None  # skipped: the bucket that turned out too large
+        mask = np.array(table, np.uint64)
+
+        def named(t: int, key: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([_signed(key)]), pa.array([0]), pa.array([t])], ["u", "v", "t"])
+
         for batch in batches:
-            held.append((batch.column("t").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-            n += batch.num_rows
+            t = batch.column("t").to_numpy(zero_copy_only=False).astype(np.int64)
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            if skipped is not None:
+                other = np.flatnonzero((t != skipped[0]) | (fp & mask[t] != skipped[1]))
+                first = int(other[0]) if len(other) else len(t)
+                t, fp = t[first:], fp[first:]
+                skipped = None if len(t) else skipped
+            if not len(t):
+                continue
+            held.append((t, fp))
+            n += len(t)
             if n >= CHUNK:
                 t, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                key = fp & np.array(table, np.uint64)[t]
+                key = fp & mask[t]
                 last = np.flatnonzero((t != t[-1]) | (key != key[-1]))  # the last bucket may go on
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut and (out := solve(t[:cut], fp[:cut])) is not None:
                     yield out
                 held, n = [(t[cut:], fp[cut:])], len(t) - cut
+                if n > spread:
+                    skipped = (int(t[-1]), key[-1])
+                    yield named(int(t[-1]), int(key[-1]))
+                    held, n = [], 0
         if n:
             t, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             if (out := solve(t, fp)) is not None:
@@ -171,25 +190,29 @@ def _bucket_links(radius: int):
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
-    """Links (u, v) between rows ``fp`` of ``distinct``; what they reach is what pairs within ``radius`` reach."""
+    """Links (u, v) between rows ``fp`` of ``distinct``; what they reach is what pairs within ``radius`` reach.
+
+    Buckets come to the tasks in order, one shuffle for all tables. A task that meets a bucket of more
+    than ``spread`` members names it instead of holding it; those buckets are then done as rows.
+    """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     table = masks(radius)
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(table)])
     rows = distinct.select("fp", F.explode(each).alias("b")).select("fp", "b.t", "b.key")
-    large = stored(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spread), "large_buckets")
-    spread_out = None
-    if not large.isEmpty():
-        rows = small_join(rows, large, ["t", "key"], F.col("fp"))
-        flips = [[0] + [_signed(1 << i) for i in _hidden(m)] for m in table]
-        flip = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in f]) for f in flips]), F.col("t") + 1)
-        named = rows.where("n IS NOT NULL").select("t", "fp", F.explode(flip).alias("x")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("name"))
-        shared = named.groupBy("t", "name").agg(F.min("fp").alias("v"), F.collect_set("fp").alias("us")).where(F.size("us") > 1)
-        spread_out = shared.select(F.explode("us").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, radius))
-        rows = rows.where("n IS NULL").drop("n")
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "fp")
-    links = dealt.mapInArrow(_bucket_links(radius), "u long, v long")
-    return links if spread_out is None else links.unionByName(spread_out)
+    found = stored(dealt.mapInArrow(_bucket_links(radius, spread), "u long, v long, t long"), "bucket_links")
+    links = found.where("t < 0").select("u", "v")
+    large = found.where("t >= 0").select(F.col("t").cast("int").alias("t"), F.col("u").alias("key"), F.lit(True).alias("large")).distinct()
+    if large.isEmpty():
+        return links
+    flips = [[0] + [_signed(1 << i) for i in _hidden(m)] for m in table]
+    flip = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in f]) for f in flips]), F.col("t") + 1)
+    own = small_join(rows, large, ["t", "key"], F.col("fp")).where("large")
+    names = own.select("t", "fp", F.explode(flip).alias("x")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("name"))
+    shared = names.groupBy("t", "name").agg(F.min("fp").alias("v"), F.collect_set("fp").alias("us")).where(F.size("us") > 1)
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    return links.unionByName(shared.select(F.explode("us").alias("u"), "v").where(apart.between(1, radius)))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
