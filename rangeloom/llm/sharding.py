@@ -26,6 +26,8 @@ from rangeloom.llm.common import small_join, stored
 SHARDS = 24
 #: Rows that a task numbers at once.
 RANGE_ROWS = 20_000
+#: Ranges at least, so that a hot source is spread in small tables too.
+LEAST_RANGES = 256
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -36,7 +38,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text_crc32", "size"), 1)
     slim = stored(slim.withColumn("h", shuffled), "slim")
     total = slim.count()
-    ranges = max(16, -(-total // range_rows))
+    ranges = max(LEAST_RANGES, -(-total // range_rows))
 
     # Rank within the source.
     slim = slim.withColumn("hr", F.shiftright(F.shiftright("h", 31) * ranges, 32).cast("int"))
