@@ -35,7 +35,7 @@ POSITIVES, UNLABELLED = 4000, 8000
 CANDIDATES, FEATURES, CLASSIFIERS = 40_000, 1500, 3
 WORDS = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 4, 7
-#: Words at which an occurrence counts half.
+#: Words at which an occurrence of a word beginning counts half.
 SCALE = 500
 
 
@@ -53,9 +53,11 @@ class Lexicon:
     def __init__(self, features: list[str]):
         self.at = {f: k for k, f in enumerate(features)}
         self.starts = {f[:SHORT] for f in features}
+        self.open = {k for k, f in enumerate(features) if f.endswith("*")}
 
     def values(self, text: str | None) -> dict[int, float]:
-        """Value by feature: the logarithm of 1 + its occurrences, those of long texts scaled down."""
+        """Value by feature: the logarithm of 1 + its occurrences; of word beginnings, which clean texts
+        have by chance the more often the longer they are, those of long texts are scaled down."""
         found: dict[int, int] = {}
         at, starts = self.at, self.starts
         words = WORDS.findall((text or "").lower())
@@ -65,28 +67,29 @@ class Lexicon:
                     if (k := at.get(f)) is not None:
                         found[k] = found.get(k, 0) + 1
         scale = SCALE / (SCALE + len(words))
-        return {k: math.log1p(n * scale) for k, n in found.items()}
+        return {k: math.log1p(n * scale if k in self.open else n) for k, n in found.items()}
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: int = 1000, rate: float = 0.1, decay: float = 3e-5, part: int = 1000) -> np.ndarray:
-    """Weights (the last is the bias) of a linear classifier with the logistic loss, by Adam over batches of ``part`` rows of each kind."""
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: int = 3000, rate: float = 0.1, decay: float = 1e-5, part: int = 1000) -> np.ndarray:
+    """Weights (the last is the bias) of a linear classifier with the logistic loss, by Adam over stretches
+    of ``part`` shuffled rows of each kind; the rate falls to a tenth."""
     random = np.random.default_rng(seed)
-    w = np.zeros(xp.shape[1] + 1)
+    xp, xu = (np.ascontiguousarray(x[random.permutation(len(x))], np.float32) for x in (xp, xu))
+    w, first, second = np.zeros((3, xp.shape[1] + 1), np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    mean = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
     for step in range(1, rounds + 1):
-        p = xp[random.choice(len(xp), min(part, len(xp)), replace=False)]
-        u = xu[random.choice(len(xu), min(part, len(xu)), replace=False)]
+        p, u = (x[(at := random.integers(max(1, len(x) - part + 1))) : at + part] for x in (xp, xu))
         zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        positive = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gradient_negative = positive(u, sigmoid(zu)) - prior * positive(p, sigmoid(zp))
-        gradient = -gradient_negative if negative < 0 else prior * positive(p, sigmoid(zp) - 1) + gradient_negative
+        gradient_negative = mean(u, sigmoid(zu)) - prior * mean(p, sigmoid(zp))
+        gradient = -gradient_negative if negative < 0 else prior * mean(p, sigmoid(zp) - 1) + gradient_negative
         gradient[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w
+        speed = rate * (1 - 0.9 * step / rounds)
+        w -= speed * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return w.astype(float)
 
 
 class Model:

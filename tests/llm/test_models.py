@@ -114,7 +114,7 @@ def test_lexicon_counts_by_hand():
     lexicon = toxicity.Lexicon(["idiot", "idio*", "bomen*"])
     got = lexicon.values("Idiot! idiots, bomentera xbomen idiot 1idiot")
     scale = toxicity.SCALE / (toxicity.SCALE + 6)
-    assert got == {0: pytest.approx(math.log1p(3 * scale)), 1: pytest.approx(math.log1p(4 * scale)), 2: pytest.approx(math.log1p(scale))}
+    assert got == {0: pytest.approx(math.log1p(3)), 1: pytest.approx(math.log1p(4 * scale)), 2: pytest.approx(math.log1p(scale))}
 
 
 def test_nnpu_learns_without_negatives():
