@@ -40,7 +40,7 @@ from rangeloom.llm.common import remainder, spread_of, stored
 
 HEAD, WIDTH, BANDS = 1024, 32, 48
 STATE = 16
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: Words that a worker trains on or scores at once.
 POOL = 2_000_000
 ROUNDS, SLICES = 4, 16
