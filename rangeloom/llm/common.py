@@ -67,6 +67,12 @@ def counted_join(rows: DataFrame, values: DataFrame, key: str, n: str, total: in
     return cool.unionByName(met.where("__h IS NOT NULL").withColumnRenamed("__h", "v"))
 
 
+def hash60(*parts: Column) -> Column:
+    """A hash of 60 bits of the parts as text, which SQL engines agree on; nulls count as empty."""
+    line = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

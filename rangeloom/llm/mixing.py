@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import n_words, small_join, stored
+from rangeloom.llm.common import hash60, n_words, small_join, stored
 
 BUCKETS = 1024
 CUTS = "source string, base int, cuts array<int>"
@@ -60,7 +60,7 @@ def _cuts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for band in sorted(rows["band"].unique(), reverse=True):
         own = rows[rows["band"] == band].sort_values("bucket")
         taken = np.concatenate([[0.0], np.cumsum(own["words"].to_numpy(float))])
-        need = float(own["expected"].sum()) + carry
+        need = float(taken[-1]) * float(own["rest"].iloc[0]) + carry
         k = int(np.argmin(np.abs(taken - need)))
         carry = need - taken[k]
         cuts[int(band)] = int(own["bucket"].iloc[k - 1]) + 1 if k else 0
@@ -73,11 +73,12 @@ def _rank(df: DataFrame, seed: int, weight: Column | None) -> DataFrame:
     base = F.floor(mu + 1e-9).cast("int")
     rest = F.greatest(mu - base, F.lit(0.0))
     pi = rest if weight is None else F.when(rest > 0, F.greatest(F.least(rest * weight, F.lit(0.999)), F.lit(0.001))).otherwise(0.0)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source", "size"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    drawn = F.shiftright(hash60(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")), 8)
+    u = (drawn.cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))
     return (
         df.withColumn("base", base).withColumn("__rest", rest).withColumn("__pi", pi)
-        .withColumn("band", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(0).cast("int"))
+        .withColumn("band", F.length(F.bin("size")) - 1)
         .withColumn("bucket", F.when(F.col("__pi") > 0, F.least(F.floor(BUCKETS * odds / (1 + odds)), F.lit(BUCKETS - 1))).otherwise(BUCKETS).cast("int"))
     )
 
@@ -91,7 +92,7 @@ def draw(sized: DataFrame, sizes: DataFrame, targets: DataFrame, seed: int = 17,
     """
     counted = _rank(small_join(sizes, targets, ["source"], F.col("doc_id")), seed, weight)
     steps = counted.where("__pi > 0 AND size > 0").groupBy("source", "base", "band", "bucket").agg(
-        F.sum("size").cast("double").alias("words"), F.sum(F.col("size") * F.col("__rest")).alias("expected")
+        F.sum("size").cast("double").alias("words"), F.first("__rest").alias("rest")
     )
     cuts = stored(steps.groupBy("source").applyInPandas(_cuts, CUTS), "cuts").select("source", "cuts")
     ranked = _rank(small_join(sized, targets, ["source"], F.col("doc_id")), seed, weight)
@@ -122,3 +123,33 @@ def mixed(docs: DataFrame, share: float = 1.0, weights: tuple[float, ...] = (1.0
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS most,
+               ([1.0::DOUBLE, 2.0, 3.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM sizes GROUP BY source),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per),
+targets AS (SELECT source, source_size, least(most, coalesce(w * max(CASE WHEN level <= most / w THEN level END) OVER (), most)) AS target FROM levels),
+split AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS mu FROM targets),
+shares AS (SELECT source, source_size, target, CAST(floor(mu + 1e-9) AS INTEGER) AS base, greatest(mu - floor(mu + 1e-9), 0) AS rest FROM split),
+drawn AS (SELECT doc_id, s.source, size, source_size, target, base, rest, length(bin(size)) - 1 AS band,
+                 ((CAST('0x' || md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(s.source, '') || '|' || size)[1:15] AS BIGINT) >> 8) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+          FROM sizes s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source),
+odds AS (SELECT *, (u / (1 - u)) / (rest / (1 - rest)) AS o FROM drawn),
+ranked AS (SELECT *, CASE WHEN rest > 0 THEN CAST(least(floor(1024 * o / (1 + o)), 1023) AS INTEGER) ELSE 1024 END AS bucket FROM odds),
+steps AS (SELECT source, band, bucket, any_value(rest) AS rest, CAST(sum(size) AS DOUBLE) AS words FROM ranked WHERE rest > 0 AND size > 0 GROUP BY source, band, bucket),
+sums AS (SELECT source, band, bucket, rest, sum(words) OVER (PARTITION BY source, band ORDER BY bucket) AS total FROM steps),
+bands AS (SELECT source, band, any_value(rest) AS rest, max(total) AS words, list_concat([0.0::DOUBLE], list(total ORDER BY bucket)) AS taken,
+                 list_concat([0], list(bucket + 1 ORDER BY bucket)) AS cuts, row_number() OVER (PARTITION BY source ORDER BY band DESC) AS k FROM sums GROUP BY source, band),
+needs AS (
+  SELECT source, band, k, taken, cuts, words * rest AS need FROM bands WHERE k = 1
+  UNION ALL
+  SELECT b.source, b.band, b.k, b.taken, b.cuts,
+         b.words * b.rest + (n.need - n.taken[list_position(list_transform(n.taken, lambda x: abs(x - n.need)), list_min(list_transform(n.taken, lambda x: abs(x - n.need))))])
+  FROM needs n JOIN bands b ON b.source IS NOT DISTINCT FROM n.source AND b.k = n.k + 1),
+cut AS (SELECT source, band, cuts[list_position(list_transform(taken, lambda x: abs(x - need)), list_min(list_transform(taken, lambda x: abs(x - need))))] AS cut FROM needs)
+SELECT doc_id, size, source_size, target, CAST((base + CASE WHEN bucket < cut THEN 1 ELSE 0 END) * size AS BIGINT) AS taken, r.source, base + CASE WHEN bucket < cut THEN 1 ELSE 0 END AS copies
+FROM ranked r LEFT JOIN cut c ON r.source IS NOT DISTINCT FROM c.source AND r.band = c.band
+"""

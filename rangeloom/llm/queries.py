@@ -19,5 +19,7 @@ QUERIES = {
 
 #: Where SQL can't express a query, tests hold it against a brute-force version instead.
 ORACLE_SQL = {
+    "op1_pareto_mix": mixing.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op9_shard_interleave": sharding.OP9_SQL,
 }

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import small_join, stored
+from rangeloom.llm.common import hash60, small_join, stored
 
 SHARDS = 24
 #: Rows that a task numbers at once.
@@ -35,13 +35,13 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
     slim = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32"))
-    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text_crc32", "size"), 1)
+    shuffled = hash60(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text_crc32"), F.col("size"))
     slim = stored(slim.withColumn("h", shuffled), "slim")
     total = slim.count()
     ranges = max(LEAST_RANGES, -(-total // range_rows))
 
     # Rank within the source.
-    slim = slim.withColumn("hr", F.shiftright(F.shiftright("h", 31) * ranges, 32).cast("int"))
+    slim = slim.withColumn("hr", F.shiftright(F.shiftright("h", 28) * ranges, 32).cast("int"))
     counts = slim.groupBy("source", "hr").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source")
     starts = counts.select(
@@ -69,3 +69,24 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+OP9_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+slim AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 8 AS size,
+         CAST(xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM documents, crc_table),
+hashed AS (
+  SELECT *, CAST('0x' || md5('23|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || text_crc32 || '|' || size)[1:15] AS BIGINT) AS h FROM slim),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS fraction FROM hashed),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, h, doc_id) - 1 AS pos, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard,
+       CAST(pos - (pos * 24 // n * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM placed
+"""

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rangeloom.llm import mixing, packing, sharding
+from rangeloom.llm.common import hash60
 from tests.llm.conftest import rows
 
 
@@ -100,10 +101,11 @@ def test_interleaving_by_brute_force(spark, range_rows):
     data = [(i, "x" * rng.randrange(50), rng.choice(["hot"] * 6 + ["a", "b", None])) for i in range(997)]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
     got = {r.doc_id: (r.shard, r.slot, r.size, r.text_crc32) for r in sharding.interleave(docs, range_rows=range_rows).collect()}
-    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(23), "doc_id", "source", F.crc32(F.col("text").cast("binary")), F.octet_length("text").cast("long") + 8).alias("h")).collect()}
+    crc, size = F.crc32(F.col("text").cast("binary")), F.octet_length("text").cast("long") + 8
+    h = {r.doc_id: r.h for r in docs.select("doc_id", hash60(F.lit(23), F.col("doc_id"), F.col("source"), crc, size).alias("h")).collect()}
     order = []
     for s in {d[2] for d in data}:
-        own = sorted((d[0] for d in data if d[2] == s), key=lambda i: h[i] % (1 << 64) >> 1)
+        own = sorted((d[0] for d in data if d[2] == s), key=lambda i: h[i])
         order += [((k + 0.5) / len(own), s is None, s or "", i) for k, i in enumerate(own)]
     n, shards = len(order), 24
     for at, (_, _, _, i) in enumerate(sorted(order)):

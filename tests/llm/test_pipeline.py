@@ -7,10 +7,10 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rangeloom.llm import queries
-from rangeloom.llm.exact_dedup import OP8_SQL
 from rangeloom.llm.mixing import mix
 from tests.llm.test_dedup import reach, slow_fingerprint
 
@@ -27,11 +27,13 @@ def test_names_and_registration(spark):
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
-def test_op8_is_its_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_is_its_sql(spark, sf_dir, name):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = duckdb.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({OP8_SQL})").fetchall()
-    got = queries.QUERIES["op8_exact_dedup"](spark, sf_dir).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    df = queries.QUERIES[name](spark, sf_dir)
+    want = duckdb.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(want.select(*df.columns).fetchall())
 
 
 def test_stages(spark, sf_dir, tmp_path):
