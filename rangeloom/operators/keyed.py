@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import LongRange
+from rangeloom.operators.bag import BagFrame
 from rangeloom.operators.indexed import RangesFilter
 from rangeloom.operators.rangeset import OverlapError, RangeSet
 
@@ -81,6 +82,10 @@ class KeyedFrame:
         """Rows with a part by the hash of the key."""
         return self.df.withColumn(name, F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int"))
 
+    def separate_values(self, parts: int, name: str = "part") -> DataFrame:
+        """Rows with a part, sizes at most one apart."""
+        return BagFrame(self.df).with_part(parts, self.key, name=name)
+
     def keys(self) -> DataFrame:
         return self.df.select(self.key)
 

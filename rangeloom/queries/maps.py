@@ -90,10 +90,14 @@ def multimap_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.grouped().select("user_id", F.array_join("values", ",").alias("types"), F.size("values").cast("long").alias("n"))
 
 
-@query("SELECT part, n FROM (SELECT count(*) AS n, 1 AS part FROM supplier)")
-def map_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = supplier_map(spark, sf_dir).separate_keys(4)
-    return dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.lit(1).alias("part"))
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(4 AS BIGINT) AS parts FROM supplier")
+def map_separate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_map(spark, sf_dir).separate_keys(4).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"))
+
+
+@query("SELECT k AS part, n // 7 + CASE WHEN k < n % 7 THEN 1 ELSE 0 END AS n FROM range(7) t(k), (SELECT count(*) AS n FROM supplier)")
+def map_separate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_map(spark, sf_dir).separate_values(7).groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- logs ---------------------------------------------------------------------------------------

@@ -203,3 +203,24 @@ def product_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = suppliers(spark, sf_dir).product(parts(spark, sf_dir)).sub_view(SquareRange(LongRange(0, 8), LongRange(0, 8)))
     return view.to_grid(v=F.col("l_s_acctbal") * F.col("r_p_size")).df
 
+
+
+@query("SELECT i, j, i * 100 + j AS value FROM range(0, 25) a(i), range(0, 25) b(j) WHERE i < j")
+def grid_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GridFrame.generate(spark, SquareRange(LongRange(0, 25), LongRange(0, 25), True), value=F.col("i") * 100 + F.col("j")).df
+
+
+@query("""
+WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_nationkey * b.s_nationkey AS v FROM supplier a, supplier b WHERE a.s_suppkey < 30 AND b.s_suppkey < 30)
+SELECT x.i, x.j, CAST(sum(y.v) AS BIGINT) AS around FROM p x JOIN p y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 GROUP BY 1, 2""")
+def product_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = suppliers(spark, sf_dir).slice(LongRange(0, 30))
+    return x.product(x).siblings(F.col("l_s_nationkey") * F.col("r_s_nationkey"), around=lambda v, di, dj: F.sum(v))
+
+
+@query("SELECT true AS same, false AS different")
+def grid_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = talks(spark, sf_dir)
+    first = g.df.agg(F.min(F.struct("conv_id", "turn"))).first()[0]
+    row = (g.equals(GridFrame(g.df.repartition(7), "conv_id", "turn")), g.equals(g.set(first.conv_id, first.turn, role="nobody")))
+    return spark.createDataFrame([row], "same boolean, different boolean")

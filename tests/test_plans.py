@@ -62,6 +62,15 @@ def test_future_groups():
         assert len(e.value.errors) == 2
 
 
+def test_settings(spark):
+    spark.conf.set("spark.rangeloom.grain", "7")
+    spark.conf.set("spark.rangeloom.trace", "true")
+    assert Config.of(spark) == Config(grain=7, trace=True)
+    spark.conf.unset("spark.rangeloom.grain")
+    spark.conf.unset("spark.rangeloom.trace")
+    assert Config.of(spark) == Config()
+
+
 def test_lifelines():
     assert lifelines("loop", 3, 4) == [0] and lifelines("none", 0, 4) == []
     assert lifelines("hypercube", 0, 6) == [1, 2, 4] and lifelines("hypercube", 3, 6) == [2, 1]
