@@ -367,7 +367,10 @@ def train(net: Network, docs: list[np.ndarray], rate: float, window: int = WINDO
     return float(np.mean(losses)) if losses else 0.0
 
 
-PIECE = 2048
+#: Weights of a piece, and groups in which tasks' weights are averaged before the groups are.
+PIECE, SPREAD = 2048, 256
+AVERAGED = "piece long, part long, n long, v array<float>"
+AVERAGED_NAMES = ["piece", "part", "n", "v"]
 
 
 def _round(start: np.ndarray, rate: float):
@@ -391,15 +394,19 @@ def _round(start: np.ndarray, rate: float):
         if done:
             flat = net.flat()
             pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array([done] * len(pieces), pa.int64()), pa.array(pieces, pa.list_(pa.float32()))], ["piece", "n", "v"])
+            part = TaskContext.get().partitionId() % SPREAD
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(pieces))), pa.array([part] * len(pieces), pa.int64()), pa.array([done] * len(pieces), pa.int64()), pa.array(pieces, pa.list_(pa.float32()))], AVERAGED_NAMES
+            )
 
     return run
 
 
 def _average(rows: pa.Table) -> pa.Table:
-    v = np.stack(rows.column("v").to_numpy(zero_copy_only=False))
-    mean = np.average(v, axis=0, weights=rows.column("n").to_numpy())
-    return pa.table({"piece": rows.column("piece")[:1], "v": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+    """Pieces of weights as one, weighted by the words they were trained on."""
+    n = rows.column("n").to_numpy()
+    mean = np.average(np.stack(rows.column("v").to_numpy(zero_copy_only=False)), axis=0, weights=n)
+    return pa.table({"piece": rows.column("piece")[:1], "part": rows.column("part")[:1], "n": pa.array([int(n.sum())], pa.int64()), "v": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
 
 
 def fit(codes: DataFrame, counts: Counts, rounds: int = ROUNDS, slices: int = SLICES) -> Network:
@@ -407,8 +414,9 @@ def fit(codes: DataFrame, counts: Counts, rounds: int = ROUNDS, slices: int = SL
     share = spread_of(F.lit(6), "doc_id")
     for k in range(rounds):
         own = codes.where(~F.col("held") & (share >= k / slices) & (share < (k + 1) / slices)).select("codes")
-        made = own.mapInArrow(_round(net.flat(), RATE / (1 + k)), "piece long, n long, v array<float>")
-        got = made.groupBy("piece").applyInArrow(_average, "piece long, v array<float>").collect()  # as large as the network
+        made = own.mapInArrow(_round(net.flat(), RATE / (1 + k)), AVERAGED)
+        made = made.groupBy("piece", "part").applyInArrow(_average, AVERAGED)
+        got = made.groupBy("piece").applyInArrow(_average, AVERAGED).collect()  # as large as the network
         if got:
             net = Network.of(np.concatenate([np.array(r.v, np.float32) for r in sorted(got, key=lambda r: r.piece)]))
     return net

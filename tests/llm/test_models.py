@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,6 +298,16 @@ def test_lanes_and_windows_do_not_matter(small_net, lanes, window):
     assert recurrent.log_likelihoods(net, docs, lanes, window) == pytest.approx(alone, rel=1e-4)
 
 
+def test_average_in_groups_is_the_average():
+    rng = np.random.default_rng(4)
+    v, n = rng.normal(size=(9, 5)).astype(np.float32), rng.integers(1, 50, 9)
+    table = lambda own, part: pa.table({"piece": [0] * len(own), "part": [part] * len(own), "n": n[own], "v": pa.array(list(v[own]), pa.list_(pa.float32()))})
+    groups = pa.concat_tables([recurrent._average(table(np.arange(0, 4), 0)), recurrent._average(table(np.arange(4, 9), 1))])
+    out = recurrent._average(groups)
+    assert out.column("v").to_pylist()[0] == pytest.approx(np.average(v, axis=0, weights=n), rel=1e-5)
+    assert out.column("n").to_pylist() == [n.sum()]
+
+
 def by_hand_base(pairs, held):
     c = Counter()
     for (_, t), h in zip(pairs, held, strict=True):
