@@ -11,6 +11,23 @@ from pyspark.sql import DataFrame
 BATCH_ROWS = 500
 
 
+#: Characters that numpy code takes at once, for batches of very long texts.
+PIECE_CHARS = 1_000_000
+
+
+def pieces(texts: list[str | None], most: int = PIECE_CHARS) -> Iterator[slice]:
+    """Stretches of a batch of about ``most`` characters at most, or of one longer text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and size + n > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if texts:
+        yield slice(start, len(texts))
+
+
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``function`` over small Arrow batches of ``df``; a worker holds one batch at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

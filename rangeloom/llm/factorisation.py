@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.arrow import by_batch
+from rangeloom.llm.arrow import by_batch, pieces
 from rangeloom.llm.common import marked, remainder, sampled
 from rangeloom.llm.docstats import AT, FEATURES, features, table
 
@@ -107,6 +107,9 @@ class Machine:
                 self.bias -= RATE * g.sum() / np.sqrt(past_b)
 
     def score(self, texts: list[str | None], n_chars: list[int | None]) -> np.ndarray:
+        return np.concatenate([self._score(texts[p], n_chars[p]) for p in pieces(texts)])
+
+    def _score(self, texts: list[str | None], n_chars: list[int | None]) -> np.ndarray:
         row, ids, x, _ = joined(texts, n_chars, self.cuts)
         return 1 / (1 + np.exp(-np.clip(self.sums(row, ids, x, len(texts))[0], -30, 30)))
 
@@ -117,6 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine:
     rows = docs.where(~held_out).select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [inputs(batch.slice(p.start, p.stop - p.start)) for p in pieces(batch.column("text").to_pylist())]
+        return pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+    def inputs(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         row, ids, values, x = joined(texts, batch.column("n_chars").to_pylist(), None)
         order = np.argsort(row, kind="stable")

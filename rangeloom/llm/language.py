@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.arrow import by_batch
+from rangeloom.llm.arrow import by_batch, pieces
 from rangeloom.llm.common import remainder, sampled, spread_of, stored
 
 SAMPLE = 2000
@@ -128,6 +128,10 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy a letter by text and language, letters and spaces of each text, and whether it has a letter."""
+        parts = [self._entropies(texts[p]) for p in pieces(texts)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         letters, sizes = units(texts)
         doc = np.repeat(np.arange(len(texts)), sizes)
         lettered = np.bincount(doc, letters != SPACE, minlength=len(texts)) > 0
@@ -160,8 +164,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang in sorted(set(langs)):
-            letters, sizes = units([t for t, x in zip(texts, langs, strict=True) if x == lang])
-            keys, n = np.unique(grams(letters, sizes), return_counts=True)
+            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+            found = [np.unique(grams(*units(own[p])), return_counts=True) for p in pieces(own)]
+            keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 

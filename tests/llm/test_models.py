@@ -16,12 +16,22 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rangeloom.llm import docstats, factorisation, language, recurrent, toxicity, trees
+from rangeloom.llm.arrow import pieces
 from rangeloom.llm.common import remainder
 from tests.llm.conftest import rows
 
 NO = F.lit  # held-out columns are made inside tests, when a session exists
 
 
+def test_pieces_of_long_texts():
+    texts = ["ab", None, "x" * 10, "", "yyy", "z" * 4]
+    for most in (1, 3, 5, 100):
+        parts = list(pieces(texts, most))
+        assert [t for p in parts for t in texts[p]] == texts
+        assert all(sum(len(t or "") for t in texts[p]) <= most or sum(bool(t) for t in texts[p]) == 1 for p in parts)
+    assert list(pieces([])) == []
+
+
 # ---- language -----------------------------------------------------------------------------------
 
 
