@@ -56,7 +56,8 @@ class IndexedFrame:
 
     @property
     def ranges(self) -> list[LongRange]:
-        """The chunks' ranges, in order; unknown ones are worked out from gaps between indices."""
+        """The chunks' ranges, in order: metadata on the driver, an entry a chunk. Unknown ones are worked out
+        from gaps between indices; for indices full of gaps use :meth:`runs`, which stays a table."""
         if self._ranges is None:
             rows = self.runs().collect()
             self._ranges = [LongRange(r.start, r.stop) for r in rows]
@@ -99,11 +100,15 @@ class IndexedFrame:
         return r in self.ranges
 
     def contains_index(self, i: int) -> bool:
-        return any(i in r for r in self.ranges)
+        if self._ranges is None:
+            return not self.df.where(F.col(self.idx) == i).isEmpty()
+        return any(i in r for r in self._ranges)
 
     def contains_range(self, r: LongRange) -> bool:
         """Whether all of ``r`` lies in chunks, adjacent ones together perhaps."""
-        return r.covered_by(self.ranges)
+        if self._ranges is None:
+            return self.df.where(r.where(self.idx)).count() == r.size
+        return r.covered_by(self._ranges)
 
     def add(self, other: IndexedFrame) -> IndexedFrame:
         """With the chunks of ``other``, none of which may overlap one that is there."""
@@ -176,9 +181,10 @@ class IndexedFrame:
 
     def sub_list(self, r: LongRange) -> IndexedFrame:
         """What lies in ``r``, clipped to the list; IndexError if nothing does."""
-        if not any(r.intersection(own) for own in self.ranges):
+        part = self.slice(r)
+        if not part._ranges if part._ranges is not None else part.df.isEmpty():
             raise IndexError(str(r))
-        return self.slice(r)
+        return part
 
     def range_check(self, r: LongRange) -> None:
         if not self.contains_range(r):

@@ -100,6 +100,10 @@ def test_chunks(spark):
     assert x.split_chunks(LongRange(1, 4)).ranges == [LongRange(1, 3), LongRange(3, 4)]
     assert [p.ranges for p in x.split_at(1, 4)] == [[LongRange(0, 1)], [LongRange(1, 3)], [LongRange(3, 4)], [LongRange(4, 5)], [LongRange(5, 6)]]
     loose = IndexedFrame(x.df.where("idx != 3"))
+    assert loose.contains_index(2) and not loose.contains_index(3) and loose.contains_range(LongRange(0, 3)) and not loose.contains_range(LongRange(2, 5))
+    assert loose.sub_list(LongRange(4, 9)).size() == 2
+    with pytest.raises(IndexError):
+        loose.sub_list(LongRange(3, 4))
     assert loose.ranges == [LongRange(0, 3), LongRange(4, 6)]
     assert [(r.start, r.stop) for r in IndexedFrame(x.df.where("idx != 3")).runs(2).collect()] == [(0, 3), (4, 6)]
     parts = {(r.part, r.n) for r in x.with_part(4).groupBy("part").agg(F.count("*").alias("n")).collect()}
