@@ -44,7 +44,7 @@ def list_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IndexedFrame.generate(spark, LongRange(10, 60), square=F.col("idx") * F.col("idx") + 1, constant="x", nothing=F.lit(None).cast("int")).df
 
 
-@query("SELECT * FROM (VALUES (5, -5), (6, -1), (7, 5), (8, 2), (9, 4)) t(idx, value)")
+@query("SELECT * FROM (VALUES (5::BIGINT, -5), (6, -1), (7, 5), (8, 2), (9, 4)) t(idx, value)")
 def list_from_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IndexedFrame.from_values(spark, LongRange(5, 10), [-5, -1, 5, 2, 4], kind="int").df
 
