@@ -24,16 +24,16 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import BLANKS, n_words, stored
+from rangeloom.llm.common import BLANKS, WORD, n_words, stored
 
 CAPACITY = 4096
 GROUP = 20_000
 #: Slots that all sources share by their documents' number, one each at least.
 SLOTS = 48
-SCHEMA = "doc_id long, piece int, bin_id long, start int, length int, offset int"
+SCHEMA = "doc_id long, cluster long, piece int, bin_id long, start int, length int, offset int"
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -98,7 +98,7 @@ def _pack(capacity: int, slots: int):
         doc = np.repeat(np.arange(len(rows)), whole)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)
         bins = max(at, default=-1) + 1
-        ids = rows["doc_id"]
+        ids, own = rows["doc_id"], rows["cluster"].to_numpy()
         none = np.flatnonzero(size == 0)
         parts = [
             (packed, whole[packed], np.array(at, np.int64), whole[packed] * capacity, rest[packed], np.array(offset, np.int64)),
@@ -106,18 +106,22 @@ def _pack(capacity: int, slots: int):
             (none, np.zeros(len(none), np.int64), None, np.zeros(len(none), np.int64), np.zeros(len(none), np.int64), np.zeros(len(none), np.int64)),
         ]
         return pd.concat([
-            pd.DataFrame({"doc_id": ids.iloc[i].to_numpy(), "piece": p, "bin_id": -1 if b is None else b + (group << 32), "start": s, "length": n, "offset": o})
+            pd.DataFrame({"doc_id": ids.iloc[i].to_numpy(), "cluster": own[i], "piece": p, "bin_id": -1 if b is None else b + (group << 32), "start": s, "length": n, "offset": o})
             for i, p, b, s, n, o in parts
         ])
 
     return run
 
 
+def _cluster() -> Column:
+    """Documents with the same text, but for blanks, are a cluster."""
+    return F.xxhash64(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, " "))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slots: int = SLOTS) -> DataFrame:
-    """Where each piece of each row of ``docs`` (doc_id, text, source) goes: doc_id, piece, bin_id, start and
-    length in words of the text, offset in words of the bin."""
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, " ")
-    slim = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(text).alias("cluster"))
+    """Where each piece of each row of ``docs`` (doc_id, text, source) goes: doc_id, cluster (a hash of the
+    text), piece, bin_id, start and length in words of the text, offset in words of the bin."""
+    slim = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), _cluster().alias("cluster"))
     slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "lengths")
     groups = max(1, -(-slim.count() // group))
     # By row, not id: a text that is in the table very often is spread over the groups.
@@ -125,5 +129,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slots: i
     return dealt.repartition(min(groups, 10_000), "g").groupBy("g").applyInPandas(_pack(capacity, slots), SCHEMA)
 
 
+def bins(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The bins themselves: bin_id, length in words, text (the pieces in order, words parted by one space)
+    and the ids in it. A bin is bounded by its capacity; texts are shuffled twice, to their pieces and to bins."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), _cluster().alias("__c"), "text").dropDuplicates(["__id", "__c"])
+    placed = packed.where("bin_id >= 0")
+    met = placed.join(texts, placed["doc_id"].eqNullSafe(texts["__id"]) & (placed["cluster"] == texts["__c"]))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    piece = F.struct("offset", "doc_id", F.array_join(F.slice(words, F.col("start") + 1, F.col("length")), " ").alias("text"), "length")
+    each = met.select("bin_id", piece.alias("p")).groupBy("bin_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    total = F.aggregate("p", F.lit(0), lambda a, x: a + x["length"])
+    return each.select("bin_id", total.alias("length"), F.array_join(F.col("p.text"), " ").alias("text"), F.col("p.doc_id").alias("doc_ids"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

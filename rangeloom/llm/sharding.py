@@ -66,6 +66,26 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     return placed.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("position") - first).alias("slot"))
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 23, rows_per_file: int = 1_000_000) -> None:
+    """All rows and columns of ``docs`` as Parquet under ``path/shard=k``, in order of their slots.
+
+    Rows are dealt to tasks by ranges of (shard, slot), so that a large shard is written by many tasks,
+    and a shard's files hold consecutive slots. Rows alike in id and text share their places in any order.
+    """
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    alike = Window.partitionBy("__id", "__crc").orderBy("__at")
+    placed = interleave(docs, shards, seed).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.struct("shard", "slot").alias("__at"))
+    placed = placed.withColumn("__k", F.row_number().over(alike))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    mine = docs.select(F.col("doc_id").alias("__i"), crc.alias("__c"), row)
+    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__c").orderBy("__i")))
+    met = mine.join(placed, mine["__i"].eqNullSafe(placed["__id"]) & (F.col("__c") == F.col("__crc")) & (F.col("__n") == F.col("__k")))
+    out = met.select("__row.*", F.col("__at.shard").alias("__shard"), F.col("__at.slot").alias("__slot"))
+    out = out.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    out.select(*names, F.col("__shard").alias("shard")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")

@@ -174,3 +174,31 @@ def test_hot_source_gets_slots(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d w"), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, F.lit("s")).otherwise(F.lit("hot")).alias("source"))
     bins = packing.pack(docs, capacity=500).groupBy("bin_id").count().agg(F.max("count")).first()[0]
     assert bins > 20
+
+
+def test_bins_hold_the_words(spark, odd):
+    packed = packing.pack(odd, capacity=16).cache()
+    made = packing.bins(odd, packed).collect()
+    text = {}
+    for r in rows():
+        text.setdefault((r[0], words(r[1])), (r[1] or "").encode().split())
+    assert sum(r.length for r in made) == sum(words(r[1]) for r in rows())
+    pieces = {}
+    for p in packed.where("bin_id >= 0").collect():
+        pieces.setdefault(p.bin_id, []).append((p.offset, p.doc_id, p.start, p.length))
+    assert {r.bin_id for r in made} == pieces.keys()
+    for r in made:
+        assert len(r.text.split(" ")) == r.length <= 16
+        for (at, i, start, n), got in zip(sorted(pieces[r.bin_id]), r.doc_ids, strict=True):
+            assert got == i
+            own = r.text.split(" ")[at : at + n]
+            assert any(k[0] == i and [w.decode() for w in t[start : start + n]] == own for k, t in text.items())
+
+
+def test_written_shards(spark, odd, tmp_path):
+    sharding.write_shards(odd.drop("shard"), str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    got = back.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter((r[0], r[1], r[3]) for r in rows())
+    want = Counter((r.doc_id, r.shard) for r in sharding.interleave(odd, shards=4).collect())
+    assert Counter((r.doc_id, r.shard) for r in got) == want
