@@ -29,7 +29,11 @@ def pieces(texts: list[str | None], most: int = PIECE_CHARS) -> Iterator[slice]:
 
 
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over small Arrow batches of ``df``; a worker holds one batch at a time."""
+    """``function`` over small Arrow batches of ``df``; a worker holds one batch at a time.
+
+    The session's setting for rows of an Arrow batch is lowered to ``BATCH_ROWS`` and stays so, since
+    the result is computed later.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
