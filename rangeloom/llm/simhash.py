@@ -23,7 +23,7 @@ component's name unless it has no other (then its name is null); an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,8 +218,14 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD)
 def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
     """(doc_id, mark, fp, root, component_id) of each row of ``docs`` (doc_id, text); ``root`` is a fingerprint of the component."""
     rows = stored(fingerprints(docs), "fingerprints")
+    return grouped(rows, lambda distinct: near_links(distinct.select("fp"), radius, spread))
+
+
+def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, mark, fp, root, component_id) of ``rows`` (doc_id, mark, fp) by what the links (u, v) reach
+    that ``links`` finds between their distinct ``fp``."""
     groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(near_links(groups.select("fp"), radius, spread))
+    roots = components(links(groups))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
@@ -228,10 +234,10 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) ->
     return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select("doc_id", "mark", "fp", "v.root", "v.component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all columns of ``docs``: the one whose id names the group; of several
-    such rows one of those with the smallest mark."""
-    rows = stored(near_groups(docs), "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row of each group (``groups``: as of ``near_groups``, the default), with all columns of ``docs``: the
+    one whose id names the group; of several such rows one of those with the smallest mark."""
+    rows = stored(near_groups(docs) if groups is None else groups, "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = rows.groupBy("root").agg(F.min(F.struct("mark", "doc_id")).alias("r"), F.count(F.lit(1)).alias("n"))
     named = stored(named.select(F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__m"), "n"), "named")
     mine = docs.withColumn("__mark", mark(F.col("text")))
