@@ -16,7 +16,7 @@ whatever the size of the vocabulary, and only ``HEAD`` words and a row a class a
    class. What a document's words have of their classes and its base score are sums made there.
 4. The network is trained in ``ROUNDS`` rounds. In each, every task trains on its part of a
    ``1 / SLICES`` share of the training documents, by backpropagation truncated to windows, and the
-   tasks' weights are averaged. What is trained on grows with the corpus; the network doesn't.
+   tasks' weights are averaged. ``SLICES`` is ``ROUNDS``: each training document is trained on once.
 5. All documents are scored in lanes of documents one after another; the state is carried from window
    to window and reset where a document begins.
 
@@ -43,7 +43,7 @@ STATE = 16
 CHUNK = 2_000_000
 #: Words that a worker trains on or scores at once.
 POOL = 2_000_000
-ROUNDS, SLICES = 4, 16
+ROUNDS, SLICES = 4, 4
 WINDOW, LANES = 32, 256
 RATE, UPDATES = 0.02, 100
 CODES = HEAD + BANDS

@@ -367,3 +367,21 @@ def test_chunks_do_not_matter(odd, monkeypatch):
     parts, again = recurrent.encode(odd.coalesce(1), held_out)
     assert counts.total == again.total and counts.kinds == again.kinds
     assert Counter(map(tuple, whole.select(*columns).collect())) == Counter(map(tuple, parts.select(*columns).collect()))
+
+
+def test_network_is_trained_on_all_training_documents(spark, monkeypatch):
+    """Each round takes a share of the documents by hash; the shares together are all of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(start, rate):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(recurrent, "_round", counted)
+    codes = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 2).alias("held"), F.array(F.lit(0)).alias("codes"))
+    recurrent.fit(codes, recurrent.Counts(400, [3], {}, 0))
+    assert seen.value == codes.where("NOT held").count()
