@@ -343,20 +343,31 @@ def log_likelihoods(net: Network, docs: list[np.ndarray], lanes: int = LANES, wi
 
 
 def train(net: Network, docs: list[np.ndarray], rate: float, window: int = WINDOW) -> float:
-    """One pass over ``docs`` by Adam, in place; as many lanes as leave about ``UPDATES`` windows. Returns the mean loss."""
+    """One pass over all of ``docs`` by Adam, in place; as many lanes as leave about ``UPDATES`` windows.
+    Where less than an eighth of the lanes is left, gradients of several windows make one update.
+    Returns the mean loss of a word."""
     total = sum(map(len, docs))
     codes, inputs, doc, fresh = lanes_of(docs, int(np.clip(total // (window * UPDATES), 8, 128)))
-    h = np.zeros((codes.shape[1], STATE), np.float32)
+    lanes = codes.shape[1]
+    h = np.zeros((lanes, STATE), np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
-    losses, step = [], 0
+    loss_sum, step = 0.0, 0
+    held, words, waiting = {}, 0, 0  # the gradients' sum over words, and the words and lanes in it
     for at in range(0, len(codes), window):
         part = slice(at, at + window)
+        live = doc[part].max(axis=0) >= 0
+        if not live.all():  # lanes that are through
+            codes, inputs, doc, fresh, h = codes[:, live], inputs[:, live], doc[:, live], fresh[:, live], h[live]
         real = doc[part] >= 0
-        live = real.any(axis=0)
-        if live.sum() * 8 < len(live):  # a last long document alone would be trained on in tiny batches
-            continue
         g, h, loss = net.gradients(inputs[part], codes[part], fresh[part], real, h)
-        losses.append(loss)
+        n = int(real.sum())
+        loss_sum += loss * n
+        held = {k: v * np.float32(n) + held[k] if held else v * np.float32(n) for k, v in g.items()}
+        words, waiting = words + n, waiting + codes.shape[1]
+        if waiting * 8 < lanes and at + window < len(codes):  # the last long documents alone would make tiny batches
+            continue
+        g = {k: v / np.float32(words) for k, v in held.items()}
+        held, words, waiting = {}, 0, 0
         step += 1
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
@@ -364,7 +375,7 @@ def train(net: Network, docs: list[np.ndarray], rate: float, window: int = WINDO
             first[k] += 0.1 * (v - first[k])
             second[k] += 0.01 * (v * v - second[k])
             net.w[k] -= np.float32(rate / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)) * first[k] / (np.sqrt(second[k]) + 1e-7)
-    return float(np.mean(losses)) if losses else 0.0
+    return loss_sum / total if total else 0.0
 
 
 #: Weights of a piece, and groups in which tasks' weights are averaged before the groups are.

@@ -385,3 +385,19 @@ def test_network_is_trained_on_all_training_documents(spark, monkeypatch):
     codes = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 2).alias("held"), F.array(F.lit(0)).alias("codes"))
     recurrent.fit(codes, recurrent.Counts(400, [3], {}, 0))
     assert seen.value == codes.where("NOT held").count()
+
+
+def test_all_words_of_a_long_document_are_trained_on(small_net, monkeypatch):
+    _, net = small_net
+    rng = np.random.default_rng(5)
+    docs = [rng.choice([0, 1, 2, 1024], n).astype(np.int32) for n in (3000, *[40] * 640)]
+    seen, plain = [], recurrent.Network.gradients
+
+    def counted(self, inputs, codes, fresh, real, h):
+        seen.append(int(real.sum()))
+        return plain(self, inputs, codes, fresh, real, h)
+
+    monkeypatch.setattr(recurrent.Network, "gradients", counted)
+    mine = recurrent.Network.of(net.flat())
+    loss = recurrent.train(mine, docs, 0.01, window=16)
+    assert sum(seen) == sum(map(len, docs)) and np.isfinite(loss) and np.isfinite(mine.flat()).all()
