@@ -101,6 +101,18 @@ def embedding_pairs_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.combination().map(dot=F.round(F.aggregate(products, F.lit(0.0), lambda a, b: a + b), 4))
 
 
+@query("""
+WITH a AS (SELECT vec_id AS i, embedding AS x, CAST(ntile(4) OVER (ORDER BY vec_id) - 1 AS INTEGER) AS ti FROM embeddings), b AS (SELECT i AS j, x AS y, ti AS tj FROM a),
+     p AS (SELECT ti, tj, round(list_sum(list_transform(list_zip(x, y), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 4) AS dot FROM a JOIN b ON i < j)
+SELECT ti, tj, count(*) AS n, max(dot) AS top, min(dot) AS low FROM p GROUP BY ti, tj""")
+def embedding_tiles_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot products of all pairs of embeddings, by tile."""
+    x = IndexedFrame(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    products = F.zip_with("l_embedding", "r_embedding", lambda a, b: a.cast("double") * b.cast("double"))
+    dot = F.round(F.aggregate(products, F.lit(0.0), lambda a, b: a + b), 4)
+    return x.combination().split(4, 4).reduce_tiles(n=rows(), top=F.max(dot), low=F.min(dot))
+
+
 @query("""
 WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_nationkey AS x, b.s_nationkey AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
      d AS (SELECT i AS idx, y AS v FROM p UNION ALL SELECT j, x FROM p)
