@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import part_of
 from rangeloom.operators.reduce import Reducer, reduce_with
+from rangeloom.operators.repeat import repeated
 
 
 class BagFrame:
@@ -76,18 +77,20 @@ class BagFrame:
     def with_part(self, parts: int, *order: str, name: str = "part", blocks: int = 4096) -> DataFrame:
         """Rows with a part, sizes at most one apart.
 
-        Rows are dealt to hash blocks, blocks are counted and get their first position from a scan over
-        the counts, and rows are numbered inside their block; so rows that agree in all columns of
-        ``order`` (default: all columns) are the only ones whose places may change between runs.
+        Equal rows are one row with a number until their places are known. Rows are dealt to hash blocks,
+        blocks are counted and get their first position from a scan over the counts, and rows are numbered
+        inside their block; so no row fills a block, however often it occurs, and places don't change between runs.
         """
-        by = order or tuple(self.df.columns)
-        keyed = self.df.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(blocks)))
-        counts = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+        names = self.df.columns
+        by = order or tuple(names)
+        keyed = self.df.groupBy(*names).agg(F.count(F.lit(1)).alias("__m")).withColumn("__b", F.pmod(F.xxhash64(*by, *names), F.lit(blocks)))
+        counts = keyed.groupBy("__b").agg(F.sum("__m").alias("__c"))
         before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-        numbered = keyed.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*by)))
-        met = numbered.join(F.broadcast(starts), "__b")  # at most ``blocks`` rows
-        return met.withColumn(name, part_of(F.col("__s") + F.col("__rn") - 1, F.col("__n"), parts)).drop("__b", "__rn", "__s", "__n")
+        inside = Window.partitionBy("__b").orderBy(*by, *[c for c in names if c not in by]).rowsBetween(Window.unboundedPreceding, 0)
+        numbered = keyed.withColumn("__rn", F.sum("__m").over(inside) - F.col("__m"))
+        met = repeated(numbered.join(F.broadcast(starts), "__b"), "__m", "__k")  # at most ``blocks`` starts
+        return met.withColumn(name, part_of(F.col("__s") + F.col("__rn") + F.col("__k"), F.col("__n"), parts)).drop("__b", "__rn", "__s", "__n", "__m", "__k")
 
     def separate(self, parts: int) -> list[BagFrame]:
         """``parts`` bags, sizes at most one apart, that together hold all rows."""
