@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Rows of a batch, so that a batch of the longest texts still fits in a worker.
-BATCH_ROWS = 500
-
-
+#: Rows and bytes of text that a function gets at once (one longer text by itself). Spark bounds the bytes
+#: of what arrives; these bound what a worker makes of it.
+BATCH_ROWS, BATCH_BYTES = 500, 4_000_000
 #: Characters that numpy code takes at once, for batches of very long texts.
 PIECE_CHARS = 1_000_000
 
@@ -28,17 +29,27 @@ def pieces(texts: list[str | None], most: int = PIECE_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over small Arrow batches of ``df``; a worker holds one batch at a time.
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in stretches of at most ``rows`` rows and ``most`` bytes of strings (or of one row)."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
-    The session's setting for rows of an Arrow batch is lowered to ``BATCH_ROWS`` and stays so, since
-    the result is computed later.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``function`` over small stretches of ``df``'s Arrow batches; the session's settings stay as they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
+        for batch in slices(batches):
+            if (out := function(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

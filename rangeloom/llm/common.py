@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +44,46 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: computed once, lineage cut,
-    and still readable when an executor is lost."""
+    and still readable when an executor is lost. See :func:`freed` for when it goes."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for own in _SCRATCH:
+        own.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def free(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables in the shared folder."""
+    for path in paths:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: Paths that the blocks of :func:`freed` now open have seen, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose stored tables go at its end, but for those made by the function it gives, which is
+    :func:`stored` for results. Only results may be used after the block; if it fails all tables stay
+    until the application ends."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.add(out.stored_at)
+        return out
+
+    _SCRATCH.append(mine := [])
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+    free(spark, *[p for p in mine if p not in kept])
 
 
 #: A key with at least this share of the rows counts as hot; there can't be more than 1 / HOT of them.
@@ -112,12 +149,20 @@ def spread_of(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
+def one_text(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each value of ``by``, with the smallest of its other columns' values (text first); combined
+    before the shuffle, so that an id on very many rows is no burden to a task or to who collects the result."""
+    rest = sorted((c for c in rows.columns if c not in by), key=lambda c: (c != "text", c))
+    return rows.groupBy(*by).agg(F.min(F.struct(*rest)).alias("r")).select(*by, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def sampled(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows of each value of ``by`` (all if there are fewer), with ``rate``, the share kept.
+    """About ``most`` ids of each value of ``by`` (all if there are fewer), with ``rate``, the share kept.
 
-    A bounded sample to fit a classifier on. Rows are chosen by the hash of doc_id, so no value's rows meet in a task.
+    A bounded sample to fit a classifier on. Ids are chosen by their hash, so no value's rows meet in a
+    task, and ids are counted, not rows; callers take one row an id (:func:`one_text`).
     """
-    rates = rows.groupBy(by).agg(F.least(F.lit(1.0), most / F.count(F.lit(1))).alias("rate"))
+    rates = rows.groupBy(by).agg(F.least(F.lit(1.0), most / F.greatest(F.approx_count_distinct("doc_id", 0.02), F.lit(1))).alias("rate"))
     met = small_join(rows, stored(rates, "rates"), [by], F.col("doc_id"))
     return met.where(spread_of(F.lit(seed), "doc_id") < F.col("rate"))
 

@@ -13,11 +13,12 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import BLANKS, counted_join, new_path, stored
+from rangeloom.llm.common import BLANKS, counted_join, free, freed, new_path, stored
 
 #: Buckets of an index at least, and rows that a bucket is made for.
 BUCKETS, BUCKET_ROWS = 64, 4_000_000
@@ -51,13 +52,23 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, batch: str = "0") -> DataFrame:
+    def drop(self) -> None:
+        """Forgets the index and deletes its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        free(self.spark, self.path)
+
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Deduplicates ``docs`` (doc_id, text) against the index and itself, and appends what is new.
 
         Returns a row for each row of ``docs``: doc_id, keep_id, group_size (rows of ``docs`` with
-        that text), kept, digest. A batch name must be new; running a batch again after a failure
-        before its append is safe, because the append is one commit.
+        that text), kept, digest. A batch gets a fresh name; one that is given must not be in the index
+        yet (ValueError), since rows are told apart within their batch only. Running a batch again
+        after a failure before its append is safe, because the append is one commit.
         """
+        if batch is None:
+            batch = uuid.uuid4().hex
+        elif not self.table().where(F.col("batch") == batch).isEmpty():
+            raise ValueError(f"batch {batch} is in the index")
         rows = stored(digests(docs), "digests")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid"))
         groups = stored(
@@ -76,12 +87,18 @@ class DigestIndex:
         return both.select("doc_id", "v.keep_id", "v.group_size", F.coalesce(F.col("rid") == F.col("v.keep_rid"), F.lit(False)).alias("kept"), "rid", "digest")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "0") -> DataFrame:
-    """``docs`` against ``index`` (default: a new, empty one, with buckets for as many rows); see :meth:`DigestIndex.add`."""
-    spark = docs.sparkSession
-    if index is None:
-        index = DigestIndex(spark, new_path(spark, "index"), max(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
-    return index.add(docs.select("doc_id", "text"), batch)
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """``docs`` against ``index`` (default: a new, empty one with buckets for as many rows, which goes when
+    the result is written); see :meth:`DigestIndex.add`."""
+    spark, rows = docs.sparkSession, docs.select("doc_id", "text")
+    if index is not None:
+        return index.add(rows, batch)
+    own = DigestIndex(spark, new_path(spark, "index"), max(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
+    try:
+        with freed(spark) as keep:
+            return keep(own.add(rows), "verdict")
+    finally:
+        own.drop()
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +115,17 @@ FROM d
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns.
+    """The rows of ``docs`` that stay, with all its columns, whatever their names.
 
     Rows are found again by id and digest; where several rows have both alike, one of them is taken.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    verdict = stored(exact_dedup(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "kept"), "verdict")
-    alike = verdict.groupBy("__id", "__d").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    verdict = exact_dedup(docs).select(F.col("doc_id").alias("id"), "digest", "kept")
+    alike = verdict.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, " ")
-    mine = docs.withColumn("__d", F.unhex(F.sha2(text, 256)))
-    stays = verdict.where("kept")
-    out = mine.join(stays, mine["doc_id"].eqNullSafe(stays["__id"]) & (mine["__d"] == stays["__d"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mine = docs.select(F.col("doc_id").alias("own_id"), F.unhex(F.sha2(text, 256)).alias("own"), row)
+    stays = verdict.where("kept").select("id", "digest")
+    out = mine.join(stays, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")), "left_semi")
     if not alike.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__d"])
-    return out.select(*names)
+        out = out.dropDuplicates(["own_id", "own"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -9,12 +9,15 @@ Candidates come from ``2 ** (radius + 1) - 1`` tables. Bit position ``i`` gets a
 ``radius`` dimensions, so some ``v`` is orthogonal to all of them and that table's mask hides every
 difference: each pair within the radius meets in some table, without exception.
 
-Inside a bucket no pairs are listed. Two members are within 2 bits just when some value is within
-1 bit of both; so each member names itself and its neighbours at 1 bit among the hidden positions,
-sorting brings equal names together, and those who share a name are linked to the first of them
-(for radius 1 only the member itself and larger neighbours meet, see ``_links``). That is linear in
-the bucket. Buckets over ``SPREAD`` members do the same as rows of a Spark table, where a name is
-shared by at most 65 fingerprints. Copies of a text have one fingerprint and are one row throughout.
+Inside a bucket no pairs are listed. With ``h`` the half of ``radius``, rounded up, each member names all
+values within ``h`` bits among the hidden positions, itself too, and sorting brings equal names together.
+Two members within ``radius`` share a name that is within ``h`` bits of one and within ``radius - h`` of
+the other. So who shares a name is linked to one of them that is within ``radius - h`` of it, if there is
+one: for an even radius that is any of them, for radius 1 the member whose value the name is. All such
+links are within ``radius``, none is missed, and the work is linear in the bucket. Buckets over
+``SPREAD`` members do the same as rows of a Spark table, where a name is shared by no more fingerprints
+than a member has names. Copies of a text have one fingerprint and are one row throughout.
+Tables and names grow steeply with the radius: ``MOST`` is the largest.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like others; rows with
 the same id are separate rows with the same component if their texts link; null ids are never a
@@ -24,6 +27,7 @@ component's name unless it has no other (then its name is null); an empty table
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.arrow import by_batch
-from rangeloom.llm.common import counted_join, small_join, stored
+from rangeloom.llm.common import BROADCAST_ROWS, counted_join, freed, small_join, stored
 from rangeloom.llm.components import components
 
-RADIUS = 2
+RADIUS, MOST = 2, 4
 #: Buckets with more members than this are spread over tasks.
 SPREAD = 100_000
+#: Names that a task holds at once.
+NAMES = 4_000_000
 #: Rows that a task looks at together, besides what completes the last bucket.
 CHUNK = 50_000
 
@@ -93,8 +99,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _hidden(mask: int) -> list[int]:
-    return [i for i in range(64) if not mask >> i & 1]
+def _flips(mask: int, radius: int) -> list[int]:
+    """What to flip of a member for its names: up to half the radius of the positions that ``mask`` hides, fewest first."""
+    hidden = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(c) for k in range((radius + 1) // 2 + 1) for c in combinations(hidden, k)]
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,24 +117,35 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _links(fps: np.ndarray, hidden: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that link members of whole buckets of one table within ``radius`` (1 or 2)."""
-    flips = np.array([0] + [1 << i for i in hidden], np.uint64)
-    names = (fps[:, None] ^ flips[None, :]).ravel()
+def _links(fps: np.ndarray, flips: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that link members of whole buckets of one table within ``radius``."""
+    names = (fps[:, None] ^ np.array(flips, np.uint64)[None, :]).ravel()
     who = np.repeat(np.arange(len(fps)), len(flips))
-    order = np.argsort(names, kind="stable")
-    names, who = names[order], who[order]
+    near = np.bitwise_count(fps[who] ^ names)
+    order = np.lexsort((near, names))  # of those who share a name the nearest first
+    names, who, near = names[order], who[order], near[order]
     first = np.concatenate([[True], names[1:] != names[:-1]])
-    head = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    apart = np.bitwise_count(fps[head] ^ fps[who])
-    keep = (head != who) & (apart <= radius)
-    return head[keep], who[keep]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    keep = (who[lead] != who) & (near[lead] <= radius - (radius + 1) // 2)
+    return who[lead][keep], who[keep]
 
 
 def _bucket_links(radius: int, spread: int):
     """For rows (t, fp) sorted by table and masked value: links (u, v, -1) of each bucket's members to one
     of them, or (key, 0, t) for a bucket of more than about ``spread`` members."""
     table = masks(radius)
+    flips = [_flips(m, radius) for m in table]
+
+    def bucket_roots(k: int, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The first member that links reach from each one; whole buckets, so many at once that their names fit."""
+        root, at, most = np.arange(len(own)), 0, max(1, NAMES // len(flips[k]))
+        ends = np.append(start[1:], len(own))
+        while at < len(own):
+            fit = ends[(ends > at) & (ends <= at + most)]
+            stop = int(fit[-1]) if len(fit) else int(ends[ends > at][0])
+            root[at:stop] = at + _roots(stop - at, *_links(own[at:stop], flips[k], radius))
+            at = stop
+        return root
 
     def solve(t: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         us, vs = [], []
@@ -139,8 +158,8 @@ def _bucket_links(radius: int, spread: int):
             many = np.repeat(np.diff(np.append(start, len(key))) > 1, np.diff(np.append(start, len(key))))
             own = own[many]
             if len(own):
-                a, b = _links(own, _hidden(table[k]), radius)
-                root = _roots(len(own), a, b)
+                key = key[many]
+                root = bucket_roots(int(k), own, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
                 moved = root != np.arange(len(own))
                 us.append(own[moved])
                 vs.append(own[root[moved]])
@@ -195,9 +214,11 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD)
     Buckets come to the tasks in order, one shuffle for all tables. A task that meets a bucket of more
     than ``spread`` members names it instead of holding it; those buckets are then done as rows.
     """
-    if radius not in (1, 2):
-        raise ValueError("radius must be 1 or 2")
+    if not 1 <= radius <= MOST:
+        raise ValueError(f"the radius must be from 1 to {MOST}")
     table = masks(radius)
+    flips = [_flips(m, radius) for m in table]
+    spread = min(spread, NAMES // max(map(len, flips)))
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(table)])
     rows = distinct.select("fp", F.explode(each).alias("b")).select("fp", "b.t", "b.key")
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "fp")
@@ -206,19 +227,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD)
     large = found.where("t >= 0").select(F.col("t").cast("int").alias("t"), F.col("u").alias("key"), F.lit(True).alias("large")).distinct()
     if large.isEmpty():
         return links
-    flips = [[0] + [_signed(1 << i) for i in _hidden(m)] for m in table]
-    flip = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in f]) for f in flips]), F.col("t") + 1)
+    flip = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in f]) for f in flips]), F.col("t") + 1)
     own = small_join(rows, large, ["t", "key"], F.col("fp")).where("large")
     names = own.select("t", "fp", F.explode(flip).alias("x")).select("t", "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("name"))
-    shared = names.groupBy("t", "name").agg(F.min("fp").alias("v"), F.collect_set("fp").alias("us")).where(F.size("us") > 1)
-    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    return links.unionByName(shared.select(F.explode("us").alias("u"), "v").where(apart.between(1, radius)))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("name")))
+    shared = names.groupBy("t", "name").agg(F.min(F.struct(near.alias("near"), "fp")).alias("lead"), F.collect_set("fp").alias("us"))
+    shared = shared.where((F.size("us") > 1) & (F.col("lead.near") <= radius - (radius + 1) // 2))
+    return links.unionByName(shared.select(F.explode("us").alias("u"), F.col("lead.fp").alias("v")).where("u != v"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
     """(doc_id, mark, fp, root, component_id) of each row of ``docs`` (doc_id, text); ``root`` is a fingerprint of the component."""
-    rows = stored(fingerprints(docs), "fingerprints")
-    return grouped(rows, lambda distinct: near_links(distinct.select("fp"), radius, spread))
+    with freed(docs.sparkSession) as keep:
+        rows = stored(fingerprints(docs), "fingerprints")
+        return keep(grouped(rows, lambda distinct: near_links(distinct.select("fp"), radius, spread)), "near_groups")
 
 
 def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -235,16 +257,25 @@ def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFra
 
 
 def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """One row of each group (``groups``: as of ``near_groups``, the default), with all columns of ``docs``: the
-    one whose id names the group; of several such rows one of those with the smallest mark."""
-    rows = stored(near_groups(docs) if groups is None else groups, "groups").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = rows.groupBy("root").agg(F.min(F.struct("mark", "doc_id")).alias("r"), F.count(F.lit(1)).alias("n"))
-    named = stored(named.select(F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__m"), "n"), "named")
-    mine = docs.withColumn("__mark", mark(F.col("text")))
-    out = mine.join(named, mine["doc_id"].eqNullSafe(named["__id"]) & (mine["__mark"] == named["__m"]), "left_semi")
+    """One row of each group (``groups``: as of ``near_groups``, the default), with all columns of ``docs``, whatever
+    their names: the row whose id names the group; of several such rows one of those with the smallest mark.
+
+    Where a count shows that few rows go, those are broadcast and texts stay where they are; else the rows
+    that stay are joined by shuffle."""
+    rows = near_groups(docs) if groups is None else groups
+    named = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("mark", "doc_id")).alias("r"), F.count(F.lit(1)).alias("n"))
+    named = stored(named.select(F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"), "n"), "named")
+    stays = named.select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    gone = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_anti")
+    gone = stored(gone.select(F.col("doc_id").alias("id"), "mark").distinct(), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mine = docs.select(F.col("doc_id").cast("long").alias("own_id"), mark(F.col("text")).alias("own"), row)
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark"))
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = mine.join(F.broadcast(gone), same, "left_anti") if few else mine.join(named, same, "left_semi")
     if not named.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__mark"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["own_id", "own"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,35 @@ def test_index_grows(spark, odd):
     again = exact_dedup.DigestIndex(spark, path, buckets=4)
     assert {r.doc_id: (r.keep_id, r.kept) for r in again.add(second, "two").collect()} == {1: (3, False), 2: (2, True), 4: (2, False)}
     assert again.table().count() == 3
+    with pytest.raises(ValueError):
+        again.add(second, "two")
+
+
+def test_index_tells_batches_apart(spark):
+    """Rows of two batches have the same numbers; without names of their own they are still not taken for each other."""
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), buckets=2)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert all(r.kept for r in index.add(make((1, "x"), (2, "y"))).collect())
+    assert {r.doc_id: (r.keep_id, r.kept) for r in index.add(make((7, "x"), (8, "z"))).collect()} == {7: (1, False), 8: (8, True)}
+    index.drop()
+
+
+def test_nothing_is_left_in_the_catalogue(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_dedup(odd).count() == len(rows())
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(2, "a", 1, 5, "r"), (1, "a", 2, 6, "s"), (3, "b", 3, 7, "t")], "doc_id long, text string, __d int, own int, row string")
+    for kept in (exact_dedup.keep_first(docs), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a", 2, 6, "s"), (3, "b", 3, 7, "t")]
+
+
+def test_keeping_one_by_shuffle_and_broadcast(spark, odd, monkeypatch):
+    some = sorted(map(str, simhash.keep_one(odd).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, simhash.keep_one(odd).collect())) == some
 
 
 def slow_fingerprint(t):
@@ -100,20 +129,20 @@ def reach(fps, radius):
     return {f: find(f) for f in fps}
 
 
-@pytest.mark.parametrize("spread", [1, 10, 100_000])
-def test_links_reach_what_pairs_reach(spark, spread, monkeypatch):
+@pytest.mark.parametrize("radius,spread", [(2, 1), (2, 10), (2, 100_000), (1, 1), (1, 100_000), (3, 100_000), (3, 2), (4, 100_000)])
+def test_links_reach_what_pairs_reach(spark, radius, spread, monkeypatch):
     random.seed(3)
     fps = set()
-    for _ in range(40):  # chains, balls and lone values
+    for _ in range(40 if radius < 3 else 12):  # chains, balls and lone values
         x = random.getrandbits(64)
         fps.add(x)
         for _ in range(random.choice([0, 0, 3, 25])):
-            for b in random.sample(range(64), random.choice([1, 2, 2, 3])):
+            for b in random.sample(range(64), random.choice([1, 2, 2, 3] if radius < 3 else [2, 3, 4, 5])):
                 x ^= 1 << b
             fps.add(x)
     monkeypatch.setattr(simhash, "CHUNK", 50)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp long").repartition(4), spread=spread).collect()
+    links = simhash.near_links(spark.createDataFrame(signed, "fp long").repartition(4), radius, spread).collect()
     got = {f: f for f in fps}
 
     def find(x):
@@ -125,7 +154,21 @@ def test_links_reach_what_pairs_reach(spark, spread, monkeypatch):
         u, v = r.u % (1 << 64), r.v % (1 << 64)
         x, y = find(u), find(v)
         got[max(x, y)] = min(x, y)
-    assert {f: find(f) for f in fps} == reach(fps, 2)
+    assert {f: find(f) for f in fps} == reach(fps, radius)
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_of_random_balls(radius):
+    """Values around one centre, which share names in all ways there are."""
+    rng = np.random.default_rng(radius)
+    for _ in range(60):
+        base = int(rng.integers(0, 1 << 62))
+        fps = np.unique(np.array([base ^ sum(1 << int(b) for b in set(rng.choice(8, rng.integers(0, 5)))) for _ in range(rng.integers(2, 14))], np.uint64))
+        a, b = simhash._links(fps, simhash._flips(0, radius), radius)
+        root = simhash._roots(len(fps), a, b)
+        want = reach({int(f) for f in fps}, radius)
+        assert {int(f): int(fps[r]) for f, r in zip(fps, root, strict=True)} == want
+        assert all((int(fps[x]) ^ int(fps[y])).bit_count() <= radius for x, y in zip(a, b, strict=True))
 
 
 def test_groups_on_odd_rows(odd, empty):
