@@ -1,20 +1,25 @@
 """Mixing sources to target weights (1): Pareto order sampling.
 
 Every source gets a target in words. A document is expected ``mu = target / source size`` times: its
-``floor(mu)`` whole copies are certain, and one more is drawn with inclusion probability ``pi``, the
-fraction left. The draw ranks documents by ``u / (1 - u)`` over ``pi / (1 - pi)`` (random odds by
-inclusion odds) and takes the lowest until the sample has its fixed size. That size is fixed in
-words, and the ranking is cut within bands of document length, longest first, each band making up
-for what the one before took too much or too little; so a source ends near its target however
-uneven its documents are.
-
-No source is ever ranked in one task: ranks are counted in ``BUCKETS`` steps of a source and band,
-only those counts (at most 40 * ``BUCKETS`` a source) meet, and the cut that results is a number
-that each document compares with its own rank.
+``floor(mu)`` whole copies are certain, and one more is drawn. Documents are drawn with unequal inclusion
+probabilities: within a band of lengths (a power of two) ``pi`` is the fraction left of ``mu``, times the
+document's length over the band's middle length. The draw ranks documents by ``u / (1 - u)`` over
+``pi / (1 - pi)`` (random odds by inclusion odds) and takes the lowest until the sample has its fixed
+size. That size is fixed in words for each source and band, longest band first; each band makes up for
+what the one before took too much or too little, by up to a document of that one. So a source ends
+near its target however uneven its documents are, and what is drawn of a band are exactly the
+documents with the lowest ranks.
+
+No source is ever ranked in one task. Ranks are whole numbers of ``BITS`` bits. Words are counted in
+``2 ** STEP`` steps of a source and band; the few steps that may hold the band's cut, whatever the bands
+before leave, are counted again in steps of steps, until so few documents are left (``GATHER`` a source)
+that their ranks themselves are looked at. The cut that results is a number that each document compares
+with its own rank.
 
 Defined cases: a null text has size 0; documents of size 0 take 0 words; a null source is a source of
 its own, last; rows that agree in id, source and size are drawn alike; an empty table gives an empty
-result.
+result; rows whose
+ranks agree are drawn together.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import hash60, n_words, small_join, stored
 
-BUCKETS = 1024
-CUTS = "source string, base int, cuts array<int>"
+BITS, STEP = 50, 10
+#: Documents of a source whose ranks a task may look at.
+GATHER = 50_000
+BANDS = 64
+CUTS = "source string, cuts array<long>"
+SPANS = "source string, band int, low long, high long, before double, words double, rest double, n long"
 
 
 def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -54,51 +63,94 @@ def source_targets(sizes: DataFrame, share: float = 1.0, weights: tuple[float, .
     return per.select("source", "source_size", target.alias("target"))
 
 
-def _cuts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For a source: for each band the bucket below which documents are drawn."""
-    cuts, carry = [0] * 64, 0.0
+def _by_band(rows: pd.DataFrame):
+    """(band, its rows by key) from the longest documents' band on, with by how much the one before may miss its need."""
+    limit = 0.0
     for band in sorted(rows["band"].unique(), reverse=True):
-        own = rows[rows["band"] == band].sort_values("bucket")
-        taken = np.concatenate([[0.0], np.cumsum(own["words"].to_numpy(float))])
-        need = float(taken[-1]) * float(own["rest"].iloc[0]) + carry
+        yield int(band), rows[rows["band"] == band].sort_values("key"), limit
+        limit = float(2 << int(band))
+
+
+def _spans(width: int):
+    """For a source: of each band the keys among which its cut lies."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for band, own, limit in _by_band(rows):
+            first = own.iloc[0]
+            ends = first["before"] + np.cumsum(own["words"].to_numpy(float))
+            total = float(first["total"]) if first["total"] >= 0 else float(ends[-1])
+            need = total * float(first["rest"])
+            # The steps that hold the least and the greatest need.
+            a, b = (int(np.clip(np.searchsorted(ends, x), 0, len(own) - 1)) for x in (need - limit, need + limit))
+            before = float(first["before"] if a == 0 else ends[a - 1])
+            keys = own["key"].to_numpy()
+            out.append((key[0], band, int(keys[a]) * width, (int(keys[b]) + 1) * width, before, total, float(first["rest"]), int(own["n"].to_numpy()[a : b + 1].sum())))
+        return pd.DataFrame(out, columns=["source", "band", "low", "high", "before", "words", "rest", "n"])
+
+    return run
+
+
+def _cuts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For a source: of each band the rank below which documents are drawn."""
+    cuts, carry = [0] * BANDS, 0.0
+    for band, own, limit in _by_band(rows):
+        first = own.iloc[0]
+        taken = np.concatenate([[float(first["before"])], first["before"] + np.cumsum(own["size"].to_numpy(float))])
+        need = float(first["words"]) * float(first["rest"]) + min(max(carry, -limit), limit)
         k = int(np.argmin(np.abs(taken - need)))
         carry = need - taken[k]
-        cuts[int(band)] = int(own["bucket"].iloc[k - 1]) + 1 if k else 0
-    return pd.DataFrame({"source": [key[0]], "base": [int(rows["base"].iloc[0])], "cuts": [cuts]})
+        cuts[band] = int(own["key"].iloc[k - 1]) + 1 if k else int(first["low"])
+    return pd.DataFrame({"source": [key[0]], "cuts": [cuts]})
 
 
 def _rank(df: DataFrame, seed: int, weight: Column | None) -> DataFrame:
-    """Adds base, pi, band and bucket (the Pareto rank in steps) to rows with target, source_size and size."""
+    """Adds base, rest, pi, band and key (the Pareto rank) to rows with target, source_size and size."""
     mu = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(mu + 1e-9).cast("int")
     rest = F.greatest(mu - base, F.lit(0.0))
-    pi = rest if weight is None else F.when(rest > 0, F.greatest(F.least(rest * weight, F.lit(0.999)), F.lit(0.001))).otherwise(0.0)
+    if weight is None:
+        weight = F.col("size") / (F.lit(1.5) * F.expr("shiftleft(1L, band)"))
+    pi = F.when(F.col("__rest") > 0, F.greatest(F.least(F.col("__rest") * weight, F.lit(0.999)), F.lit(0.001))).otherwise(0.0)
     drawn = F.shiftright(hash60(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size")), 8)
     u = (drawn.cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))
     return (
-        df.withColumn("base", base).withColumn("__rest", rest).withColumn("__pi", pi)
-        .withColumn("band", F.length(F.bin("size")) - 1)
-        .withColumn("bucket", F.when(F.col("__pi") > 0, F.least(F.floor(BUCKETS * odds / (1 + odds)), F.lit(BUCKETS - 1))).otherwise(BUCKETS).cast("int"))
+        df.withColumn("base", base).withColumn("__rest", rest).withColumn("band", F.length(F.bin("size")) - 1).withColumn("__pi", pi)
+        .withColumn("key", F.when(F.col("__pi") > 0, F.least(F.floor(float(1 << BITS) * odds / (1 + odds)), F.lit((1 << BITS) - 1))).otherwise(1 << BITS).cast("long"))
     )
 
 
-def draw(sized: DataFrame, sizes: DataFrame, targets: DataFrame, seed: int = 17, weight: Column | None = None) -> DataFrame:
+def _cut_ranks(ranked: DataFrame, gather: int) -> DataFrame:
+    """(source, cuts) from rows (source, band, key, size, rest) that may be drawn."""
+    left, shift = ranked.withColumns({"before": F.lit(0.0), "total": F.lit(-1.0)}), BITS - STEP
+    while True:
+        steps = left.groupBy("source", "band", F.shiftright("key", shift).alias("key")).agg(
+            F.sum("size").cast("double").alias("words"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("rest", "before", "total")]
+        )
+        spans = stored(steps.groupBy("source").applyInPandas(_spans(1 << shift), SPANS), "spans")
+        met = small_join(ranked.drop("rest"), spans, ["source", "band"], F.col("key")).where("key >= low AND key < high")
+        most = spans.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= gather or not shift:
+            units = met.groupBy("source", "band", "key").agg(F.sum("size").alias("size"), *[F.first(c).alias(c) for c in ("low", "before", "words", "rest")])
+            return units.groupBy("source").applyInPandas(_cuts, CUTS)
+        left, shift = met.select("source", "band", "key", "size", "rest", "before", F.col("words").alias("total")), max(shift - STEP, 0)
+
+
+def draw(sized: DataFrame, sizes: DataFrame, targets: DataFrame, seed: int = 17, weight: Column | None = None, gather: int = GATHER) -> DataFrame:
     """``sized`` (doc_id, source, size, ...) with ``source_size``, ``target`` and ``copies``.
 
     ``sizes``: a stored table of the same doc_id, source and size, from which the cuts are counted.
-    ``weight``: how much likelier than others of its source a document's extra copy is (1: as likely);
-    the cut at the source's target in words makes up for what weights change in the expectation.
+    ``weight``: how much likelier than the average of its source a document's extra copy is (default: by
+    length, see above; 1: as likely); the cut at the source's target in words makes up for what weights
+    change in the expectation.
     """
-    counted = _rank(small_join(sizes, targets, ["source"], F.col("doc_id")), seed, weight)
-    steps = counted.where("__pi > 0 AND size > 0").groupBy("source", "base", "band", "bucket").agg(
-        F.sum("size").cast("double").alias("words"), F.first("__rest").alias("rest")
-    )
-    cuts = stored(steps.groupBy("source").applyInPandas(_cuts, CUTS), "cuts").select("source", "cuts")
-    ranked = _rank(small_join(sized, targets, ["source"], F.col("doc_id")), seed, weight)
-    chosen = small_join(ranked, cuts, ["source"], F.col("doc_id"))
-    extra = F.coalesce(F.col("bucket") < F.element_at("cuts", F.col("band") + 1), F.lit(False)).cast("int")
-    return chosen.withColumn("copies", F.col("base") + extra).drop("base", "__rest", "__pi", "band", "bucket", "cuts")
+    own = _rank(small_join(sizes, targets, ["source"], F.col("doc_id")), seed, weight).where("__pi > 0 AND size > 0")
+    ranked = stored(own.select("source", "band", "key", "size", F.col("__rest").alias("rest")), "ranked")
+    cuts = stored(_cut_ranks(ranked, gather), "cuts")
+    chosen = small_join(_rank(small_join(sized, targets, ["source"], F.col("doc_id")), seed, weight), cuts, ["source"], F.col("doc_id"))
+    extra = F.coalesce(F.col("key") < F.element_at("cuts", F.col("band") + 1), F.lit(False)).cast("int")
+    return chosen.withColumn("copies", F.col("base") + extra).drop("base", "__rest", "__pi", "band", "key", "cuts")
 
 
 def mix(docs: DataFrame, share: float = 1.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 17) -> DataFrame:
@@ -137,8 +189,9 @@ shares AS (SELECT source, source_size, target, CAST(floor(mu + 1e-9) AS INTEGER)
 drawn AS (SELECT doc_id, s.source, size, source_size, target, base, rest, length(bin(size)) - 1 AS band,
                  ((CAST('0x' || md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(s.source, '') || '|' || size)[1:15] AS BIGINT) >> 8) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
           FROM sizes s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source),
-odds AS (SELECT *, (u / (1 - u)) / (rest / (1 - rest)) AS o FROM drawn),
-ranked AS (SELECT *, CASE WHEN rest > 0 THEN CAST(least(floor(1024 * o / (1 + o)), 1023) AS INTEGER) ELSE 1024 END AS bucket FROM odds),
+chances AS (SELECT *, greatest(least(rest * (size / (1.5::DOUBLE * (1::BIGINT << band))), 0.999::DOUBLE), 0.001::DOUBLE) AS pi FROM drawn),
+odds AS (SELECT *, (u / (1 - u)) / (pi / (1 - pi)) AS o FROM chances),
+ranked AS (SELECT *, CASE WHEN rest > 0 THEN CAST(least(floor(1125899906842624.0::DOUBLE * o / (1 + o)), 1125899906842623) AS BIGINT) ELSE 1125899906842624 END AS bucket FROM odds),
 steps AS (SELECT source, band, bucket, any_value(rest) AS rest, CAST(sum(size) AS DOUBLE) AS words FROM ranked WHERE rest > 0 AND size > 0 GROUP BY source, band, bucket),
 sums AS (SELECT source, band, bucket, rest, sum(words) OVER (PARTITION BY source, band ORDER BY bucket) AS total FROM steps),
 bands AS (SELECT source, band, any_value(rest) AS rest, max(total) AS words, list_concat([0.0::DOUBLE], list(total ORDER BY bucket)) AS taken,
@@ -147,7 +200,7 @@ needs AS (
   SELECT source, band, k, taken, cuts, words * rest AS need FROM bands WHERE k = 1
   UNION ALL
   SELECT b.source, b.band, b.k, b.taken, b.cuts,
-         b.words * b.rest + (n.need - n.taken[list_position(list_transform(n.taken, lambda x: abs(x - n.need)), list_min(list_transform(n.taken, lambda x: abs(x - n.need))))])
+         b.words * b.rest + greatest(-(2 << n.band), least(2 << n.band, n.need - n.taken[list_position(list_transform(n.taken, lambda x: abs(x - n.need)), list_min(list_transform(n.taken, lambda x: abs(x - n.need))))]))
   FROM needs n JOIN bands b ON b.source IS NOT DISTINCT FROM n.source AND b.k = n.k + 1),
 cut AS (SELECT source, band, cuts[list_position(list_transform(taken, lambda x: abs(x - need)), list_min(list_transform(taken, lambda x: abs(x - need))))] AS cut FROM needs)
 SELECT doc_id, size, source_size, target, CAST((base + CASE WHEN bucket < cut THEN 1 ELSE 0 END) * size AS BIGINT) AS taken, r.source, base + CASE WHEN bucket < cut THEN 1 ELSE 0 END AS copies

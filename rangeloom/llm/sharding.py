@@ -8,7 +8,9 @@ counts differ by one at most.
 Both orders are ranked without a global sort or a task per source: rows are counted by (source, hash
 range) and by range of the fractional rank, running sums of those counts give each range its first
 position, and rows are numbered within a range only. A hot source is cut into as many hash ranges as
-others together need, and the ranges of the fractional rank are even whatever the sources are.
+others together need, and the ranges of the fractional rank are even whatever the sources are. Rows that
+agree in all columns that count are one row with a number until they are ranked, so not even a row that
+makes up a third of the table fills a range.
 
 Equal texts are separate rows here: a group of copies may be larger than a shard, which no law of
 equal counts could hold together. Defined cases: a null text has 8 bytes and the crc32 of the empty
@@ -18,10 +20,13 @@ gives an empty result; columns besides doc_id, text and source are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import hash60, small_join, stored
+from rangeloom.operators.repeat import repeated
 
 SHARDS = 24
 #: Rows that a task numbers at once.
@@ -40,19 +45,21 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     total = slim.count()
     ranges = max(LEAST_RANGES, -(-total // range_rows))
 
-    # Rank within the source.
+    # Rank within the source; equal rows take as many ranks.
+    slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("m"))
     slim = slim.withColumn("hr", F.shiftright(F.shiftright("h", 28) * ranges, 32).cast("int"))
-    counts = slim.groupBy("source", "hr").agg(F.count(F.lit(1)).alias("n"))
+    counts = slim.groupBy("source", "hr").agg(F.sum("m").alias("n"))
     by = Window.partitionBy("source")
     starts = counts.select(
         "source", "hr", F.sum("n").over(by).alias("of"),
         (F.sum("n").over(by.orderBy("hr").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"),
     )
-    own = Window.partitionBy("source", "hr").orderBy("h", "doc_id", "text_crc32", "size")
-    numbered = slim.withColumn("rn", F.row_number().over(own))
+    own = Window.partitionBy("source", "hr").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = slim.withColumn("before", F.sum("m").over(own) - F.col("m"))
     numbered = small_join(numbered, stored(starts, "starts"), ["source", "hr"], F.col("h"), salts=1)
-    fraction = (F.col("start") + F.col("rn") - 0.5) / F.col("of")
-    ranked = stored(numbered.select("doc_id", "source", "size", "text_crc32", "h", fraction.alias("fraction")), "ranked")
+    each = repeated(numbered, "m", "k", range_rows)
+    fraction = (F.col("start") + F.col("before") + F.col("k") + 1 - 0.5) / F.col("of")
+    ranked = stored(each.select("doc_id", "source", "size", "text_crc32", "h", fraction.alias("fraction")), "ranked")
 
     # Position in the whole order.
     ranked = ranked.withColumn("fr", F.least(F.floor(F.col("fraction") * ranges), F.lit(ranges - 1)).cast("int"))
@@ -66,6 +73,19 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = 23, range_rows
     return placed.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("position") - first).alias("slot"))
 
 
+def occurrences(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with ``__n``, which numbers rows that agree in ``by`` from 0 in any order: within the partition they
+    are read in, after those of the partitions before. ``df`` must be a table as it is read."""
+    parted = df.withColumn("__part", F.spark_partition_id())
+    counts = parted.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    again = counts.withColumn("__start", F.sum("__rows").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__rows")).where("__start > 0")
+    again = again.select(*[F.col(c).alias(f"__same{k}") for k, c in enumerate(by)], F.col("__part").alias("__of"), "__start")
+    own = parted.withColumn("__turn", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*by)))
+    on = (F.col("__part") == F.col("__of")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__same{k}")) for k, c in enumerate(by)])
+    met = own.join(again, on, "left").withColumn("__n", F.coalesce("__start", F.lit(0)) + F.col("__turn") - 1)
+    return met.select(*df.columns, "__n")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 23, rows_per_file: int = 1_000_000) -> None:
     """All rows and columns of ``docs`` as Parquet under ``path/shard=k``, in order of their slots.
 
@@ -73,12 +93,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 2
     and a shard's files hold consecutive slots. Rows alike in id and text share their places in any order.
     """
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    alike = Window.partitionBy("__id", "__crc").orderBy("__at")
     placed = interleave(docs, shards, seed).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.struct("shard", "slot").alias("__at"))
-    placed = placed.withColumn("__k", F.row_number().over(alike))
+    placed = occurrences(stored(placed, "placed"), "__id", "__crc")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    mine = docs.select(F.col("doc_id").alias("__i"), crc.alias("__c"), row)
-    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy("__i", "__c").orderBy("__i")))
+    mine = occurrences(docs.select(F.col("doc_id").alias("__i"), crc.alias("__c"), row), "__i", "__c")
+    placed = placed.withColumnRenamed("__n", "__k")
     met = mine.join(placed, mine["__i"].eqNullSafe(placed["__id"]) & (F.col("__c") == F.col("__crc")) & (F.col("__n") == F.col("__k")))
     out = met.select("__row.*", F.col("__at.shard").alias("__shard"), F.col("__at.slot").alias("__slot"))
     out = out.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")

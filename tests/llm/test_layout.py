@@ -74,15 +74,24 @@ def test_sampling_is_by_rank_near_target_and_repeats(spark):
         taken[r.source] += r.copies * r.size
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) <= 0.005 * target[s] for s in target)
-    # Within a source and band the documents drawn are those with the lowest Pareto ranks.
-    ranked = mixing._rank(sizes.join(targets, "source"), 3, None).select("doc_id", "source", "band", "bucket", "base").collect()
+    # Within a source and band exactly the documents with the lowest Pareto ranks are drawn, as many as come nearest to the need.
+    ranked = mixing._rank(sizes.join(targets, "source"), 3, None).withColumn("pi", F.col("__pi")).withColumn("rest", F.col("__rest")).collect()
     copies = {r.doc_id: r.copies for r in got}
-    bands: dict = {}
-    for r in ranked:
-        bands.setdefault((r.source, r.band), []).append((r.bucket, copies[r.doc_id] - r.base))
-    for own in bands.values():
-        drawn = [b for b, extra in own if extra]
-        assert not drawn or max(drawn) < min((b for b, extra in own if not extra), default=10**9)
+    assert len({r.pi for r in ranked if r.source == "a"}) > 100  # inclusion probabilities differ within a source
+    want = {}
+    for s in target:
+        carry, limit = 0.0, 0.0
+        for band in sorted({r.band for r in ranked if r.source == s}, reverse=True):
+            own = sorted((r for r in ranked if (r.source, r.band) == (s, band)), key=lambda r: r.key)
+            sums = [sum(r.size for r in own[:k]) for k in range(len(own) + 1)]
+            need = sums[-1] * own[0].rest + max(-limit, min(limit, carry))
+            k = min(range(len(sums)), key=lambda k: abs(sums[k] - need))
+            carry, limit = need - sums[k], float(2 << band)
+            want |= {r.doc_id: r.base + (i < k) for i, r in enumerate(own)}
+    assert copies == want
+    for gather in (1, 200):  # however few ranks a task may look at
+        again = mixing.draw(sizes, sizes, targets, seed=3, gather=gather).collect()
+        assert {r.doc_id: r.copies for r in again} == want
 
 
 def test_weights_shift_inclusion(spark):
@@ -114,6 +123,23 @@ def test_interleaving_by_brute_force(spark, range_rows):
     assert all(got[d[0]][2:] == (len(d[1]) + 8, crc32(d[1].encode())) for d in data)
 
 
+def test_a_row_that_is_a_third_of_the_table(spark, monkeypatch):
+    """It takes neighbouring places within its source, and no range holds it whole."""
+    same, most = (7, "the same", "a"), 40
+    data = [same] * 500 + [(i, f"text {i}", random.Random(i).choice("ab")) for i in range(100, 1100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    seen = []
+    plain = sharding.repeated
+    monkeypatch.setattr(sharding, "repeated", lambda df, *a: (seen.append(df.groupBy("source", "hr").count().agg(F.max("count")).first()[0]), plain(df, *a))[1])
+    got = sharding.interleave(docs, shards=5, range_rows=most).collect()
+    assert seen[0] <= most
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(5) for k in range(300)]
+    share = Counter(r.shard for r in got if r.source == "a")
+    assert max(share.values()) - min(share.values()) <= 2
+    bag = plain(spark.createDataFrame([(1, 5), (2, 100_000)], "x long, m long"), "m", "k", 7)
+    assert sorted(map(tuple, bag.groupBy("x").agg(F.count("k"), F.count_distinct("k"), F.max("k")).collect())) == [(1, 5, 5, 4), (2, 100_000, 100_000, 99_999)]
+
+
 def test_shards_on_odd_rows(odd, empty):
     got = sharding.interleave(odd, shards=4, range_rows=2).collect()
     assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((r[0], r[3], len((r[1] or "").encode()) + 8) for r in rows())
