@@ -1,10 +1,11 @@
 """Language ID (4): interpolated Kneser-Ney character models, one a language.
 
-Texts become lower-case letters with single spaces for all else. For each language 4-gram counts of a
-bounded sample (``SAMPLE`` documents, the ``GRAMS`` commonest 4-grams) give an interpolated Kneser-Ney
-model: absolute discounts, continuation counts at the lower orders, a uniform floor. The model is kept
-in sorted arrays of hashed n-grams; one more such array joins all languages, with a row of log
-probabilities for each 4-gram that any of them knows, so that a character costs one binary search.
+Texts become lower-case letters with single spaces for all else. For each language all 4-grams of a
+bounded sample (about ``SAMPLE`` documents and ``CHARS`` characters) give an interpolated Kneser-Ney
+model: absolute discounts, continuation counts at the lower orders, a uniform floor. Each language's
+model is made by a task of its own and kept in sorted arrays of hashed n-grams (multiplication by an odd
+number, so hashes don't collide); the driver sees these arrays only, whose size grows with the number of
+languages. A batch's different 4-grams are looked up once a language.
 
 The language with the lowest cross-entropy a character wins. A text is rejected if it has no letter
 or if that cross-entropy is further above what the language's own texts have than length and spread
@@ -18,20 +19,20 @@ texts are ``und``; equal cross-entropies go to the first language by code point;
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.arrow import by_batch, pieces
-from rangeloom.llm.common import remainder, sampled, spread_of, stored
+from rangeloom.llm.arrow import by_batch, pieces, slices
+from rangeloom.llm.common import freed, one_text, remainder, small_join, spread_of, stored
 
-SAMPLE = 2000
-GRAMS = 200_000
+SAMPLE, CHARS = 2000, 20_000_000
 CALIBRATION = 0.2
 #: Standard deviations above the mean, and nats besides, at which a text is rejected.
 SIGMAS, SLACK = 8.0, 0.5
@@ -74,19 +75,20 @@ def grams(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Sorted:
-    """Values by hashed key in a sorted array."""
+    """Values by hashed key in sorted arrays."""
 
-    def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys * MIX)
-        self.hashes = (keys * MIX)[self.order]
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys * MIX)
+        self.hashes, self.values = (keys * MIX)[order], values[order].astype(np.float32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the keys given, or -1."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value (0 if not)."""
         if not len(self.hashes):
-            return np.full(len(keys), -1)
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
         h = keys * MIX
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], -1)
+        found = self.hashes[at] == h
+        return found, np.where(found, self.values[at], 0.0)
 
 
 class KneserNey:
@@ -101,18 +103,18 @@ class KneserNey:
             context, which = np.unique(keys >> np.uint64(16), return_inverse=True)
             total, kinds = np.bincount(which, counts), np.bincount(which)
             seen = np.maximum(counts - discount, 0) / total[which]
-            self.levels.append((n, Sorted(keys), seen, Sorted(context), discount * kinds / total))
+            self.levels.append((n, Sorted(keys, seen), Sorted(context, discount * kinds / total)))
             # A lower order counts in how many contexts an n-gram is found, not how often.
             keys, counts = np.unique(keys & np.uint64((1 << 16 * (n - 1)) - 1), return_counts=True)
             counts = counts.astype(float)
 
     def probability(self, keys: np.ndarray) -> np.ndarray:
         p = np.full(len(keys), self.floor)
-        for n, grams_at, seen, contexts_at, left in reversed(self.levels):
+        for n, seen, left in reversed(self.levels):
             own = keys & np.uint64((1 << 16 * n) - 1) if n < 4 else keys
-            g, c = grams_at.find(own), contexts_at.find(own >> np.uint64(16))
+            known, rest = left.find(own >> np.uint64(16))
             # An unknown context says nothing: the order below stands.
-            p = np.where(c >= 0, np.where(g >= 0, seen[g] if len(seen) else 0, 0) + np.where(c >= 0, left[c], 1) * p, p)
+            p = np.where(known, seen.find(own)[1] + rest * p, p)
         return p
 
 
@@ -120,11 +122,11 @@ class KneserNey:
 class Model:
     langs: list[str]
     each: list[KneserNey]
-    all: Sorted | None = None
-    logs: np.ndarray | None = None
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     long: np.ndarray = field(default_factory=lambda: np.zeros(0))
     short: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sigmas: float = SIGMAS
+    slack: float = SLACK
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy a letter by text and language, letters and spaces of each text, and whether it has a letter."""
@@ -135,15 +137,10 @@ class Model:
         letters, sizes = units(texts)
         doc = np.repeat(np.arange(len(texts)), sizes)
         lettered = np.bincount(doc, letters != SPACE, minlength=len(texts)) > 0
-        keys = grams(letters, sizes)
-        at = self.all.find(keys)
-        missing = np.flatnonzero(at < 0)
-        new, which = np.unique(keys[missing], return_inverse=True)
-        at[missing] = len(self.logs) + which
+        keys, at = np.unique(grams(letters, sizes), return_inverse=True)
         out = np.empty((len(texts), len(self.langs)))
         for k, model in enumerate(self.each):
-            logs = np.concatenate([self.logs[:, k], np.log(model.probability(new))])
-            out[:, k] = -np.bincount(doc, logs[at], minlength=len(texts)) / np.maximum(sizes, 1)
+            out[:, k] = -np.bincount(doc, np.log(model.probability(keys))[at], minlength=len(texts)) / np.maximum(sizes, 1)
         return out, sizes, lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -156,12 +153,12 @@ class Model:
         apart = np.minimum(np.maximum(sizes, 1), 50)[:, None] * (entropy - low[:, None])
         score = 1 / np.exp(-np.minimum(apart, 700)).sum(axis=1)
         spread = np.sqrt(self.long[best] + self.short[best] / np.maximum(sizes, 1))
-        rejected = ~lettered | (low > self.mean[best] + SIGMAS * spread + SLACK)
+        rejected = ~lettered | (low > self.mean[best] + self.sigmas * spread + self.slack)
         return [self.langs[b] if x else "und" for b, x in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), rejected
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -171,37 +168,52 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """A model of ``docs`` (doc_id, text, lang) where ``learn`` holds; on the driver, bounded by languages and sample."""
-    spark = docs.sparkSession
-    known = docs.where(learn & F.col("lang").isNotNull())
-    texts = stored(
-        sampled(known.select("doc_id", "lang", "text"), "lang", sample, 4)
-        .select("lang", "text", (spread_of(F.lit(5), "doc_id") < CALIBRATION).alias("calibrate")), "lang_sample",
-    )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+def _modelled(alphabet: int):
+    def run(rows: pa.Table) -> pa.Table:
+        keys = rows.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        made = KneserNey(keys[order], rows.column("n").to_numpy()[order], alphabet)
+        return pa.table({"lang": rows.column("lang")[:1], "model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    return run
+
+
+def lang_sample(known: DataFrame, sample: int, chars: int) -> DataFrame:
+    """(lang, text): of each language about ``sample`` documents, or fewer if they have over ``chars`` characters;
+    chosen by the hash of the id, one text an id."""
+    n_ids, n_chars = F.greatest(F.approx_count_distinct("doc_id", 0.02), F.lit(1)), F.greatest(F.sum(F.length("text")), F.lit(1))
+    rates = stored(known.groupBy("lang").agg(F.least(F.lit(1.0), sample / n_ids, chars / n_chars).alias("rate")), "rates")
+    met = small_join(known, rates, ["lang"], F.col("doc_id")).where(spread_of(F.lit(4), "doc_id") < F.col("rate"))
+    return one_text(met.select("doc_id", "lang", "text"), "doc_id", "lang")
+
+
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, chars: int = CHARS) -> Model:
+    """A model of ``docs`` (doc_id, text, lang) where ``learn`` holds; the driver gets the languages' models and
+    the cross-entropies of the calibration texts."""
+    with freed(docs.sparkSession):
+        return _fit(docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang", "text"), sample, chars)
+
+
+def _fit(known: DataFrame, sample: int, chars: int) -> Model:
+    chosen = lang_sample(known, sample, chars)
+    texts = stored(chosen.select("lang", "text", (spread_of(F.lit(5), "doc_id") < CALIBRATION).alias("calibrate")), "lang_sample")
     counts = texts.where("NOT calibrate").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    table = counts.withColumn("r", rank).where(F.col("r") <= GRAMS).select("lang", "gram", "n").toPandas()
-    table["gram"] = table["gram"].to_numpy(np.int64).view(np.uint64)
-    alphabet = len(np.unique(table["gram"] & 0xFFFF)) + 1
+    counts = stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    alphabet = counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF))).distinct().count() + 1
+    made = counts.groupBy("lang").applyInArrow(_modelled(alphabet), "lang string, model binary").collect()
     model = Model([], [])
-    for lang, own in sorted(table.groupby("lang"), key=lambda x: x[0]):
-        order = np.argsort(own["gram"].to_numpy())
-        model.langs.append(lang)
-        model.each.append(KneserNey(own["gram"].to_numpy()[order], own["n"].to_numpy()[order], alphabet))
+    for row in sorted(made, key=lambda r: r.lang):
+        model.langs.append(row.lang)
+        model.each.append(pickle.loads(bytes(row.model)))
     if not model.langs:
         return model
-    every = np.unique(table["gram"].to_numpy())
-    model.all = Sorted(every)
-    model.logs = np.log(np.stack([m.probability(every) for m in model.each], axis=1))
-    # By the order of the hashes, so that neighbours in the search are neighbours in the table.
-    model.logs, model.all.order = model.logs[model.all.order], np.arange(len(every))
+
+    held = known.sparkSession.sparkContext.broadcast(model)
 
     def own_entropy(batch: pa.RecordBatch) -> pa.RecordBatch:
-        entropy, sizes, lettered = model.entropies(batch.column("text").to_pylist())
-        k = np.array([model.langs.index(x) if x in model.langs else -1 for x in batch.column("lang").to_pylist()])
+        langs = held.value.langs
+        entropy, sizes, lettered = held.value.entropies(batch.column("text").to_pylist())
+        k = np.array([langs.index(x) if x in langs else -1 for x in batch.column("lang").to_pylist()])
         keep = np.flatnonzero((k >= 0) & lettered)
         return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(sizes[keep]), pa.array(entropy[keep, k[keep]])], ["k", "size", "h"])
 
@@ -221,7 +233,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, score and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and their samples
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,10 +258,10 @@ def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all its columns."""
     model = fit(docs, ~held_out())
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rejected = held.value.predict(batch.column("text").to_pylist())[2]
+        rejected = held.value.predict(batch.column(at).to_pylist())[2]
         return batch.filter(pa.array(~rejected))
 
-    return by_batch(docs, of, docs.schema).select(*[F.col(f"`{c}`") for c in names])
+    return by_batch(docs, of, docs.schema)
