@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.arrow import by_batch, pieces
-from rangeloom.llm.common import marked, remainder, sampled
+from rangeloom.llm.common import freed, marked, one_text, remainder, sampled
 from rangeloom.llm.docstats import AT, FEATURES, features, table
 
 SAMPLE = 4000
@@ -115,9 +115,14 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine:
-    """A machine from rows that aren't held out; the sample's inputs come to the driver, bounded by ``SAMPLE``."""
-    chosen = sampled(marked(labels, "quality", held_out), "y", SAMPLE, 9).select("doc_id", "y", "rate")
-    rows = docs.where(~held_out).select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
+    """A machine from rows that aren't held out; the sample's inputs come to the driver, bounded by ``SAMPLE``, one text an id."""
+    with freed(docs.sparkSession):
+        return _fit(docs.where(~held_out).select("doc_id", "text", "n_chars"), marked(labels, "quality", held_out))
+
+
+def _fit(open_: DataFrame, known: DataFrame) -> Machine:
+    chosen = sampled(known, "y", SAMPLE, 9).select("doc_id", "y", "rate")
+    rows = one_text(open_.join(F.broadcast(chosen), "doc_id"), "doc_id", "y", "rate")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [inputs(batch.slice(p.start, p.stop - p.start)) for p in pieces(batch.column("text").to_pylist())]

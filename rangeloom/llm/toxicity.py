@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.arrow import by_batch
-from rangeloom.llm.common import marked, remainder, spread_of, stored
+from rangeloom.llm.arrow import by_batch, slices
+from rangeloom.llm.common import freed, marked, one_text, remainder, spread_of, stored
 
 POSITIVES, UNLABELLED = 4000, 8000
 CANDIDATES, FEATURES, CLASSIFIERS = 40_000, 1500, 3
@@ -110,7 +110,7 @@ class Model:
 
 
 def _count(batches: Iterable[pa.RecordBatch], only: set[str] | None = None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n: Counter[str] = Counter()
         for t in batch.column("text").to_pylist():
             n.update(f for f in _features(t) if only is None or f in only)
@@ -118,21 +118,28 @@ def _count(batches: Iterable[pa.RecordBatch], only: set[str] | None = None) -> I
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """A model from rows that aren't held out; on the driver only counts of chosen features of the samples."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
-    known = marked(labels, "toxic", held_out)
+    """A model from rows that aren't held out; on the driver only features of the samples, one text an id."""
+    with freed(docs.sparkSession):
+        return _fit(docs.where(~held_out).select("doc_id", "text"), marked(labels, "toxic", held_out), prior, positives, unlabelled)
+
+
+def toxic_sample(open_: DataFrame, known: DataFrame, n_toxic: int, positives: int, unlabelled: int) -> DataFrame:
+    """(doc_id, p, u, text): about ``positives`` documents marked toxic (p) and ``unlabelled`` of all (u), chosen by
+    the hash of the id, one text an id."""
+    # About ``positives`` ids: a broadcast of a bounded size.
+    chosen = known.where((F.col("y") == 1) & (spread_of(F.lit(2), "doc_id") < positives / n_toxic)).select("doc_id", F.lit(True).alias("p"))
+    total = open_.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    met = open_.join(F.broadcast(chosen), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False)))
+    met = met.withColumn("u", spread_of(F.lit(3), "doc_id") < unlabelled / max(total, 1))
+    return one_text(met.where("p OR u").select("doc_id", "p", "u", "text"), "doc_id", "p", "u")
+
+
+def _fit(open_: DataFrame, known: DataFrame, prior: float | None, positives: int, unlabelled: int) -> Model:
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n_toxic:
         return Model([], np.zeros((0, 1)))
     prior = min(max(prior if prior is not None else n_toxic / n, 1e-3), 0.9)
-    # About ``positives`` ids: a broadcast of a bounded size.
-    chosen = known.where((F.col("y") == 1) & (spread_of(F.lit(2), "doc_id") < positives / n_toxic)).select("doc_id")
-    open_ = docs.where(~held_out).select("doc_id", "text")
-    total = docs.count()
-    met = open_.join(F.broadcast(chosen.withColumn("p", F.lit(True))), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False)))
-    met = met.withColumn("u", spread_of(F.lit(3), "doc_id") < unlabelled / max(total, 1))
-    texts = stored(met.where("p OR u").select("doc_id", "p", "u", "text"), "toxic_sample")
+    texts = stored(toxic_sample(open_, known, n_toxic, positives, unlabelled), "toxic_sample")
     frequent = texts.where("p").select("text").mapInArrow(_count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     of_p = {r.f: r.n for r in frequent.where("n >= 3").orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()}
     only = set(of_p)

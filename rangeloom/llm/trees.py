@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.arrow import by_batch
-from rangeloom.llm.common import marked, sampled
+from rangeloom.llm.common import freed, marked, one_text, sampled
 from rangeloom.llm.docstats import AT, FEATURES, NAMES, as_batch, features, table
 
 SAMPLE = 5000
@@ -122,9 +122,14 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, direction: np.ndarray
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics, label and weight of about ``SAMPLE`` documents a class: bounded, so they may come to the driver."""
-    chosen = sampled(marked(labels, "quality", F.lit(False)), "y", SAMPLE, 10).select("doc_id", "y", "rate")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """Statistics, label and weight of about ``SAMPLE`` documents a class, one text an id: bounded, so they may come to the driver."""
+    with freed(docs.sparkSession):
+        return _labelled_statistics(docs.select("doc_id", "text"), marked(labels, "quality", F.lit(False)))
+
+
+def _labelled_statistics(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    chosen = sampled(known, "y", SAMPLE, 10).select("doc_id", "y", "rate")
+    rows = one_text(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "y", "rate")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = table(batch.column("text").to_pylist())
