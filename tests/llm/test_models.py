@@ -75,6 +75,39 @@ def test_kneser_ney_by_recursion():
         assert total == pytest.approx(1 - model.probability(np.array([pack(context + "z")]))[0])
 
 
+def test_kneser_ney_keeps_rare_grams():
+    """Discounts and continuation counts come from all 4-grams, those seen once too, however many there are."""
+    rng = np.random.default_rng(3)
+    text = "".join(chr(0x4E00 + int(k)) for k in np.minimum(rng.zipf(1.3, 400_000), 3000))
+    letters, sizes = language.units([text])
+    keys, n = np.unique(language.grams(letters, sizes), return_counts=True)
+    assert len(keys) > 200_000 and (n == 1).sum() > 100_000
+    model = language.KneserNey(keys, n, 3001)
+    assert len(model.levels[0][1].hashes) == len(keys)
+    tri, c3 = np.unique(keys & np.uint64((1 << 48) - 1), return_counts=True)
+    assert (np.sort(tri * language.MIX) == model.levels[1][1].hashes).all()
+    n1, n2 = (n == 1).sum(), (n == 2).sum()
+    rare, context = keys[n == 1][:50], keys >> np.uint64(16)
+    total = np.array([n[context == r >> np.uint64(16)].sum() for r in rare])
+    kinds = np.array([(context == r >> np.uint64(16)).sum() for r in rare])
+    d = n1 / (n1 + 2 * n2)
+    found, seen = model.levels[0][1].find(rare)
+    assert found.all() and seen == pytest.approx((1 - d) / total, rel=1e-5)
+    assert model.levels[0][2].find(rare >> np.uint64(16))[1] == pytest.approx(d * kinds / total, rel=1e-5)
+    assert c3.max() > 1
+
+
+def test_many_languages(spark):
+    """A hundred made-up languages, each with an alphabet order of its own, are learnt and told apart."""
+    rng, data = np.random.default_rng(5), []
+    for lang in range(100):
+        words = ["".join(chr(97 + int(k)) for k in rng.integers(0, 26, rng.integers(2, 7))) for _ in range(60)]
+        data += [(len(data) + k, " ".join(words[int(w)] for w in rng.integers(0, 60, 40)), f"l{lang:02}") for k in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = language.predict(docs, language.fit(docs, ~language.held_out()), ["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+
+
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aBé1 \n😀漢", max_size=20)), min_size=1, max_size=5))
 @settings(max_examples=60)
 def test_units_and_grams(texts):
@@ -256,6 +289,27 @@ def test_rules_keep_clean_documents(spark):
     assert sum(got[m.doc_id].kept for m in marked if m.quality == 0) <= 0.05 * len(marked)
 
 
+# ---- samples -------------------------------------------------------------------------------------
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """An id, or null, on a third of all rows brings one text to the sample, as any other does."""
+    n = 6000
+    docs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.concat(F.lit("some text number "), (F.col("id") % 50).cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit(7).cast("long").alias("n_chars"),
+    )
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(2, 30)] + [(5, 1, 1)], "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in docs.join(labels, "doc_id").select("doc_id").collect()}
+    assert 5 in ids
+    stats, y, _ = trees.labelled_statistics(docs, labels)
+    assert len(stats) == len(y) == len(ids)
+    chosen = toxicity.toxic_sample(docs.select("doc_id", "text"), labels.where("toxic = 1").select("doc_id", F.lit(1).alias("y")), 15, 1000, 200)
+    assert chosen.count() < 320 and chosen.where("p").count() == len([i for i in ids if i % 2])
+    texts = language.lang_sample(docs.select("doc_id", "lang", "text"), 300, 10**9)
+    assert 150 < texts.count() < 450 and texts.where("doc_id IS NULL").count() <= 1
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 
@@ -268,7 +322,7 @@ def small_net(monkeypatch):
 def test_probabilities_sum_to_one(small_net):
     counts, net = small_net
     h = np.random.default_rng(0).normal(0, 1, (1, recurrent.STATE)).astype(np.float32)
-    codes = np.arange(recurrent.CODES)
+    codes = np.arange(recurrent.HEAD + counts.bands)
     logp = net.output(np.repeat(h, len(codes), 0), codes, False)[0].astype(float)
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
     # Shares in a class: a band's words, and in the rare class words seen once and all unknown ones.
@@ -281,10 +335,10 @@ def test_gradients(small_net):
     counts, net = small_net
     rng = np.random.default_rng(1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    inputs = rng.choice([0, 1, 2, 1024, 1025, recurrent.START], (5, 3))
+    inputs = rng.choice([0, 1, 2, 1024, 1025, recurrent.END], (5, 3))
     codes = rng.choice([0, 1, 3, 1024, 1026], (5, 3))
     fresh, real = rng.random((5, 3)) < 0.2, rng.random((5, 3)) < 0.9
-    h = rng.normal(0, 0.5, (3, recurrent.STATE))
+    h = rng.uniform(-1, 1, (recurrent.STATE, 3))
     g, _, loss = net.gradients(inputs, codes, fresh, real, h)
     for name in net.w:
         flat = net.w[name].ravel()
@@ -311,7 +365,7 @@ def test_lanes_and_windows_do_not_matter(small_net, lanes, window):
 def test_average_in_groups_is_the_average():
     rng = np.random.default_rng(4)
     v, n = rng.normal(size=(9, 5)).astype(np.float32), rng.integers(1, 50, 9)
-    table = lambda own, part: pa.table({"piece": [0] * len(own), "part": [part] * len(own), "n": n[own], "v": pa.array(list(v[own]), pa.list_(pa.float32()))})
+    table = lambda own, part: pa.table({"piece": [0] * len(own), "part": [part] * len(own), "g": own, "n": n[own], "v": pa.array(list(v[own]), pa.list_(pa.float32()))})
     groups = pa.concat_tables([recurrent._average(table(np.arange(0, 4), 0)), recurrent._average(table(np.arange(4, 9), 1))])
     out = recurrent._average(groups)
     assert out.column("v").to_pylist()[0] == pytest.approx(np.average(v, axis=0, weights=n), rel=1e-5)
@@ -334,7 +388,7 @@ def by_hand_base(pairs, held):
 def test_scores_on_odd_rows(odd, empty, monkeypatch):
     held_out = remainder(F.col("doc_id"), 7) == 2
     codes, counts = recurrent.encode(odd, held_out)
-    got = recurrent.score(codes, counts, recurrent.fit(codes, counts, rounds=1, slices=1)).collect()
+    got = recurrent.score(codes, counts, recurrent.fit(codes, counts, rounds=1)).collect()
     pairs = [(r[0], r[1]) for r in rows()]
     held = [crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in pairs]
     n, want = by_hand_base(pairs, held)
@@ -369,26 +423,48 @@ def test_chunks_do_not_matter(odd, monkeypatch):
     assert Counter(map(tuple, whole.select(*columns).collect())) == Counter(map(tuple, parts.select(*columns).collect()))
 
 
+def made_up_codes(spark, n=400):
+    return spark.range(n).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 7 == 2).alias("held"), F.transform(F.sequence(F.lit(0), F.col("id") % 30), lambda k: (k * F.col("id") % 5).cast("short")).alias("codes"), F.col("id").alias("row")
+    )
+
+
 def test_network_is_trained_on_all_training_documents(spark, monkeypatch):
-    """Each round takes a share of the documents by hash; the shares together are all of them."""
-    seen = spark.sparkContext.accumulator(0)
+    """Each group's documents are in one round, and the groups together have all of them."""
+    seen, plain = spark.sparkContext.accumulator(0), recurrent._trained
+
+    def counted(*args):
+        run = plain(*args)
 
-    def counted(start, rate):
-        def run(batches):
-            for b in batches:
-                seen.add(b.num_rows)
-            yield from ()
+        def both(rows):
+            seen.add(rows.num_rows)
+            return run(rows)
 
-        return run
+        return both
 
-    monkeypatch.setattr(recurrent, "_round", counted)
-    codes = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 2).alias("held"), F.array(F.lit(0)).alias("codes"))
-    recurrent.fit(codes, recurrent.Counts(400, [3], {}, 0))
+    monkeypatch.setattr(recurrent, "_trained", counted)
+    codes = made_up_codes(spark)
+    total = sum(1 + i % 30 for i in range(400) if i % 7 != 2)
+    recurrent.fit(codes, recurrent.Counts(400, [3, 2, 1], {}, 0), group=500)
     assert seen.value == codes.where("NOT held").count()
+    groups = recurrent.training_groups(codes, 4, total, 500).groupBy("g").agg(F.sum(F.size("codes")).alias("n")).collect()
+    assert sum(r.n for r in groups) == total and len(groups) == 4 * -(-total // 2000) and max(r.n for r in groups) < 3 * 500
+
+
+def test_network_does_not_depend_on_partitions(spark):
+    codes, counts = made_up_codes(spark), recurrent.Counts(400, [3, 2, 1], {0: (2, 2)}, 0)
+    one, other = (recurrent.fit(c, counts, rounds=2, group=2000).flat() for c in (codes.coalesce(1), codes.repartition(9)))
+    assert (one == other).all() and (one != recurrent.Network.new(counts).flat()).any()
+
+
+def test_an_id_on_many_rows_is_spread_over_groups(spark):
+    codes = made_up_codes(spark, 9000).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, -1).otherwise(F.col("doc_id"))).withColumn("held", F.lit(False))
+    sizes = recurrent.training_groups(codes, 2, 90_000, 5000).groupBy("g").count().collect()
+    assert sum(r["count"] for r in sizes) == 9000 and max(r["count"] for r in sizes) < 1.4 * 9000 / len(sizes) and len(sizes) == 18
 
 
 def test_all_words_of_a_long_document_are_trained_on(small_net, monkeypatch):
-    _, net = small_net
+    counts, net = small_net
     rng = np.random.default_rng(5)
     docs = [rng.choice([0, 1, 2, 1024], n).astype(np.int32) for n in (3000, *[40] * 640)]
     seen, plain = [], recurrent.Network.gradients
@@ -398,6 +474,6 @@ def test_all_words_of_a_long_document_are_trained_on(small_net, monkeypatch):
         return plain(self, inputs, codes, fresh, real, h)
 
     monkeypatch.setattr(recurrent.Network, "gradients", counted)
-    mine = recurrent.Network.of(net.flat())
+    mine = recurrent.Network.of(net.flat(), counts.bands)
     loss = recurrent.train(mine, docs, 0.01, window=16)
     assert sum(seen) == sum(map(len, docs)) and np.isfinite(loss) and np.isfinite(mine.flat()).all()
