@@ -1,4 +1,4 @@
-"""Rangeloom: index-addressed collections as Spark DataFrames."""
+"""Rangeloom: lists, grids, bags and maps with long indices, as Spark DataFrames."""
 
 from rangeloom.functions.ranges import LongRange, SquareRange, split_list
 from rangeloom.operators.accumulate import accept, scatter

@@ -259,5 +259,10 @@ def part_of(position: Column | str, total: Column | int, parts: int) -> Column:
     return F.when(p < wide, quotient(p, small + 1)).otherwise(extra + quotient(p - wide, F.greatest(small, F.lit(1).cast("long")))).cast("int")
 
 
+def part_start(k: Column | str, total: int, parts: int) -> Column:
+    """The position at which a part begins, as :func:`part_of` deals them."""
+    return col(k).cast("long") * (total // parts) + F.least(col(k).cast("long"), F.lit(total % parts).cast("long"))
+
+
 def null_safe_equals(a: Column | str, b: Column | str) -> Column:
     return col(a).eqNullSafe(col(b))

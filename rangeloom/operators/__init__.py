@@ -1 +1 @@
-"""Collections and what is done with them."""
+"""Lists, bags, maps, grids, products and what is done with them."""

@@ -1,15 +1,18 @@
-"""Two-dimensional collections: rows (i, j, payload...), dense or sparse."""
+"""Grids: rows (i, j, payload...), dense or sparse."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import LongRange, SquareRange, part_of
 
+if TYPE_CHECKING:
+    from rangeloom.operators.indexed import IndexedFrame
+
 #: The eight neighbours and the cell itself, as (di, dj).
 AROUND = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1)]
 
@@ -62,7 +65,12 @@ class GridFrame:
     def map(self, **values: Column) -> GridFrame:
         return self._with(self.df.select(self.i, self.j, *[v.alias(k) for k, v in values.items()]))
 
-    setup_from = map
+    def setup_from(self, source: GridFrame, **values: Column) -> GridFrame:
+        """This grid with columns overwritten where ``source`` has the cell (its columns begin with ``r_``)."""
+        right = source.df.select(F.col(source.i).alias("__i"), F.col(source.j).alias("__j"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"r_{c}") for c in source.df.columns if c not in (source.i, source.j)])
+        met = self.df.join(right, (self.df[self.i] == right["__i"]) & (self.df[self.j] == right["__j"]), "left")
+        new = {k: F.when(F.col("__hit"), v).otherwise(F.col(k)) if k in self.df.columns else F.when(F.col("__hit"), v) for k, v in values.items()}
+        return self._with(met.withColumns(new).select(*dict.fromkeys([*self.df.columns, *values])))
 
     def update(self, within: SquareRange | None = None, **values: Column) -> GridFrame:
         new = values if within is None else {k: F.when(within.where(self.i, self.j), v).otherwise(F.col(k)) for k, v in values.items()}
@@ -83,6 +91,26 @@ class GridFrame:
     def column(self, j: int) -> DataFrame:
         return self.df.where(F.col(self.j) == j).drop(self.j)
 
+    def row_list(self, i: int) -> IndexedFrame:
+        """A row as a list by j; what is changed in it comes back into the grid by :meth:`with_row`."""
+        from rangeloom.operators.indexed import IndexedFrame
+
+        return IndexedFrame(self.row(i), self.j)
+
+    def column_list(self, j: int) -> IndexedFrame:
+        from rangeloom.operators.indexed import IndexedFrame
+
+        return IndexedFrame(self.column(j), self.i)
+
+    def with_row(self, i: int, row: IndexedFrame) -> GridFrame:
+        """With a row's cells replaced by those of a list."""
+        own = row.df.withColumnRenamed(row.idx, self.j).withColumn(self.i, F.lit(i).cast("long"))
+        return self._with(self.df.where(F.col(self.i) != i).unionByName(own))
+
+    def with_column(self, j: int, column: IndexedFrame) -> GridFrame:
+        own = column.df.withColumnRenamed(column.idx, self.i).withColumn(self.j, F.lit(j).cast("long"))
+        return self._with(self.df.where(F.col(self.j) != j).unionByName(own))
+
     def reduce_rows(self, within: LongRange | None = None, **reductions: Column) -> DataFrame:
         """Reductions of each row, its array never being built."""
         df = self.df if within is None else self.df.where(within.where(self.i))

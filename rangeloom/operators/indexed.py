@@ -1,6 +1,6 @@
 """Lists addressed by a long index: rows (idx, payload...) and the ranges (start, stop) they lie in.
 
-Collections are immutable: what changes elements in place elsewhere returns a new frame here.
+Lists are immutable: what changes elements in place elsewhere returns a new frame here.
 """
 
 from __future__ import annotations
@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import TYPE_CHECKING, Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import LongRange, block_of, part_of, split_list
-from rangeloom.operators.interval import range_join, small
+from rangeloom.operators.interval import range_join, scanned, small
+from rangeloom.operators.local import local_batches
 from rangeloom.operators.rangeset import OverlapError, RangeSet, cut
 from rangeloom.operators.reduce import Reducer, reduce_with
 
@@ -60,26 +62,30 @@ class IndexedFrame:
         from gaps between indices; for indices full of gaps use :meth:`runs`, which stays a table."""
         if self._ranges is None:
             rows = self.runs().collect()
-            self._ranges = [LongRange(r.start, r.stop) for r in rows]
+            self._ranges = sorted(LongRange(r.start, r.stop) for r in rows)
         return list(self._ranges)
 
     def runs(self, width: int = 1 << 20) -> DataFrame:
-        """(start, stop) of each run of consecutive indices. Runs within blocks of ``width`` indices
-        come first; those that meet at a block's edge are then joined, a few rows a block."""
+        """(start, stop) of each run of consecutive indices. Runs within blocks of ``width`` indices come
+        first. Those at which none ends begin a run, those at which none begins end one, and the n-th
+        beginning goes with the n-th end."""
         i = F.col(self.idx)
         rank = F.row_number().over(Window.partitionBy(block_of(i, width)).orderBy(self.idx))
         parts = self.df.select(i.alias("i"), block_of(i, width).alias("b"), (i - rank).alias("g")).groupBy("b", "g")
         parts = parts.agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
-        order = Window.orderBy("start")
-        fresh = F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))
-        joined = parts.withColumn("f", fresh).withColumn("run", F.sum("f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return joined.groupBy("run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("start", "stop").orderBy("start")
+        begins = parts.select("start").join(parts.select(F.col("stop").alias("x")), F.col("start") == F.col("x"), "left_anti")
+        ends = parts.select("stop").join(parts.select(F.col("start").alias("x")), F.col("stop") == F.col("x"), "left_anti")
+        first, last = positions(begins, "start").drop("__n"), positions(ends, "stop").drop("__n")
+        return first.join(last, "__pos").select("start", "stop")
 
     @property
     def num_chunks(self) -> int:
         return len(self.ranges)
 
     def ranges_frame(self) -> DataFrame:
+        """(range_id, start, stop) of the chunks; of unknown ones without gathering them."""
+        if self._ranges is None:
+            return positions(self.runs(), "start").select(F.col("__pos").alias("range_id"), "start", "stop")
         rows = [(k, r.start, r.stop) for k, r in enumerate(self.ranges)]
         return self.df.sparkSession.createDataFrame(rows, "range_id long, start long, stop long")
 
@@ -112,23 +118,33 @@ class IndexedFrame:
 
     def add(self, other: IndexedFrame) -> IndexedFrame:
         """With the chunks of ``other``, none of which may overlap one that is there."""
+        own = other.df.withColumnRenamed(other.idx, self.idx)
+        if self._ranges is None or other._ranges is None:  # chunks unknown: their indices tell
+            shared = own.select(self.idx).join(self.df.select(F.col(self.idx).alias("__i")), F.col(self.idx) == F.col("__i"), "left_semi").head()
+            if shared is not None:
+                raise OverlapError(f"index {shared[0]} is in both")
+            return IndexedFrame(self.df.unionByName(own), self.idx)
+        mine = RangeSet(self.ranges)
         for r in other.ranges:
-            if any(r.overlaps(x) for x in self.ranges):
+            if mine.overlap_set(r.start, r.stop):
                 raise OverlapError(str(r))
-        own = other.df.withColumnRenamed(other.idx, self.idx)
         return self._with(self.df.unionByName(own), self.ranges + other.ranges)
 
     def remove(self, r: LongRange) -> IndexedFrame:
         """Without the chunk that has exactly that range."""
+        if self._ranges is None:
+            if self.runs().where((F.col("start") == r.start) & (F.col("stop") == r.stop)).isEmpty():
+                raise KeyError(str(r))
+            return IndexedFrame(self.df.where(~r.where(self.idx)), self.idx)
         if r not in self.ranges:
             raise KeyError(str(r))
         return self._with(self.df.where(~r.where(self.idx)), [x for x in self.ranges if x != r])
 
     def filter_chunks(self, condition: Column, **aggregates: Column) -> IndexedFrame:
-        """Chunks for whose ``aggregates`` the condition holds."""
+        """Chunks for whose ``aggregates`` the condition holds; aggregated once, then slices of the list."""
         kept = self.chunks().groupBy("range_id", "start", "stop").agg(*[c.alias(k) for k, c in aggregates.items()]).where(condition)
-        ranges = [LongRange(r.start, r.stop) for r in kept.select("start", "stop").collect()]
-        return self._with(range_join(self.df, kept.select("start", "stop"), self.idx, "left_semi"), ranges)
+        ranges = sorted(LongRange(r.start, r.stop) for r in kept.select("start", "stop").collect())
+        return self._with(RangesFilter(ranges).of(self.df, self.idx), ranges)
 
     def reduce_chunks(self, **aggregates: Column) -> DataFrame:
         """A row a chunk: range_id, start, stop and the aggregates."""
@@ -169,8 +185,16 @@ class IndexedFrame:
         return row
 
     def set(self, i: int, **values: Column | Any) -> IndexedFrame:
-        if self._ranges is not None and not self.contains_index(i):
+        if not self.contains_index(i):
             raise IndexError(i)
+        return self.set_unchecked(i, **values)
+
+    def get_unchecked(self, i: int) -> Row | None:
+        """The row at an index, None if there is none."""
+        return self.df.where(F.col(self.idx) == i).first()
+
+    def set_unchecked(self, i: int, **values: Column | Any) -> IndexedFrame:
+        """As ``set`` without looking whether the index is there; if it isn't nothing changes."""
         at = F.col(self.idx) == i
         return self._with(self.df.withColumns({k: F.when(at, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(k)) for k, v in values.items()}))
 
@@ -218,14 +242,19 @@ class IndexedFrame:
         new = values if within is None else {k: F.when(within.where(self.idx), v).otherwise(F.col(k)) for k, v in values.items()}
         return self._with(self.df.withColumns(new))
 
-    def map_batches(self, function: Callable, schema: str) -> IndexedFrame:
-        """A function over Arrow batches, for what expressions can't say; it must keep the index column."""
-        return self._with(self.df.mapInArrow(function, schema))
+    def map_batches(self, function: Callable, schema: str, make: Callable[[], Any] | None = None) -> IndexedFrame:
+        """A function over Arrow batches, for what expressions can't say; it must keep the index column. With ``make``
+        it is a function of an object, which each task makes for itself, and a batch."""
+        return self._with(local_batches(self.df, function, schema, make))
 
     def for_each(self, action: Callable[[Iterable[Row]], None], within: LongRange | None = None) -> None:
         """A side effect on each partition's rows."""
         (self.df if within is None else self.df.where(within.where(self.idx))).foreachPartition(action)
 
+    def zip_for_each(self, other: IndexedFrame, action: Callable[[Iterable[Row]], None], within: LongRange | None = None) -> None:
+        """A side effect on each partition's rows met by index, see :meth:`zipped`."""
+        self.zipped(other, within=within).foreachPartition(action)
+
     def zipped(self, *others: IndexedFrame, within: LongRange | None = None) -> DataFrame:
         """Rows met by index; columns of the k-th other list (from 1) begin with ``rk_``."""
         out = self.df if within is None else self.df.where(within.where(self.idx))
@@ -324,6 +353,33 @@ class IndexedFrame:
     def read(cls, spark: SparkSession, path: str, idx: str = "idx") -> IndexedFrame:
         return cls(spark.read.parquet(path), idx)
 
+    def write_encoded(self, path: str, encode: Callable[[dict[str, Any]], bytes]) -> None:
+        """Rows in a form of the caller's own: the index, and what ``encode`` makes of the row."""
+        idx = self.idx
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [encode(row) for row in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(idx), pa.array(raw, pa.binary())], [idx, "raw"])
+
+        self.df.mapInArrow(run, f"`{idx}` long, raw binary").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read_encoded(cls, spark: SparkSession, path: str, decode: Callable[[bytes], dict[str, Any]], schema: str, idx: str = "idx") -> IndexedFrame:
+        """What :meth:`write_encoded` wrote, by the function that undoes it; ``schema`` is that of the other columns."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import LongType, StructField, StructType
+
+        out = StructType([StructField(idx, LongType()), *StructType.fromDDL(schema)])
+        arrow = to_arrow_schema(out)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [{idx: i} | decode(raw) for i, raw in zip(batch.column(idx).to_pylist(), batch.column("raw").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+        return cls(spark.read.parquet(path).mapInArrow(run, out), idx)
+
 
 class RangesFilter:
     """A filter for a few ranges, pushed down to the scan; many are joined."""
@@ -343,13 +399,13 @@ class RangesFilter:
 def positions(df: DataFrame, idx: str, width: int = 1 << 16) -> DataFrame:
     """``df`` with ``__pos``, the number of rows with smaller indices, and ``__n``, the number of rows.
 
-    Blocks of ``width`` indices are counted, the counts are summed up over blocks, and rows are
-    numbered inside their block.
+    Blocks of ``width`` indices are counted, the counts are summed up over blocks in two levels, and rows
+    are numbered inside their block.
     """
     block = block_of(idx, width)
     counts = df.groupBy(block.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("__b", (F.sum("__c").over(order) - F.col("__c")).alias("__start"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    total = counts.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
+    starts = _sums_before(counts, "__c", 0).select("__b", F.col("__before").alias("__start"), F.lit(total).cast("long").alias("__n"))
     numbered = df.withColumn("__b", block).withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(idx)))
     met = numbered.join(F.broadcast(starts) if small(starts) else starts, "__b")
     return met.withColumn("__pos", F.col("__start") + F.col("__rn") - 1).drop("__b", "__rn", "__start")
@@ -358,16 +414,20 @@ def positions(df: DataFrame, idx: str, width: int = 1 << 16) -> DataFrame:
 def prefix_sum(df: DataFrame, idx: str, value: Column, name: str = "prefix", width: int = 1 << 16) -> DataFrame:
     """``df`` with the sum of ``value`` over all indices up to the row's own, in two levels.
 
-    Sums of blocks of ``width`` indices are scanned, a row a block; rows are scanned inside their block.
+    Sums of blocks of ``width`` indices are scanned, in two levels again; rows are scanned inside their block.
     """
     keyed = df.withColumn("__b", block_of(idx, width)).withColumn("__v", value)
     sums = keyed.groupBy("__b").agg(F.sum("__v").alias("__s"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__b", F.sum("__s").over(before).alias("__start"))
+    starts = _sums_before(sums, "__s", 0).select("__b", F.col("__before").alias("__start"))
     inside = Window.partitionBy("__b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     scanned = keyed.withColumn("__in", F.sum("__v").over(inside))
     met = scanned.join(F.broadcast(starts) if small(starts) else starts, "__b")
     return met.withColumn(name, F.coalesce("__start", F.lit(0)) + F.coalesce("__in", F.lit(0))).drop("__b", "__v", "__in", "__start")
 
 
+def _sums_before(blocks: DataFrame, value: str, zero: int) -> DataFrame:
+    nothing = F.lit(zero)
+    return scanned(blocks, "__b", value, F.sum, F.sum(value), lambda a, b: F.coalesce(a, nothing) + F.coalesce(b, nothing))
+
+
 __all__ = ["IndexedFrame", "RangesFilter", "cut", "positions", "prefix_sum"]

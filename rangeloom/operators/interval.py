@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import block_of
+from rangeloom.functions.ranges import block_of, quotient
 
 #: A side of at most so many rows, as a count shows, may be broadcast.
 SMALL = 20_000
@@ -15,34 +18,91 @@ def small(df: DataFrame, most: int = SMALL) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Stretches into which the span of blocks is cut for a scan in two levels.
+STRETCHES = 4096
+
+
+def scanned(line: DataFrame, block: str, value: str, over: Callable[[str], Column], whole: Column, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """``line`` (a row a block) with ``__before``: what ``value`` comes to over all blocks before a row's own.
+
+    ``over`` is the running aggregate, ``whole`` the aggregate of a stretch of blocks, ``both`` puts what is before a
+    stretch together with what is before a row in it. Stretches are scanned first, ``STRETCHES`` rows at most, then
+    blocks inside their stretch.
+    """
+    low, high = line.agg(F.min(block), F.max(block)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // STRETCHES))
+    cut = line.withColumn("__stretch", quotient(F.col(block) - F.lit(low or 0), width))
+    tops = cut.groupBy("__stretch").agg(whole.alias("__whole"))
+    order = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("__stretch", over("__whole").over(order).alias("__top"))
+    inside = Window.partitionBy("__stretch").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    met = cut.withColumn("__in", over(value).over(inside)).join(F.broadcast(tops), "__stretch")
+    return met.withColumn("__before", both(F.col("__top"), F.col("__in"))).drop("__stretch", "__in", "__top")
+
+
 def blocks(ranges: DataFrame, width: int) -> DataFrame:
     """Each range once for each block of ``width`` indices that it meets."""
     return ranges.where("start < stop").withColumn("block", F.explode(F.sequence(block_of("start", width), block_of(F.col("stop") - 1, width))))
 
 
-def block_width(ranges: DataFrame) -> int:
-    """The mean length of the ranges, so that each meets few blocks and blocks meet few ranges."""
-    row = ranges.agg(F.sum(F.col("stop") - F.col("start")), F.count(F.lit(1))).first()
-    return max(1, -(-(row[0] or 1) // max(row[1], 1)))
+#: Ranges whose lengths are between powers of this are a class, which has blocks of a width of its own.
+CLASS = 8
+
+
+def length_classes(ranges: DataFrame) -> list[int]:
+    """The block widths of the classes that ``ranges`` have: at most 21, whatever the ranges."""
+    size = (F.col("stop") - F.col("start")).cast("double")
+    k = F.ceil(F.log(float(CLASS), size) - 1e-9)
+    found = ranges.where("start < stop").select(F.greatest(k, F.lit(0)).cast("int").alias("k")).distinct().collect()
+    return sorted(CLASS**r.k for r in found)
+
+
+def _of_class(ranges: DataFrame, width: int) -> DataFrame:
+    size = F.col("stop") - F.col("start")
+    return ranges.where((size <= width) & (size > (width // CLASS if width > 1 else 0)))
 
 
 def range_join(rows: DataFrame, ranges: DataFrame, idx: str = "idx", how: str = "inner", width: int | None = None) -> DataFrame:
-    """Each row with each range (start, stop, ...) that holds its index; ``how``: inner, left, left_semi or left_anti."""
-    width = width or block_width(ranges)
+    """Each row with each range (start, stop, ...) that holds its index; ``how``: inner, left, left_semi or left_anti.
+
+    Ranges are met by block, an equi-join. The blocks of a class of lengths are as wide as its longest ranges, so
+    a range lies in two of them at most, and a few long ranges don't widen the blocks of many short ones.
+    ``width`` gives one width for all instead.
+    """
+    widths = [width] if width else length_classes(ranges) or [1]
+    parts = [(w, ranges if width else _of_class(ranges, w)) for w in widths]
+    if how == "left_anti":
+        for w, own in parts:
+            rows = _met(rows, own, idx, how, w)
+        return rows
+    if how == "left_semi" and len(parts) > 1:
+        found = _union([_met(rows.select(idx).distinct(), own, idx, how, w) for w, own in parts]).distinct()
+        return rows.join(found.withColumnRenamed(idx, "__found"), F.col(idx) == F.col("__found"), "left_semi")
+    if how == "left" and len(parts) > 1:
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema]
+        return _union([_met(rows, own, idx, "inner", w) for w, own in parts] + [range_join(rows, ranges, idx, "left_anti").select("*", *missing)])
+    return _union([_met(rows, own, idx, how, w) for w, own in parts])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _met(rows: DataFrame, ranges: DataFrame, idx: str, how: str, width: int) -> DataFrame:
     right = blocks(ranges, width)
     if small(ranges):
         right = F.broadcast(right)
-    left = rows.withColumn("block", block_of(idx, width))
-    on = (left["block"] == right["block"]) & (left[idx] >= right["start"]) & (left[idx] < right["stop"])
-    out = left.join(right, on, how)
-    return out.drop(left["block"]) if how in ("left_semi", "left_anti") else out.drop(left["block"]).drop(right["block"])
+    left = rows.withColumn("__block", block_of(idx, width))
+    right = right.withColumnRenamed("block", "__right")
+    on = (F.col("__block") == F.col("__right")) & (left[idx] >= right["start"]) & (left[idx] < right["stop"])
+    return left.join(right, on, how).drop("__block", "__right")
 
 
 def floor_join(rows: DataFrame, marks: DataFrame, idx: str = "idx", mark: str = "start", width: int | None = None) -> DataFrame:
     """Each row with ``marks``' row of the greatest ``mark`` at or below its index (columns null if none).
 
     Rows and marks are dealt by block of ``width`` indices; the last mark before each block is
-    carried into it by a scan over blocks that have marks, so no task sees more than a block.
+    carried into it by a scan over blocks in two levels (:func:`scanned`), so no task sees all blocks.
     """
     rest = [c for c in marks.columns if c != mark]
     if width is None:
@@ -56,8 +116,9 @@ def floor_join(rows: DataFrame, marks: DataFrame, idx: str = "idx", mark: str =
     wanted = keyed.select("__block").distinct()
     line = lasts.select("__block", "__mark").unionByName(wanted.select("__block", F.lit(None).alias("__mark")), allowMissingColumns=True)
     line = line.groupBy("__block").agg(F.max("__mark").alias("__mark"))
-    order = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = line.select("__block", F.last("__mark", ignorenulls=True).over(order).alias("__carried"))
+    last = lambda c: F.last(c, ignorenulls=True)
+    carried = scanned(line, "__block", "__mark", last, F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("__block"))), lambda a, b: F.coalesce(b, a))
+    carried = carried.select("__block", F.col("__before").alias("__carried"))
     names = [F.col(f"`{c}`") for c in rows.columns]
     both = keyed.select("__block", F.col(idx).alias("__key"), F.struct(*names).alias("__row"), F.lit(None).alias("__mark")).unionByName(
         marked.select("__block", "__key", F.lit(None).alias("__row"), "__mark"), allowMissingColumns=True

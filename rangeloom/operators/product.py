@@ -2,26 +2,33 @@
 
 The pairs of a tile meet by an equi-join on the tile: rows of the outer list go to each tile of their
 row of tiles, rows of the inner list to each of their column. A tile is the unit of work, its size is
-chosen, and no side is broadcast or gathered as a whole. Tiles without a pair are never made.
+chosen, and no side is broadcast or gathered as a whole. Which tiles a row goes to is arithmetic over its
+own tile: there is no list of tiles, and tiles without a pair are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import LongRange, SquareRange, part_of
+from rangeloom.functions.ranges import LongRange, SquareRange, part_of, part_start
+from rangeloom.operators.local import local_batches
 
 if TYPE_CHECKING:
     from rangeloom.operators.grid import GridFrame
     from rangeloom.operators.indexed import IndexedFrame
 
-#: Indices of a tile's side, if tiles aren't given.
-TILE = 4096
+#: Indices of a tile's side at least, and tiles of a side at most, if tiles aren't given; a row is sent to as many
+#: tiles as the other side has.
+TILE, MOST_TILES = 4096, 1024
+
+
+def _tiles(size: int) -> int:
+    return max(1, min(-(-size // TILE), MOST_TILES))
 
 
 class Product:
@@ -30,7 +37,7 @@ class Product:
     def __init__(self, outer: IndexedFrame, inner: IndexedFrame, square: SquareRange | None = None, tiles: tuple[int, int] | None = None):
         self.outer, self.inner = outer, inner
         self.square = square or SquareRange(_span(outer), _span(inner))
-        self.tiles = tiles or (-(-self.square.outer.size // TILE) or 1, -(-self.square.inner.size // TILE) or 1)
+        self.tiles = tiles or (_tiles(self.square.outer.size), _tiles(self.square.inner.size))
 
     @classmethod
     def triangle(cls, outer: IndexedFrame, inner: IndexedFrame, shift: int = 0) -> Product:
@@ -66,19 +73,30 @@ class Product:
         a, b = self.tiles
         s = self.square
         left, right = self._sides()
-        full = s.split(a, b)
-        wanted = [(k // b, k % b) for k, t in enumerate(full) if t.size]
-        by_row: dict[int, list[int]] = {}
-        by_column: dict[int, list[int]] = {}
-        for x, y in wanted:
-            by_row.setdefault(x, []).append(y)
-            by_column.setdefault(y, []).append(x)
-        left = left.withColumn("ti", part_of(F.col("i") - s.outer.start, s.outer.size, a)).withColumn("tj", F.explode(_tiles_of("ti", by_row, a)))
-        right = right.withColumn("tj", part_of(F.col("j") - s.inner.start, s.inner.size, b)).withColumn("ti", F.explode(_tiles_of("tj", by_column, b)))
+        left = left.withColumn("ti", part_of(F.col("i") - s.outer.start, s.outer.size, a)).withColumn("tj", F.explode(self._tiles_of_row()))
+        right = right.withColumn("tj", part_of(F.col("j") - s.inner.start, s.inner.size, b)).withColumn("ti", F.explode(self._tiles_of_column()))
         met = left.join(right, ["ti", "tj"])
         rest = [c for c in met.columns if c not in ("i", "j", "ti", "tj")]
         return (met.where(s.where("i", "j")) if s.triangle else met).select("i", "j", *rest, "ti", "tj")
 
+    def _tiles_of_row(self) -> Column:
+        """The tiles that the row of tiles ``ti`` has pairs in: from the one that its first index begins with."""
+        s, parts = self.square, self.tiles[1]
+        if not s.triangle:
+            return F.sequence(F.lit(0), F.lit(parts - 1))
+        first = part_start(F.col("ti"), s.outer.size, self.tiles[0]) + (s.outer.start + 1 - s.shift - s.inner.start)
+        low = part_of(F.greatest(first, F.lit(0).cast("long")), s.inner.size, parts)
+        return F.when(first < s.inner.size, F.sequence(low, F.lit(parts - 1))).otherwise(F.array().cast("array<int>"))
+
+    def _tiles_of_column(self) -> Column:
+        """The tiles that the column of tiles ``tj`` has pairs in: up to the one that its last index ends with."""
+        s, parts = self.square, self.tiles[0]
+        if not s.triangle:
+            return F.sequence(F.lit(0), F.lit(parts - 1))
+        last = part_start(F.col("tj") + 1, s.inner.size, self.tiles[1]) + (s.inner.start - 2 + s.shift - s.outer.start)
+        high = part_of(F.least(last, F.lit(s.outer.size - 1).cast("long")), s.outer.size, parts)
+        return F.when(last >= 0, F.sequence(F.lit(0), high)).otherwise(F.array().cast("array<int>"))
+
     def get(self, i: int, j: int) -> Row:
         """The pair (outer row i, inner row j)."""
         self.square.check((i, j))
@@ -88,6 +106,10 @@ class Product:
     def map(self, **values: Column) -> DataFrame:
         return self.pairs().select("i", "j", *[v.alias(k) for k, v in values.items()])
 
+    def map_batches(self, function: Callable, schema: str, make: Callable[[], Any] | None = None) -> DataFrame:
+        """A function over Arrow batches of pairs; with ``make`` it also gets an object that each task makes for itself."""
+        return local_batches(self.pairs(), function, schema, make)
+
     def reduce(self, **reductions: Column) -> DataFrame:
         return self.pairs().agg(*[c.alias(k) for k, c in reductions.items()])
 
@@ -144,13 +166,3 @@ def _span(x: IndexedFrame) -> LongRange:
         return LongRange(min(r.start for r in x._ranges), max(r.stop for r in x._ranges))
     row = x.df.agg(F.min(x.idx), F.max(x.idx)).first()
     return LongRange(row[0], row[1] + 1) if row[0] is not None else LongRange(0, 0)
-
-
-def _tiles_of(own: str, partners: dict[int, list[int]], n: int) -> Column:
-    """The partner tiles of a row of tiles: consecutive numbers, given by their first and last."""
-    if all(own_list == list(range(own_list[0], own_list[-1] + 1)) for own_list in partners.values()):
-        low = F.array(*[F.lit(partners[k][0]) if k in partners else F.lit(1) for k in range(n)])
-        high = F.array(*[F.lit(partners[k][-1]) if k in partners else F.lit(0) for k in range(n)])
-        a, b = F.element_at(low, F.col(own) + 1), F.element_at(high, F.col(own) + 1)
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    raise AssertionError("tiles of a row are consecutive")

@@ -156,7 +156,7 @@ class RangeSet:
 
     @classmethod
     def of(cls, ranges: DataFrame) -> RangeSet:
-        """From rows (start, stop): metadata of a collection, a row a chunk."""
+        """From rows (start, stop): metadata of a list, a row a chunk."""
         return cls(LongRange(r.start, r.stop) for r in ranges.select("start", "stop").collect())
 
 

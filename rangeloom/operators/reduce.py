@@ -27,6 +27,10 @@ def wrapped(total: Column, bits: int) -> Column:
     return (F.pmod(total.cast("decimal(38,0)") + half, span) - half).cast({16: "short", 32: "int", 64: "long"}[bits])
 
 
+#: The largest finite numbers of both real types.
+LARGEST = {"float": 3.4028234663852886e38, "double": 1.7976931348623157e308}
+
+
 def identity(op: str, kind: str, compat: bool = False) -> Any:
     """What a reduction of no values gives. ``compat``: maxima of real numbers start at the smallest positive one."""
     if op in ("and", "or"):
@@ -35,7 +39,7 @@ def identity(op: str, kind: str, compat: bool = False) -> Any:
         return (0.0 if kind in REAL else 0) if op == "sum" else (1.0 if kind in REAL else 1)
     if kind in REAL:
         if compat:
-            return TINY[kind] if op == "max" else {"float": 3.4028234663852886e38, "double": 1.7976931348623157e308}[kind]
+            return TINY[kind] if op == "max" else LARGEST[kind]
         return float("-inf") if op == "max" else float("inf")
     top = (1 << (BITS[kind] - 1)) - 1
     return -top - 1 if op == "max" else top
@@ -46,7 +50,8 @@ def reduction(op: str, value: Column | str, kind: str = "long", wrap: bool = Fal
 
     Nulls are skipped; NaN never wins a maximum or minimum; no values give the identity. Sums of
     integers are long and fail on overflow, or with ``wrap`` wrap around in the width of ``kind``.
-    ``prod`` is computed in double precision, exact to 2 ** 53 (see :func:`exact_product`).
+    ``prod`` of integers is computed in double precision, which is exact to 2 ** 53, and fails beyond
+    (see :func:`exact_product` and :func:`product_by`, which wrap around).
     """
     v = col(value)
     none = F.lit(identity(op, kind, compat))
@@ -59,7 +64,8 @@ def reduction(op: str, value: Column | str, kind: str = "long", wrap: bool = Fal
     if op == "sum":
         return F.coalesce(F.sum(v.cast(kind)), none.cast("double")).cast(kind)
     if op == "prod":
-        return F.coalesce(F.product(v.cast("double")), F.lit(1.0)).cast("double" if kind in REAL else "long")
+        product = F.coalesce(F.product(v.cast("double")), F.lit(1.0))
+        return product if kind in REAL else F.when(F.abs(product) <= float(1 << 53), product.cast("long")).otherwise(F.raise_error(F.lit("product beyond 2 ** 53: use exact_product or product_by")).cast("long"))
     if kind in REAL:
         v = F.when(~F.isnan(v), v)
     best = F.max(v) if op == "max" else F.min(v)
@@ -90,6 +96,31 @@ def exact_product(df: DataFrame, value: Column | str, bits: int = 64) -> int:
     return product - (1 << bits) if product >> (bits - 1) else product
 
 
+def product_by(df: DataFrame, value: Column | str, *by: str, bits: int = 64) -> DataFrame:
+    """(by, product): each group's product of integers, wrapped to ``bits``. A task multiplies what it has of a group,
+    and those partial products, a row a task, are multiplied again where the group meets."""
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, int] = {}
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in by], strict=True)
+            for key, v in zip(keys, batch.column("product").to_pylist(), strict=True):
+                found[key] = found.get(key, 1) * (1 if v is None else v) % (1 << 64)
+        if found:
+            columns = [pa.array(x) for x in zip(*found, strict=True)]
+            signed = [p - (1 << 64) if p >> 63 else p for p in found.values()]
+            yield pa.RecordBatch.from_arrays([*[c.cast(batch.schema.field(n).type) for c, n in zip(columns, by, strict=True)], pa.array(signed, pa.int64())], [*by, "product"])
+
+    def again(rows: pa.Table) -> pa.Table:
+        product = 1
+        for v in rows.column("product").to_pylist():
+            product = product * v % (1 << bits)
+        return rows.slice(0, 1).set_column(len(by), "product", pa.array([product - (1 << bits) if product >> (bits - 1) else product], pa.int64()))
+
+    own = df.select(*by, col(value).cast("long").alias("product"))
+    return own.mapInArrow(first, own.schema).groupBy(*by).applyInArrow(again, own.schema)
+
+
 class Reducer(ABC):
     """A user-defined reduction. States must be picklable; ``merge`` must be associative and commutative."""
 
@@ -167,7 +198,7 @@ def fold(df: DataFrame, zero: Column | None, step: Callable[[Column, Column], Co
 
     With ``zero`` steps take the state and a struct of ``values``. Without it they take two values of
     the one column named, the first element is where it starts, and an empty list gives null. The
-    values are gathered in one place, in order, so this is for collections that fit there; associative
+    values are gathered in one place, in order, so this is for lists that fit there; associative
     folds are reductions.
     """
     rows = F.array_sort(F.collect_list(F.struct(order, *values)))

@@ -14,7 +14,7 @@ def repeated(df: DataFrame, times: str, at: str, block: int = BLOCK) -> DataFram
     for more than ``block`` is cut into blocks first, which are spread over tasks."""
     n = F.col(times)
     few = df.where(n <= block).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    many = df.where(n > block).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) DIV {block}"))))
-    many = many.repartition(SPREAD, "__k", F.xxhash64(*df.columns))
-    stop = F.least(n, (F.col("__k") + 1) * block) - 1
-    return few.unionByName(many.withColumn(at, F.explode(F.sequence(F.col("__k") * block, stop))).drop("__k"))
+    many = df.where(n > block).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) DIV {block}"))))
+    many = many.repartition(SPREAD, "__part", F.xxhash64(*df.columns))
+    stop = F.least(n, (F.col("__part") + 1) * block) - 1
+    return few.unionByName(many.withColumn(at, F.explode(F.sequence(F.col("__part") * block, stop))).drop("__part"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import LongRange, range_intersection, ranges_overlap
+from rangeloom.functions.ranges import LongRange, chunk_order, null_safe_equals, range_intersection, ranges_overlap, slice_bounds
 from rangeloom.operators import rangeset
 from rangeloom.operators.indexed import IndexedFrame, prefix_sum
 from rangeloom.operators.interval import floor_join, range_join
 from rangeloom.operators.rangeset import RangeSet
 from rangeloom.operators.reduce import fold, top_k
 from rangeloom.queries import money, query
+from rangeloom.sources.scratch import new_path
 from rangeloom.sources.tables import bag, indexed
 
 
@@ -44,9 +48,9 @@ def list_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IndexedFrame.generate(spark, LongRange(10, 60), square=F.col("idx") * F.col("idx") + 1, constant="x", nothing=F.lit(None).cast("int")).df
 
 
-@query("SELECT * FROM (VALUES (5::BIGINT, -5), (6, -1), (7, 5), (8, 2), (9, 4)) t(idx, value)")
+@query("SELECT * FROM (VALUES (5::BIGINT, 3), (6, -2), (7, 7), (8, 6), (9, -6)) t(idx, value)")
 def list_from_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IndexedFrame.from_values(spark, LongRange(5, 10), [-5, -1, 5, 2, 4], kind="int").df
+    return IndexedFrame.from_values(spark, LongRange(5, 10), [3, -2, 7, 6, -6], kind="int").df
 
 
 @query("""
@@ -148,12 +152,12 @@ def flatmap_to_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey // 1000 IN
-(SELECT o_orderkey // 1000 FROM orders GROUP BY 1 HAVING max(o_totalprice) > 4900 AND count(*) > 10)
-AND o_orderkey < 5000""")
+(SELECT o_orderkey // 1000 FROM orders GROUP BY 1 HAVING CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) > 249.9 * count(*) * 10)""")
 def filter_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = orders(spark, sf_dir).slice(LongRange(0, 5000))
-    x = IndexedFrame(x.df, "o_orderkey", LongRange(0, 5000).split(5))
-    kept = x.filter_chunks((F.col("top") > 4900) & (F.col("n") > 10), top=F.max("o_totalprice"), n=F.count(F.lit(1)))
+    x = orders(spark, sf_dir)
+    top = x.df.agg(F.max("o_orderkey")).first()[0]
+    chunked = IndexedFrame(x.df, "o_orderkey", [LongRange(k * 1000, k * 1000 + 1000) for k in range(top // 1000 + 1)])
+    kept = chunked.filter_chunks(F.col("total") > 249.9 * F.col("n") * 10, total=F.sum(money("o_totalprice")).cast("double"), n=F.count(F.lit(1)))
     return kept.df.select("o_orderkey", "o_custkey")
 
 
@@ -185,12 +189,19 @@ def contains_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.start, r.stop, x.contains_range(r)) for r in asked], "start long, stop long, covered boolean")
 
 
-@query("SELECT part - 1 AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS part FROM orders WHERE o_orderkey % 3 != 1) GROUP BY part")
+@query("SELECT part - 1 AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS part FROM orders) GROUP BY part")
 def separate_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = IndexedFrame(orders(spark, sf_dir).df.where("o_orderkey % 3 != 1"), "o_orderkey")
+    x = orders(spark, sf_dir)
     return x.with_part(7).groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
+@query("SELECT part - 1 AS part, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) AS part FROM labels) GROUP BY part")
+def separate_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` has rows for some documents only."""
+    x = indexed(spark, sf_dir, "labels", "doc_id")
+    return x.with_part(7).groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
 @query("SELECT ntile - 1 AS part, min(i) AS start, max(i) + 1 AS stop FROM (SELECT i, ntile(7) OVER (ORDER BY i) AS ntile FROM range(10, 60) t(i)) GROUP BY ntile")
 def split_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, r.start, r.stop) for k, r in enumerate(LongRange(10, 60).split(7))], "part long, start long, stop long")
@@ -231,14 +242,24 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT e.event_id, max(o_orderkey) AS start FROM events e LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 37 = 5) m ON o_orderkey <= e.event_id
-WHERE e.event_id % 7 = 0 AND e.event_id < 3000 GROUP BY 1""")
+SELECT e.event_id, m.start, m.o_custkey FROM events e ASOF LEFT JOIN (SELECT o_orderkey AS start, o_custkey FROM orders WHERE o_orderstatus = 'F') m ON e.event_id >= m.start""")
 def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0 AND event_id < 3000").select("event_id")
-    marks = orders(spark, sf_dir).df.where("o_orderkey % 37 = 5").select(F.col("o_orderkey").alias("start"))
+    """Each event with the last finished order at or below its number."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    marks = orders(spark, sf_dir).df.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("start"), "o_custkey")
     return floor_join(rows, marks, "event_id")
 
 
+@query("""
+SELECT o_orderkey, l.start, l.stop FROM orders JOIN (SELECT l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber = 7 THEN 2000 ELSE 0 END AS stop FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 5) l
+ON o_orderkey >= l.start AND o_orderkey < l.stop""")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in ranges of very different lengths, which lines make."""
+    lines = bag(spark, sf_dir, "lineitem").df.where("l_returnflag = 'R' AND l_linenumber > 5")
+    stop = F.col("l_orderkey") + F.col("l_quantity").cast("long") + F.when(F.col("l_linenumber") == 7, F.lit(2000)).otherwise(F.lit(0))
+    return range_join(orders(spark, sf_dir).df.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("start"), stop.alias("stop")), "o_orderkey")
+
+
 @query(f"SELECT greatest(r.start, q.start) AS start, least(r.stop, q.stop) AS stop FROM {VALUES} JOIN {OTHER_VALUES} ON greatest(r.start, q.start) < least(r.stop, q.stop)")
 def range_set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangeset.intersect(RangeSet(RANGES).frame(spark), RangeSet(OTHER).frame(spark), 64)
@@ -275,10 +296,10 @@ def range_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT min(o_orderkey) AS start, max(o_orderkey) + 1 AS stop FROM (
-  SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS g FROM orders WHERE o_orderkey % 50 < 45) GROUP BY g""")
+SELECT min(doc_id) AS start, max(doc_id) + 1 AS stop FROM (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS g FROM labels) GROUP BY g""")
 def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IndexedFrame(orders(spark, sf_dir).df.where("o_orderkey % 50 < 45"), "o_orderkey").runs(1000)
+    """The runs of documents that have labels."""
+    return indexed(spark, sf_dir, "labels", "doc_id").runs(1000)
 
 
 @query("SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (ORDER BY o_orderkey) AS DOUBLE) AS prefix FROM orders")
@@ -287,12 +308,14 @@ def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.col("prefix").cast("double").alias("prefix"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey >= 150 AND o_orderkey < 200) AND (o_orderkey < 100 OR (o_orderkey >= 150 AND o_orderkey < 300))")
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey >= 150 AND o_orderkey < 200)")
 def remove_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = orders(spark, sf_dir).df.select("o_orderkey")
-    x = IndexedFrame(df.where("o_orderkey < 100"), "o_orderkey", [LongRange(0, 100)])
-    x = x.add(IndexedFrame(df.where("o_orderkey >= 150 AND o_orderkey < 200"), "o_orderkey", [LongRange(150, 200)]))
-    x = x.add(IndexedFrame(df.where("o_orderkey >= 200 AND o_orderkey < 300"), "o_orderkey", [LongRange(200, 300)]))
+    cuts = [0, 100, 150, 200, 1 << 40]
+    parts = [LongRange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    x, *rest = (IndexedFrame(df.where(r.where("o_orderkey")), "o_orderkey", [r]) for r in parts)
+    for other in rest:
+        x = x.add(other)
     return x.remove(LongRange(150, 200)).df
 
 
@@ -304,16 +327,15 @@ def list_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "same boolean, different boolean")
 
 
-@query("SELECT string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS result FROM orders WHERE o_orderkey < 200")
+@query("SELECT string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS result FROM orders")
 def fold_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = orders(spark, sf_dir).slice(LongRange(0, 200)).df
-    return fold(df, F.lit(""), lambda a, x: F.concat(a, x["o_orderstatus"]), "o_orderstatus", order="o_orderkey")
+    return fold(orders(spark, sf_dir).df, F.lit(""), lambda a, x: F.concat(a, x["o_orderstatus"]), "o_orderstatus", order="o_orderkey")
 
 
-@query("SELECT CAST(max(o_totalprice) AS DOUBLE) AS result, CAST(NULL AS DOUBLE) AS none FROM orders WHERE o_orderkey < 200")
+@query("SELECT CAST(max(o_totalprice) AS DOUBLE) AS result, CAST(NULL AS DOUBLE) AS none FROM orders")
 def fold_without_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, bigger = orders(spark, sf_dir), lambda a, b: F.greatest(a, b)
-    some = fold(x.slice(LongRange(0, 200)).df, None, bigger, "o_totalprice", order="o_orderkey")
+    some = fold(x.df, None, bigger, "o_totalprice", order="o_orderkey")
     none = fold(x.slice(LongRange(-9, -5)).df, None, bigger, "o_totalprice", order="o_orderkey").withColumnRenamed("result", "none")
     return some.join(none, F.lit(True))
 
@@ -321,3 +343,102 @@ def fold_without_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
 def topk_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(orders(spark, sf_dir).df.select("o_orderkey", "o_totalprice"), 25, "o_totalprice", "o_orderkey")
+
+
+# ---- effects, access and checks ------------------------------------------------------------------
+
+
+def total_of(spark: SparkSession, run: Callable[[Callable], None], value: Callable[[Row], int]) -> int:
+    """What a side effect adds up to: ``run`` gets an action that adds each row's value to an accumulator."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def action(rows: Iterable[Row]) -> None:
+        for r in rows:
+            seen.add(value(r))
+
+    run(action)
+    return seen.value
+
+
+@query("""
+SELECT 'each' AS how, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'indexed', CAST(sum(o_orderkey * (o_custkey % 10)) AS BIGINT) FROM orders
+UNION ALL SELECT 'range', CAST(sum(o_custkey) AS BIGINT) FROM orders WHERE o_orderkey >= 10 AND o_orderkey < 500
+UNION ALL SELECT 'zip', CAST(sum(c_nationkey * s_nationkey) AS BIGINT) FROM customer JOIN supplier ON c_custkey = s_suppkey""")
+def for_each_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side effects on a list's rows, with their index, in a range, and on two lists' rows met by index."""
+    x, c, s = orders(spark, sf_dir), customers(spark, sf_dir), suppliers(spark, sf_dir)
+    found = [
+        ("each", total_of(spark, x.for_each, lambda r: r.o_custkey)), ("indexed", total_of(spark, x.for_each, lambda r: r.o_orderkey * (r.o_custkey % 10))),
+        ("range", total_of(spark, lambda action: x.for_each(action, LongRange(10, 500)), lambda r: r.o_custkey)),
+        ("zip", total_of(spark, lambda action: c.zip_for_each(s, action), lambda r: r.c_nationkey * r.r1_s_nationkey)),
+    ]
+    return spark.createDataFrame(found, "how string, total long")
+
+
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_orderkey) AS place FROM (SELECT o_orderkey FROM orders WHERE o_orderkey >= 0 AND o_orderkey < 40) UNION ALL SELECT -1, 3")
+def sub_list_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range that reaches beyond the list is clipped; one outside of it, and two checks of ranges and chunks, fail."""
+    x = IndexedFrame(orders(spark, sf_dir).df, "o_orderkey", [LongRange(0, 100), LongRange(100, 1 << 40)])
+    got, failed = x.sub_list(LongRange(-60, 40)).to_list("o_orderkey"), 0
+    for check in (lambda: x.sub_list(LongRange(-60, -40)), lambda: x.range_check(LongRange(-1, 5)), lambda: x.set(-7, o_custkey=0)):
+        try:
+            check()
+        except IndexError:
+            failed += 1
+    x.range_check(LongRange(50, 150))
+    return spark.createDataFrame([(r.o_orderkey, k + 1) for k, r in enumerate(got)] + [(-1, failed)], "o_orderkey long, place long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 11 THEN -5 ELSE o_custkey END AS o_custkey FROM orders")
+def unchecked_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setting and getting without a look whether the index is there; where it isn't nothing changes."""
+    x = orders(spark, sf_dir).set_unchecked(11, o_custkey=-5).set_unchecked(-3, o_custkey=1)
+    return x.df.select("o_orderkey", "o_custkey") if x.get_unchecked(-3) is None else x.df.limit(0)
+
+
+@query("SELECT r_regionkey, r_name, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS place FROM region")
+def collect_to_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small list on the driver, in order of the index."""
+    got = IndexedFrame(spark.read.parquet(f"{sf_dir}/region.parquet").withColumn("r_regionkey", F.col("r_regionkey").cast("long")), "r_regionkey").to_list("r_regionkey", "r_name")
+    return spark.createDataFrame([(r.r_regionkey, r.r_name, k) for k, r in enumerate(got)], "r_regionkey long, r_name string, place long")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_custkey AS decoded FROM orders")
+def storage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list written and read, as it is and in a form of the caller's own."""
+    x, plain, own = orders(spark, sf_dir), new_path(spark, "list"), new_path(spark, "encoded")
+    x.write(plain)
+    x.write_encoded(own, lambda row: str(row["o_custkey"]).encode())
+    back = IndexedFrame.read(spark, plain, "o_orderkey")
+    decoded = IndexedFrame.read_encoded(spark, own, lambda raw: {"decoded": int(raw)}, "decoded long", "o_orderkey")
+    return back.zipped(decoded).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("r1_decoded").alias("decoded"))
+
+
+@query("SELECT o_orderkey, o_custkey * 2 + CAST(o_custkey % 2 = 0 AS INTEGER) AS v FROM orders")
+def task_local_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map with an object that each task makes for itself, here what it has worked out before."""
+
+    def mapped(known: dict, batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = [known.setdefault(c, c * 2 + (c % 2 == 0)) for c in batch.column("o_custkey").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("o_orderkey"), pa.array(values, pa.int64())], ["o_orderkey", "v"])
+
+    x = orders(spark, sf_dir)
+    return IndexedFrame(x.df.select("o_orderkey", "o_custkey"), "o_orderkey").map_batches(mapped, "o_orderkey long, v long", make=dict).df
+
+
+@query(f"SELECT start, stop, CAST(row_number() OVER (ORDER BY start, stop DESC) - 1 AS BIGINT) AS place FROM (SELECT * FROM {VALUES} UNION ALL SELECT 150, 160 UNION ALL SELECT 0, 300)")
+def range_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by start, of those that start together the longest first."""
+    found = sorted([*RANGES, LongRange(150, 160), LongRange(0, 300)], key=chunk_order)
+    return spark.createDataFrame([(r.start, r.stop, k) for k, r in enumerate(found)], "start long, stop long, place long")
+
+
+@query("SELECT k AS part, CAST(100 + k * (37 // 5) + least(k, 37 % 5) AS BIGINT) AS start, CAST(100 + (k + 1) * (37 // 5) + least(k + 1, 37 % 5) AS BIGINT) AS stop FROM range(5) t(k)")
+def slice_bounds_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, *slice_bounds(37, 5, k, 100)) for k in range(5)], "part long, start long, stop long")
+
+
+@query("SELECT a.o_orderkey, a.o_custkey IS NOT DISTINCT FROM b.o_custkey AS same FROM (SELECT o_orderkey, nullif(o_custkey % 10, 0) AS o_custkey FROM orders) a JOIN (SELECT o_orderkey, nullif(o_custkey % 5, 0) AS o_custkey FROM orders) b USING (o_orderkey)")
+def null_safe_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = orders(spark, sf_dir).df.select("o_orderkey", F.expr("nullif(o_custkey % 10, 0)").alias("a"), F.expr("nullif(o_custkey % 5, 0)").alias("b"))
+    return df.select("o_orderkey", null_safe_equals("a", "b").alias("same"))

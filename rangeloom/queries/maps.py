@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from rangeloom.operators.indexed import IndexedFrame
 from rangeloom.operators.keyed import KeyedFrame, MultiMap, RangedKeyedFrame
 from rangeloom.operators.reduce import reduction
 from rangeloom.plans import errors
-from rangeloom.plans.eventlog import EventLog, activity, worker_activity
-from rangeloom.plans.schedule import Config, FutureGroup, Session
+from rangeloom.plans.eventlog import EventLog, activity, worker_activity, write_csv
+from rangeloom.plans.schedule import Config, FutureGroup, Session, previous_log, under_session
 from rangeloom.queries import money, query
 from rangeloom.queries.lists import orders
-from rangeloom.sources.tables import table
+from rangeloom.sources.scratch import new_path
+from rangeloom.sources.tables import bag, table
+from rangeloom.streaming.receiver import StreamReceiver
 
 
 def supplier_map(spark: SparkSession, sf_dir: str) -> KeyedFrame:
@@ -23,9 +27,9 @@ def supplier_map(spark: SparkSession, sf_dir: str) -> KeyedFrame:
 
 @query("""
 SELECT c_custkey AS s_suppkey, CASE WHEN s_suppkey IS NULL THEN 'none-' || c_custkey ELSE s_name END AS s_name, coalesce(s_acctbal, 0) AS s_acctbal
-FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey < 300""")
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""")
 def map_miss_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("s_suppkey"))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"))
     m = supplier_map(spark, sf_dir).set_default(s_name=F.concat(F.lit("none-"), F.col("s_suppkey")), s_acctbal=F.lit(0.0))
     return m.lookup(keys).select("s_suppkey", "s_name", "s_acctbal")
 
@@ -146,9 +150,9 @@ def error_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.guarded(orders(spark, sf_dir).df.select("o_orderkey", "o_custkey"), by == 0, share=F.floor(F.try_divide(F.lit(1000), by))).drop("o_custkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE 1000 // (o_custkey % 10) END AS share, CASE WHEN o_custkey % 10 = 0 THEN 'ZeroDivisionError' END AS error FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE 1000 // (o_custkey % 10) END AS share, CASE WHEN o_custkey % 10 = 0 THEN 'ZeroDivisionError' END AS error FROM orders")
 def error_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = orders(spark, sf_dir).slice(LongRange(0, 500)).df.select("o_orderkey", "o_custkey")
+    rows = orders(spark, sf_dir).df.select("o_orderkey", "o_custkey")
     out = errors.capture(rows, lambda r: {"share": 1000 // (r["o_custkey"] % 10)}, "share long", "o_orderkey")
     return out.withColumn("error", F.substring_index("error", ":", 1))
 
@@ -166,10 +170,10 @@ def session_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, n, v) for k, (n, v) in enumerate(zip(("count", "top", "both"), found, strict=True))], "step int, name string, value long")
 
 
-@query("SELECT o_orderkey, o_custkey + 1 AS next FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, o_custkey + 1 AS next FROM orders")
 def session_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Session(spark) as s:
-        x = s.submit(lambda: orders(spark, sf_dir).slice(LongRange(0, 100)).map(next=F.col("o_custkey") + 1), "map")
+        x = s.submit(lambda: orders(spark, sf_dir).map(next=F.col("o_custkey") + 1), "map")
         made: IndexedFrame = x.result()
     return made.df
 
@@ -187,3 +191,80 @@ def session_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed = s.submit(lambda: errors.errors(errors.capture(x.df.select("o_orderkey", "o_custkey"), lambda r: {"v": 1 // (r["o_custkey"] % 100)}, "v long", "o_orderkey")).count(), "errors")
         found = [(f.name, f.result()) for f in (mapped, reduced, bagged, failed)]
     return spark.createDataFrame(found, "what string, value long")
+
+
+@query("SELECT 'list' AS what, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders UNION ALL SELECT 'map', CAST(sum(s_nationkey * 3) AS BIGINT) FROM supplier UNION ALL SELECT 'bag', CAST(sum(l_linenumber) AS BIGINT) FROM lineitem")
+def session_for_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side effects as operations of a session, on a list, a map and a bag, so many rows at once."""
+    frames = {"list": (orders(spark, sf_dir), lambda r: r.o_custkey), "map": (supplier_map(spark, sf_dir), lambda r: r.s_nationkey * 3), "bag": (bag(spark, sf_dir, "lineitem"), lambda r: r.l_linenumber)}
+    seen = {k: spark.sparkContext.accumulator(0) for k in frames}
+    with Session(spark, Config(grain=64)) as s:
+        for k, (frame, value) in frames.items():
+            s.for_each(frame, lambda rows, add=seen[k], value=value: add.add(sum(map(value, rows))), k)
+    return spark.createDataFrame([(k, a.value) for k, a in seen.items()], "what string, total long")
+
+
+@query("SELECT 'kept' AS what, CAST(count(*) AS BIGINT) AS n FROM supplier UNION ALL SELECT 'thrown', 1 UNION ALL SELECT 'logged', 2 UNION ALL SELECT 'cancelled', 1")
+def session_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program run under a session: what it threw comes back, staged work that is reset never runs, and the log outlives it."""
+    found: dict[str, int] = {}
+
+    def program(s: Session) -> None:
+        dropped = s.submit(lambda: found.setdefault("never", 1), "never")
+        s.reset()
+        found["cancelled"] = int(dropped.cancelled())
+        found["kept"] = s.submit(supplier_map(spark, sf_dir).size, "kept").result()
+        raise ValueError("the program's own")
+
+    found["thrown"] = len(under_session(spark, program))
+    found["logged"] = previous_log(spark).where("tag = 'worker' AND msg IN ('start', 'stop')").count()
+    return spark.createDataFrame(list(found.items()), "what string, n long")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_type")
+def stream_receiver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bag that a stream's batches are appended to."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    source, target = new_path(spark, "stream"), new_path(spark, "received")
+    events.write.parquet(source)
+    receiver = StreamReceiver(spark, target)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    receiver.start(stream, new_path(spark, "progress")).awaitTermination()
+    return receiver.bag().df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("SELECT r_regionkey % 2 = 0 AS even, CAST(count(*) AS BIGINT) AS n FROM region GROUP BY 1")
+def bag_to_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small bag drained to a list on the driver."""
+    even = Counter(r.r_regionkey % 2 == 0 for r in bag(spark, sf_dir, "region").convert_to_list())
+    return spark.createDataFrame(list(even.items()), "even boolean, n long")
+
+
+def nation_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    place, phase = F.col("n_regionkey").cast("int"), (F.col("n_nationkey") % 2).cast("long")
+    return EventLog(table(spark, sf_dir, "nation").select(place.alias("place"), F.lit("nation").alias("tag"), phase.alias("phase"), F.col("n_name").alias("msg"), F.lit("x").alias("appendix")))
+
+
+@query("""
+WITH n AS (SELECT n_regionkey AS place, n_nationkey % 2 AS phase, n_name AS msg FROM nation),
+     l AS (SELECT place, phase, 0 AS kind, '' AS msg, 'place ' || place || ' tag nation phase ' || phase AS line FROM n GROUP BY place, phase UNION ALL SELECT place, phase, 1, msg, '  ' || msg || ' x' FROM n)
+SELECT row_number() OVER (ORDER BY place, phase, kind, msg) - 1 AS place, line FROM l""")
+def log_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log as it is printed: a line a key in order, and one an item."""
+    return spark.createDataFrame(list(enumerate(nation_log(spark, sf_dir).lines())), "place long, line string")
+
+
+@query("SELECT CAST(n_regionkey AS INTEGER) AS place, 'nation' AS tag, CAST(n_nationkey % 2 AS BIGINT) AS phase, n_name AS msg, 'x' AS appendix, true AS same FROM nation")
+def log_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, path = nation_log(spark, sf_dir), new_path(spark, "log")
+    log.save(path)
+    back = EventLog.load(spark, path)
+    return back.df.withColumn("same", F.lit(back.equals(log)))
+
+
+@query("SELECT * FROM (VALUES ('1', '1'), ('2', '2'), ('3', '1'), ('5', '2'), ('7', '1'), ('9', '0')) t(time, active)")
+def log_activity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of workers at work over time, written as CSV and read back as text."""
+    path = new_path(spark, "csv")
+    write_csv(log_worker_activity(spark, sf_dir), path)
+    return spark.read.option("header", True).csv(path)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import LongRange, SquareRange
+from rangeloom.functions.ranges import LongRange, SquareRange, split_squares, split_two_levels
 from rangeloom.operators.accumulate import accept
 from rangeloom.operators.grid import GridFrame, TiledGrid
 from rangeloom.operators.indexed import IndexedFrame
 from rangeloom.operators.product import Product
 from rangeloom.queries import money, query
-from rangeloom.queries.lists import suppliers
+from rangeloom.queries.lists import suppliers, total_of
 from rangeloom.sources.tables import table
 
 
@@ -34,11 +34,10 @@ def product_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.combination().reduce(n=rows(), total=F.sum((F.col("l_p_size") * F.col("r_p_size")).cast("long")))
 
 
-@query("SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_acctbal AS l_s_acctbal, b.s_acctbal AS r_s_acctbal FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey < 20")
+@query("SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_acctbal AS l_s_acctbal, b.s_acctbal AS r_s_acctbal FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
 def combination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = IndexedFrame(suppliers(spark, sf_dir).df.select("s_suppkey", "s_acctbal"), "s_suppkey")
-    span = LongRange(0, x.size())
-    return x.combination().sub_view(SquareRange(LongRange(0, 20), span, True)).pairs().drop("ti", "tj")
+    return x.combination().pairs().drop("ti", "tj")
 
 
 @query("SELECT count(*) AS n, CAST(sum(a.s_suppkey * 1000 + b.s_suppkey) AS BIGINT) AS total FROM supplier a JOIN supplier b ON b.s_suppkey >= a.s_suppkey + 1 - 3")
@@ -92,20 +91,11 @@ def product_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("""
-SELECT a.vec_id AS i, b.vec_id AS j, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 4) AS dot
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 20""")
-def embedding_pairs_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = IndexedFrame(table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", "embedding"), "vec_id")
-    products = F.zip_with("l_embedding", "r_embedding", lambda a, b: a.cast("double") * b.cast("double"))
-    return x.combination().map(dot=F.round(F.aggregate(products, F.lit(0.0), lambda a, b: a + b), 4))
-
-
 @query("""
 WITH a AS (SELECT vec_id AS i, embedding AS x, CAST(ntile(4) OVER (ORDER BY vec_id) - 1 AS INTEGER) AS ti FROM embeddings), b AS (SELECT i AS j, x AS y, ti AS tj FROM a),
      p AS (SELECT ti, tj, round(list_sum(list_transform(list_zip(x, y), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 4) AS dot FROM a JOIN b ON i < j)
 SELECT ti, tj, count(*) AS n, max(dot) AS top, min(dot) AS low FROM p GROUP BY ti, tj""")
-def embedding_tiles_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_pairs_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot products of all pairs of embeddings, by tile."""
     x = IndexedFrame(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     products = F.zip_with("l_embedding", "r_embedding", lambda a, b: a.cast("double") * b.cast("double"))
@@ -162,9 +152,9 @@ def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks(spark, sf_dir).reduce_columns(n=rows(), total=F.sum("size"))
 
 
-@query(f"SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM {TALKS} WHERE conv_id < 50 GROUP BY conv_id")
+@query(f"SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM {TALKS} GROUP BY conv_id")
 def grid_row_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return talks(spark, sf_dir).row_lists("role", LongRange(0, 50)).select("conv_id", F.array_join("values", ",").alias("roles"))
+    return talks(spark, sf_dir).row_lists("role").select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
 @query(f"SELECT conv_id, turn, size FROM {TALKS} WHERE conv_id >= 5 AND conv_id < 40 AND turn >= 1 AND turn < 4")
@@ -204,9 +194,9 @@ def tiled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TiledGrid(a.df, [a.square]).add(b).add(c).remove(c.square).df
 
 
-@query(f"SELECT turn AS conv_id, conv_id + 3 AS turn, size FROM {TALKS} WHERE conv_id < 9")
+@query(f"SELECT turn AS conv_id, conv_id + 3 AS turn, size FROM {TALKS}")
 def grid_transpose_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = GridFrame(talks(spark, sf_dir).df.where("conv_id < 9"), "conv_id", "turn").translate(3, 0).transpose()
+    x = GridFrame(talks(spark, sf_dir).df, "conv_id", "turn").translate(3, 0).transpose()
     return x.df.select(F.col(x.i).alias("conv_id"), F.col(x.j).alias("turn"), "size")
 
 
@@ -223,10 +213,11 @@ def grid_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_nationkey * b.s_nationkey AS v FROM supplier a, supplier b WHERE a.s_suppkey < 30 AND b.s_suppkey < 30)
-SELECT x.i, x.j, CAST(sum(y.v) AS BIGINT) AS around FROM p x JOIN p y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 GROUP BY 1, 2""")
+WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_nationkey * b.s_nationkey AS v FROM supplier a, supplier b), d AS (SELECT di, dj FROM range(-1, 2) a(di), range(-1, 2) b(dj)),
+     s AS (SELECT i + di AS i, j + dj AS j, v FROM p, d)
+SELECT i, j, CAST(sum(v) AS BIGINT) AS around FROM s SEMI JOIN p USING (i, j) GROUP BY i, j""")
 def product_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = suppliers(spark, sf_dir).slice(LongRange(0, 30))
+    x = suppliers(spark, sf_dir)
     return x.product(x).siblings(F.col("l_s_nationkey") * F.col("r_s_nationkey"), around=lambda v, di, dj: F.sum(v))
 
 
@@ -236,3 +227,50 @@ def grid_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = g.df.agg(F.min(F.struct("conv_id", "turn"))).first()[0]
     row = (g.equals(GridFrame(g.df.repartition(7), "conv_id", "turn")), g.equals(g.set(first.conv_id, first.turn, role="nobody")))
     return spark.createDataFrame([row], "same boolean, different boolean")
+
+
+@query(f"""
+SELECT a.conv_id, a.turn, CASE WHEN b.size IS NULL THEN a.size ELSE a.size - b.size END AS size
+FROM {TALKS} a LEFT JOIN (SELECT conv_id, turn + 1 AS turn, size FROM {TALKS}) b ON a.conv_id = b.conv_id AND a.turn = b.turn""")
+def grid_setup_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells worked out from those of another grid, here the same one moved by a turn."""
+    g = talks(spark, sf_dir)
+    return g.setup_from(GridFrame(g.df, "conv_id", "turn").translate(0, 1), size=F.col("size") - F.col("r_size")).df.select("conv_id", "turn", "size")
+
+
+@query(f"""
+SELECT conv_id, turn, CASE WHEN turn = 2 THEN 0 WHEN conv_id = 3 AND turn = 1 THEN -1 ELSE size END AS size, (SELECT coalesce(bool_or(role = 'user'), false) FROM {TALKS} WHERE conv_id = 3) AS in_row FROM {TALKS}""")
+def grid_row_and_column_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row and a column as lists that are searched, changed, and put back."""
+    g = talks(spark, sf_dir)
+    row, column = g.row_list(3), g.column_list(2)
+    out = g.with_row(3, row.set_unchecked(1, size=-1)).with_column(2, column.update(size=F.lit(0).cast("long")))
+    return out.df.select("conv_id", "turn", "size").withColumn("in_row", F.lit(row.contains("role", "user")))
+
+
+@query("SELECT how, part, CAST(n AS BIGINT) AS n FROM (VALUES ('lists', 0, 3), ('lists', 1, 2), ('lists', 2, 2), ('lists', 3, 2), ('hosts', 0, 3), ('hosts', 1, 2), ('hosts', 2, 2), ('hosts', 3, 2)) t(how, part, n) UNION ALL SELECT 'pairs', 0, 36")
+def tiles_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine tiles of a triangle dealt to four lists, and to two hosts with two workers each; no pair is lost."""
+    tiles = SquareRange(LongRange(1, 10), LongRange(2, 10), True).split(3, 3)
+    lists, hosts = split_squares(4, tiles, seed=5), [w for h in split_two_levels(2, 2, tiles) for w in h]
+    found = [("lists", k, len(x)) for k, x in enumerate(lists)] + [("hosts", k, len(x)) for k, x in enumerate(hosts)]
+    return spark.createDataFrame(found + [("pairs", 0, sum(t.size for x in lists for t in x))], "how string, part int, n long")
+
+
+@query(f"SELECT CAST(sum(size * (turn + 1)) AS BIGINT) AS total FROM {TALKS}")
+def grid_for_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = total_of(spark, talks(spark, sf_dir).for_each, lambda r: r["size"] * (r.turn + 1))
+    return spark.createDataFrame([(total,)], "total long")
+
+
+@query("""
+WITH p AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_nationkey AS x, b.s_nationkey AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey),
+     d AS (SELECT i AS idx, y AS v FROM p UNION ALL SELECT j, x FROM p)
+SELECT s_suppkey, 2 * (SELECT CAST(sum(v) AS BIGINT) FROM d WHERE idx = s_suppkey) AS force FROM supplier""")
+def accumulator_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of scatter and gather: what is sent in the second begins from nothing again."""
+    x = IndexedFrame(suppliers(spark, sf_dir).df.select("s_suppkey", F.col("s_nationkey").cast("long").alias("n"), F.lit(0).cast("long").alias("force")), "s_suppkey")
+    for _ in range(2):
+        acc = x.combination().split(2, 2).scatter((F.col("i"), F.col("r_n")), (F.col("j"), F.col("l_n")))
+        x = accept(x, acc, force=F.col("force") + F.col("acc_delta"))
+    return x.df.select("s_suppkey", "force")

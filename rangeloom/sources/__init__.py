@@ -1 +1 @@
-"""Tables as collections."""
+"""Tables as lists and bags."""

@@ -1,4 +1,4 @@
-"""Reading and writing collections."""
+"""Reading and writing lists and bags."""
 
 from __future__ import annotations
 

@@ -1 +1 @@
-"""Streams into collections."""
+"""Streams into bags."""

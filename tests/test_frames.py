@@ -1,8 +1,9 @@
-"""Collections against plain Python, on small frames; results must not depend on partitions or tiles."""
+"""Lists, bags, maps, grids and products against plain Python, on small frames; results must not depend on partitions or tiles."""
 
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from rangeloom import BagFrame, FoldReducer, GridFrame, IndexedFrame, KeyedFrame
 from rangeloom.operators import rangeset
 from rangeloom.operators.interval import floor_join, range_join
 from rangeloom.operators.keyed import MultiMap
-from rangeloom.operators.reduce import exact_product, fold, team_reduction, top_k
+from rangeloom.operators.reduce import exact_product, fold, product_by, team_reduction, top_k
 
-VALUES = [-5, -1, 5, 2, 4, -5, -4, 5]
+VALUES = [3, -2, 7, 6, -6, 1, 4, -2]
 
 
 @pytest.fixture(scope="module")
@@ -25,13 +26,13 @@ def eight(spark):
 def test_typed_reductions(eight, kind):
     v = F.col("value").cast(kind)
     row = eight.reduce(s=reduction("sum", v, kind), p=reduction("prod", v, kind), hi=reduction("max", v, kind), lo=reduction("min", v, kind)).first()
-    assert (row.s, row.p, row.hi, row.lo) == (1, 20000, 5, -5)
+    assert (row.s, row.p, row.hi, row.lo) == (11, -12096, 7, -6)
     assert dict(eight.reduce(hi=reduction("max", v, kind)).dtypes)["hi"] == {"short": "smallint", "long": "bigint"}.get(kind, kind)
 
 
 def test_bool_and_identities(eight):
     v = F.col("value")
-    row = eight.reduce(a=reduction("and", v > -9), b=reduction("and", v > 0), c=reduction("or", v > 4), d=reduction("or", v > 5)).first()
+    row = eight.reduce(a=reduction("and", v > -9), b=reduction("and", v > 0), c=reduction("or", v > 4), d=reduction("or", v > 7)).first()
     assert tuple(row) == (True, False, True, False)
     none = eight.slice(LongRange(100, 200))
     row = none.reduce(a=reduction("and", v > 0), o=reduction("or", v > 0), s=reduction("sum", v, "int"), p=reduction("prod", v, "int"), m=reduction("max", v, "short"), f=reduction("max", v, "float"), c=reduction("max", v.cast("double"), "double", compat=True)).first()
@@ -41,7 +42,7 @@ def test_bool_and_identities(eight):
 def test_wrapping_and_products(spark, eight):
     big = IndexedFrame.from_values(spark, LongRange(0, 3), [2**31 - 1, 5, -2], kind="long")
     assert big.reduce(w=reduction("sum", "value", "int", wrap=True)).first().w == -(2**31) + 2
-    assert exact_product(eight.df, "value") == 20000
+    assert exact_product(eight.df, "value") == -12096
     assert exact_product(IndexedFrame.from_values(spark, LongRange(0, 4), [3**20, 3**20, 7, None], kind="long").df, "value") == (3**40 * 7 + 2**63) % 2**64 - 2**63
 
 
@@ -53,8 +54,8 @@ def test_nan_never_wins(spark):
 def test_user_reducer_on_any_partitioning(eight):
     top3 = FoldReducer(list, lambda s, r: sorted([*s, r["value"]])[:3], lambda a, b: sorted(a + b)[:3])
     for n in (1, 3, 9):
-        assert reduce_with(eight.df.repartition(n), top3, "value", fan_in=2) == [-5, -5, -4]
-    assert [r.value for r in top_k(eight.df, 3, "value", "idx").collect()] == [-5, -5, -4]
+        assert reduce_with(eight.df.repartition(n), top3, "value", fan_in=2) == [-6, -2, -2]
+    assert [r.value for r in top_k(eight.df, 3, "value", "idx").collect()] == [-6, -2, -2]
 
 
 def test_ordered_fold(spark, eight):
@@ -63,23 +64,23 @@ def test_ordered_fold(spark, eight):
     for v in VALUES:
         want = want * 2 + v
     assert out == want
-    assert team_reduction(eight.df, eight.reduce(m=F.max("value"))).where("m = 5").count() == 8
+    assert team_reduction(eight.df, eight.reduce(m=F.max("value"))).where("m = 7").count() == 8
 
 
 def test_list_access(spark, eight):
-    assert eight.get(3).value == 2 and eight.set(3, value=9).get(3).value == 9
+    assert eight.get(3).value == 6 and eight.set(3, value=9).get(3).value == 9
     with pytest.raises(IndexError):
         eight.get(8)
     with pytest.raises(IndexError):
         eight.set(8, value=1)
-    assert [r.value for r in eight.iterate(LongRange(2, 6), start=4, reverse=True)] == [4, 2, 5]
+    assert [r.value for r in eight.iterate(LongRange(2, 6), start=4, reverse=True)] == [-6, 6, 7]
     assert eight.slice(LongRange(20, 30)).size() == 0
     assert eight.sub_list(LongRange(6, 30)).ranges == [LongRange(6, 8)]
     with pytest.raises(IndexError):
         eight.sub_list(LongRange(20, 30))
     with pytest.raises(ValueError):
         IndexedFrame.from_values(spark, LongRange(0, 2), [1])
-    assert eight.contains("value", 2) and not eight.contains("value", None)
+    assert eight.contains("value", 6) and not eight.contains("value", None)
     null = IndexedFrame.empty(spark, LongRange(0, 3), n="int")
     assert null.contains("n", None) and null.size() == 3
     assert eight.equals(eight.update(value=F.col("value") + 0)) and not eight.equals(eight.slice(LongRange(0, 7)))
@@ -113,9 +114,9 @@ def test_chunks(spark):
 def test_zip_and_bag(spark, eight):
     other = IndexedFrame.generate(spark, LongRange(2, 20), w=F.col("idx") * 10)
     zipped = eight.zip_map(other, LongRange(0, 5), s=F.col("value") + F.col("r1_w"))
-    assert [r.s for r in zipped.to_list()] == [25, 32, 44]
+    assert [r.s for r in zipped.to_list()] == [27, 36, 34]
     assert eight.zip_fold(other, d=F.sum(F.col("value") * F.col("r1_w"))).first().d == sum(VALUES[i] * i * 10 for i in range(2, 8))
-    assert [r.value for r in eight.setup_from(other, within=LongRange(2, 4), value=F.col("r1_w").cast("int")).to_list()] == [-5, -1, 20, 30, 4, -5, -4, 5]
+    assert [r.value for r in eight.setup_from(other, within=LongRange(2, 4), value=F.col("r1_w").cast("int")).to_list()] == [3, -2, 20, 30, -6, 1, 4, -2]
     flat = eight.to_bag(F.array(F.when(F.col("value") > 0, F.struct("value")), F.struct((F.col("value") * 2).alias("value"))))
     assert sorted(r.value for r in flat.df.collect()) == sorted([v for v in VALUES if v > 0] + [2 * v for v in VALUES])
 
@@ -219,9 +220,9 @@ def test_grids(spark):
 
 def test_scatter_and_accept(spark, eight):
     acc = scatter(eight.df, (F.when(F.col("value") > 0, F.lit(3)), F.col("value")), (F.col("idx") % 2, F.lit(1)))
-    assert {r.idx: r.delta for r in acc.collect()} == {3: 16, 0: 4, 1: 4}
+    assert {r.idx: r.delta for r in acc.collect()} == {3: 21, 0: 4, 1: 4}
     out = accept(eight, acc, value=(F.col("value") + F.col("acc_delta")).cast("int"))
-    assert [r.value for r in out.to_list()] == [-1, 3, 5, 18, 4, -5, -4, 5]
+    assert [r.value for r in out.to_list()] == [7, 2, 7, 27, -6, 1, 4, -2]
 
 
 def test_range_joins(spark):
@@ -256,3 +257,126 @@ def test_blocks_are_exact_for_all_longs(spark):
     values = [0, 1, -1, -7, -8, 2**53 + 1, 2**62 + 13, -(2**62) - 5]
     df = spark.createDataFrame([(v,) for v in values], "i long")
     assert [r[0] for r in df.select(block_of("i", 7)).collect()] == [v // 7 for v in values]
+
+
+def test_tiles_are_arithmetic(spark):
+    """Every pair once, for any square, shift and tiles; and a plan over 10**16 pairs is made at once."""
+    rng = random.Random(6)
+    for _ in range(6):
+        a, b = (LongRange(x := rng.randrange(-20, 20), x + rng.randrange(1, 25)) for _ in range(2))
+        x, y = (IndexedFrame.generate(spark, r, n=F.lit(1)) for r in (a, b))
+        shift = rng.randrange(-15, 15)
+        p = Product(x, y, SquareRange(a, b, True, shift)).split(rng.randrange(1, 9), rng.randrange(1, 9))
+        got = sorted((r.i, r.j) for r in p.pairs().collect())
+        assert got == [(i, j) for i in a for j in b if j >= i + 1 - shift]
+    began = time.monotonic()
+    wide = LongRange(0, 100_000_000)
+    x = IndexedFrame.generate(spark, wide, n=F.lit(1))
+    for p in (x.combination(), x.product(x)):
+        assert max(p.tiles) <= 1024
+        p.pairs().columns
+    assert time.monotonic() - began < 3
+
+
+def test_ranges_of_mixed_lengths(spark):
+    """A few very long ranges among many short ones, for each kind of join and with ranges of classes of their own."""
+    rng = random.Random(7)
+    ranges = [(s := rng.randrange(0, 1000), s + rng.choice([1, 2, 9, 64, 65, 600]), k) for k in range(120)] + [(5, 5, -1)]
+    rows = [(i, f"v{i}") for i in range(-20, 1700, 3)]
+    left, right = spark.createDataFrame(rows, "idx long, v string"), spark.createDataFrame(ranges, "start long, stop long, k int")
+    inner = sorted((i, k) for i, _ in rows for a, b, k in ranges if a <= i < b)
+    hit = {i for i, _ in inner}
+    assert sorted((r.idx, r.k) for r in range_join(left, right).collect()) == inner
+    assert sorted(r.idx for r in range_join(left, right, how="left_semi").collect()) == sorted(hit)
+    assert sorted(r.idx for r in range_join(left, right, how="left_anti").collect()) == sorted(i for i, _ in rows if i not in hit)
+    outer = range_join(left, right, how="left")
+    assert sorted((r.idx, -9 if r.k is None else r.k) for r in outer.collect()) == sorted(inner + [(i, -9) for i, _ in rows if i not in hit])
+    assert range_join(left, right.where("false")).count() == 0 and range_join(left, right.where("false"), how="left_anti").count() == len(rows)
+
+
+def test_scans_over_keys_far_apart(spark):
+    rng = random.Random(8)
+    keys = sorted({rng.randrange(-(1 << 55), 1 << 55) for _ in range(300)} | set(range(40)) | set(range(1 << 50, (1 << 50) + 7)))
+    df = spark.createDataFrame([(k, 1) for k in keys], "idx long, v int").repartition(3)
+    assert {r.idx: r.prefix for r in prefix_sum(df, "idx", F.col("v")).collect()} == {k: n + 1 for n, k in enumerate(keys)}
+    x = IndexedFrame(df)
+    runs = []
+    for k in keys:
+        if runs and runs[-1][1] == k:
+            runs[-1] = (runs[-1][0], k + 1)
+        else:
+            runs.append((k, k + 1))
+    assert sorted(map(tuple, x.runs().collect())) == runs
+    assert sorted((r.range_id, r.start, r.stop) for r in x.ranges_frame().collect()) == [(n, *r) for n, r in enumerate(runs)]
+    marks = spark.createDataFrame([(k, str(k)) for k in keys[::5]], "start long, name string")
+    for width in (None, 16):
+        got = {r.idx: (r.start, r.name) for r in floor_join(df.select("idx"), marks, width=width).collect()}
+        assert got == {k: (keys[n // 5 * 5], str(keys[n // 5 * 5])) for n, k in enumerate(keys)}
+    with pytest.raises(OverlapError):
+        x.add(IndexedFrame(df.limit(1)))
+    with pytest.raises(KeyError):
+        x.remove(LongRange(0, 39))
+    assert x.remove(LongRange(0, 40)).size() == len(keys) - 40
+
+
+def test_effects_and_objects_of_tasks(spark, eight):
+    seen = spark.sparkContext.accumulator(0)
+
+    def add(rows):
+        for r in rows:
+            seen.add(r.value * 10 + r.idx)
+
+    eight.for_each(add)
+    assert seen.value == sum(10 * v + i for i, v in enumerate(VALUES))
+    eight.for_each(add, LongRange(2, 4))
+    assert seen.value == sum(10 * v + i for i, v in enumerate(VALUES)) + 72 + 63
+    dots = spark.sparkContext.accumulator(0)
+    eight.zip_for_each(eight, lambda rows: [dots.add(r.value * r.r1_value) for r in rows])
+    assert dots.value == sum(v * v for v in VALUES)
+    made = eight.map_batches(lambda own, b: (own.append(1), b)[1], "idx long, value int", make=list)
+    assert made.equals(eight)
+    for frame in (BagFrame(eight.df), KeyedFrame(eight.df, "idx")):
+        n = spark.sparkContext.accumulator(0)
+        frame.for_each(lambda rows, n=n: n.add(sum(1 for _ in rows)), parallelism=3)
+        assert n.value == 8
+
+
+def test_unchecked_access(eight):
+    assert eight.get_unchecked(99) is None and eight.set_unchecked(99, value=1).equals(eight)
+    loose = IndexedFrame(eight.df)
+    with pytest.raises(IndexError):
+        loose.set(8, value=1)
+    with pytest.raises(IndexError):
+        eight.range_check(LongRange(3, 9))
+    eight.range_check(LongRange(3, 8))
+
+
+def test_products_of_integers(spark):
+    big = spark.createDataFrame([(1, 3**20), (1, 3**20), (2, 7), (2, None), (3, -(2**40)), (3, 2**23)], "k int, v long")
+    assert big.where("k = 2").agg(reduction("prod", "v").alias("p")).first().p == 7
+    with pytest.raises(Exception, match="exact_product"):
+        big.where("k = 1").agg(reduction("prod", "v").alias("p")).first()
+    got = {r.k: r.product for r in product_by(big.repartition(3), "v", "k").collect()}
+    assert got == {1: (3**40 + 2**63) % 2**64 - 2**63, 2: 7, 3: -(2**63)}
+    assert {r.k: r.product for r in product_by(big, "v", "k", bits=32).collect()} == {1: (3**40 + 2**31) % 2**32 - 2**31, 2: 7, 3: 0}
+
+
+def test_grids_from_others_and_their_lists(spark):
+    square = SquareRange(LongRange(0, 3), LongRange(0, 4))
+    g = GridFrame.generate(spark, square, v=F.col("i") * 10 + F.col("j"))
+    other = GridFrame.generate(spark, SquareRange(LongRange(1, 9), LongRange(2, 9)), w=F.col("i") * 100 + F.col("j"))
+    got = {(r.i, r.j): r.v for r in g.setup_from(other, v=F.col("r_w")).df.collect()}
+    assert got == {(i, j): (i * 100 + j if i >= 1 and j >= 2 else i * 10 + j) for i in range(3) for j in range(4)}
+    row, column = g.row_list(1), g.column_list(2)
+    assert row.get(3).v == 13 and column.get(2).v == 22 and row.contains("v", 12) and not column.contains("v", 13)
+    with pytest.raises(IndexError):
+        row.set(4, v=0)
+    changed = g.with_row(1, row.set(3, v=-1)).with_column(0, column.update(v=F.col("v") * 0))
+    assert {(r.i, r.j): r.v for r in changed.df.collect()} == {(i, j): -1 if (i, j) == (1, 3) else 0 if j == 0 else i * 10 + j for i in range(3) for j in range(4)}
+    assert changed.size() == 12
+
+
+def test_encoded_rows(spark, eight, tmp_path):
+    eight.write_encoded(str(tmp_path / "x"), lambda row: repr(row["value"]).encode())
+    back = IndexedFrame.read_encoded(spark, str(tmp_path / "x"), lambda raw: {"value": int(raw)}, "value int")
+    assert back.equals(eight)
