@@ -19,6 +19,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from rangeloom.llm.docstats import AT, FEATURES, features, table
 SAMPLE = 4000
 WORDS, RANK, RANGES = 1 << 14, 8, 16
 #: At least EPOCHS passes and STEPS batches.
-EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 400, 64, 0.08, 1e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 800, 64, 0.16, 1e-5
 #: Inputs: words, ranges of each statistic, ranges of n_chars (the first for null), ranges of how far it is from the text.
 CHARS, APART = 24, 8
 INPUTS = WORDS + RANGES * len(FEATURES) + CHARS + APART
@@ -81,12 +82,12 @@ class Machine:
         squares = np.bincount(row, (vx * vx).sum(axis=1), n)
         return self.bias + np.bincount(row, self.w[ids] * x, n) + 0.5 * ((s * s).sum(axis=1) - squares), s, vx
 
-    def fit(self, starts: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    def fit(self, starts: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE) -> None:
         share = min(max(float((y * weight).sum() / weight.sum()), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
         past_w, past_v, past_b = np.full(INPUTS, 1e-3), np.full((INPUTS, RANK), 1e-3), 1e-3
         random = np.random.default_rng(1)
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
+        for _ in range(max(epochs, -(-steps * BATCH // len(y)))):
             order = random.permutation(len(y))
             for at in range(0, len(y), BATCH):
                 own = order[at : at + BATCH]
@@ -102,9 +103,9 @@ class Machine:
                 past_w[used] += gw * gw
                 past_v[used] += gv * gv
                 past_b += g.sum() ** 2
-                self.w[used] -= RATE * gw / np.sqrt(past_w[used])
-                self.v[used] -= RATE * gv / np.sqrt(past_v[used])
-                self.bias -= RATE * g.sum() / np.sqrt(past_b)
+                self.w[used] -= rate * gw / np.sqrt(past_w[used])
+                self.v[used] -= rate * gv / np.sqrt(past_v[used])
+                self.bias -= rate * g.sum() / np.sqrt(past_b)
 
     def score(self, texts: list[str | None], n_chars: list[int | None]) -> np.ndarray:
         return np.concatenate([self._score(texts[p], n_chars[p]) for p in pieces(texts)])
@@ -114,13 +115,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.sums(row, ids, x, len(texts))[0], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine:
-    """A machine from rows that aren't held out; the sample's inputs come to the driver, bounded by ``SAMPLE``, one text an id."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, **settings) -> Machine:
+    """A machine from rows that aren't held out; the sample's inputs come to the driver, bounded by ``SAMPLE``, one
+    text an id. ``settings``: of :meth:`Machine.fit`."""
     with freed(docs.sparkSession):
-        return _fit(docs.where(~held_out).select("doc_id", "text", "n_chars"), marked(labels, "quality", held_out))
+        return learnt(inputs_of(docs.where(~held_out).select("doc_id", "text", "n_chars"), marked(labels, "quality", held_out)), **settings)
 
 
-def _fit(open_: DataFrame, known: DataFrame) -> Machine:
+def inputs_of(open_: DataFrame, known: DataFrame) -> pd.DataFrame:
+    """(doc_id, y, rate, i, v, x): inputs and statistics of the sample's documents."""
     chosen = sampled(known, "y", SAMPLE, 9).select("doc_id", "y", "rate")
     rows = one_text(open_.join(F.broadcast(chosen), "doc_id"), "doc_id", "y", "rate")
 
@@ -138,7 +141,10 @@ def _fit(open_: DataFrame, known: DataFrame) -> Machine:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("rate"), lists(ids.astype(np.int32)), lists(values.astype(np.float32)), stats], ["doc_id", "y", "rate", "i", "v", "x"])
 
     got = by_batch(rows.select(F.col("doc_id").cast("long"), "y", "rate", "text", F.col("n_chars").cast("long")), of, "doc_id long, y int, rate double, i array<int>, v array<float>, x array<double>")
-    got = got.toPandas().sort_values("doc_id", kind="stable")
+    return got.toPandas().sort_values("doc_id", kind="stable")
+
+
+def learnt(got: pd.DataFrame, **settings) -> Machine:
     out = Machine()
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
@@ -151,7 +157,7 @@ def _fit(open_: DataFrame, known: DataFrame) -> Machine:
     ids = [np.concatenate([np.asarray(i, np.int64), r]) for i, r in zip(got["i"], ranges, strict=True)]
     values = [np.concatenate([np.asarray(v, float), np.full(len(FEATURES), 0.5)]) for v in got["v"]]
     weight = 1 / got["rate"].to_numpy(float)
-    out.fit(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), np.concatenate(ids), np.concatenate(values), y, weight / weight.mean())
+    out.fit(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), np.concatenate(ids), np.concatenate(values), y, weight / weight.mean(), **settings)
     return out
 
 

@@ -35,7 +35,7 @@ from rangeloom.llm.common import freed, one_text, remainder, small_join, spread_
 SAMPLE, CHARS = 2000, 20_000_000
 CALIBRATION = 0.2
 #: Standard deviations above the mean, and nats besides, at which a text is rejected.
-SIGMAS, SLACK = 8.0, 0.5
+SIGMAS, SLACK = 2.0, 1.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
 

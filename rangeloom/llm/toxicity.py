@@ -39,18 +39,19 @@ SHORT, LONG = 4, 7
 SCALE = 500
 
 
-def _features(text: str | None) -> Iterator[str]:
-    """Each different word, and its beginnings (marked by a star), once a word."""
+def _features(text: str | None, starts: bool = True) -> Iterator[str]:
+    """Each different word, and with ``starts`` its beginnings (marked by a star), once a word."""
     for w in set(WORDS.findall((text or "").lower())):
         yield w
-        for n in range(SHORT, min(LONG, len(w) - 1) + 1):
+        for n in range(SHORT, min(LONG, len(w) - 1) + 1 if starts else 0):
             yield w[:n] + "*"
 
 
 class Lexicon:
     """The features chosen, looked up by word."""
 
-    def __init__(self, features: list[str]):
+    def __init__(self, features: list[str], scale: int | None = SCALE):
+        self.scale = scale
         self.at = {f: k for k, f in enumerate(features)}
         self.starts = {f[:SHORT] for f in features}
         self.open = {k for k, f in enumerate(features) if f.endswith("*")}
@@ -66,10 +67,24 @@ class Lexicon:
                 for f in (w, *(w[:n] + "*" for n in range(SHORT, min(LONG, len(w) - 1) + 1))):
                     if (k := at.get(f)) is not None:
                         found[k] = found.get(k, 0) + 1
-        scale = SCALE / (SCALE + len(words))
+        scale = self.scale / (self.scale + len(words)) if self.scale else 1.0
         return {k: math.log1p(n * scale if k in self.open else n) for k, n in found.items()}
 
 
+def nnpu(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The risk of weights ``w`` (the last is the bias) over rows of positives and of unlabelled text, the gradient to
+    follow, and whether it steps back: where the negatives' part of the risk is below zero the gradient is the
+    reverse of that part's alone."""
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    mean = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
+    positive, negative = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gradient_negative = mean(u, sigmoid(zu)) - prior * mean(p, sigmoid(zp))
+    back = bool(negative < 0)
+    gradient = -gradient_negative if back else prior * mean(p, sigmoid(zp) - 1) + gradient_negative
+    return float(positive + max(0.0, negative)), gradient, back
+
+
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: int = 3000, rate: float = 0.1, decay: float = 1e-5, part: int = 1000) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier with the logistic loss, by Adam over stretches
     of ``part`` shuffled rows of each kind; the rate falls to a tenth."""
@@ -77,14 +92,9 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: in
     xp, xu = (np.ascontiguousarray(x[random.permutation(len(x))], np.float32) for x in (xp, xu))
     w, first, second = np.zeros((3, xp.shape[1] + 1), np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    mean = lambda x, g: np.append(x.T @ g, g.sum()) / len(x)
     for step in range(1, rounds + 1):
         p, u = (x[(at := random.integers(max(1, len(x) - part + 1))) : at + part] for x in (xp, xu))
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gradient_negative = mean(u, sigmoid(zu)) - prior * mean(p, sigmoid(zp))
-        gradient = -gradient_negative if negative < 0 else prior * mean(p, sigmoid(zp) - 1) + gradient_negative
+        gradient = nnpu(w, p, u, prior)[1]
         gradient[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         speed = rate * (1 - 0.9 * step / rounds)
@@ -93,8 +103,8 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, rounds: in
 
 
 class Model:
-    def __init__(self, features: list[str], weights: np.ndarray):
-        self.lexicon, self.weights = Lexicon(features), weights
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
+        self.lexicon, self.weights = lexicon, weights
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.weights):
@@ -109,18 +119,18 @@ class Model:
         return out
 
 
-def _count(batches: Iterable[pa.RecordBatch], only: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterable[pa.RecordBatch], only: set[str] | None = None, starts: bool = True) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n: Counter[str] = Counter()
         for t in batch.column("text").to_pylist():
-            n.update(f for f in _features(t) if only is None or f in only)
+            n.update(f for f in _features(t, starts) if only is None or f in only)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = FEATURES, scale: int | None = SCALE, starts: bool = True) -> Model:
     """A model from rows that aren't held out; on the driver only features of the samples, one text an id."""
     with freed(docs.sparkSession):
-        return _fit(docs.where(~held_out).select("doc_id", "text"), marked(labels, "toxic", held_out), prior, positives, unlabelled)
+        return _fit(docs.where(~held_out).select("doc_id", "text"), marked(labels, "toxic", held_out), prior, positives, unlabelled, most, scale, starts)
 
 
 def toxic_sample(open_: DataFrame, known: DataFrame, n_toxic: int, positives: int, unlabelled: int) -> DataFrame:
@@ -134,27 +144,27 @@ def toxic_sample(open_: DataFrame, known: DataFrame, n_toxic: int, positives: in
     return one_text(met.where("p OR u").select("doc_id", "p", "u", "text"), "doc_id", "p", "u")
 
 
-def _fit(open_: DataFrame, known: DataFrame, prior: float | None, positives: int, unlabelled: int) -> Model:
+def _fit(open_: DataFrame, known: DataFrame, prior: float | None, positives: int, unlabelled: int, most: int, scale: int | None, starts: bool) -> Model:
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n_toxic:
-        return Model([], np.zeros((0, 1)))
+        return Model(Lexicon([]), np.zeros((0, 1)))
     prior = min(max(prior if prior is not None else n_toxic / n, 1e-3), 0.9)
     texts = stored(toxic_sample(open_, known, n_toxic, positives, unlabelled), "toxic_sample")
-    frequent = texts.where("p").select("text").mapInArrow(_count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    frequent = texts.where("p").select("text").mapInArrow(lambda b: _count(b, None, starts), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     of_p = {r.f: r.n for r in frequent.where("n >= 3").orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()}
     only = set(of_p)
     in_u = texts.where("u").select("text").mapInArrow(lambda b: _count(b, only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     of_u = {r.f: r.n for r in in_u.collect()}
     np_, nu = texts.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first()
     if not np_ or not nu:
-        return Model([], np.zeros((0, 1)))
+        return Model(Lexicon([]), np.zeros((0, 1)))
 
     def lift(f: str) -> float:
         a, b = of_p[f] / np_, of_u.get(f, 0) / nu
         return (a - b) / np.sqrt((a + b) * (1 / np_ + 1 / nu))
 
-    features = sorted((f for f in only if lift(f) > 3), key=lambda f: (-lift(f), f))[:FEATURES]
-    lexicon = Lexicon(features)
+    features = sorted((f for f in only if lift(f) > 3), key=lambda f: (-lift(f), f))[:most]
+    lexicon = Lexicon(features, scale)
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [lexicon.values(t) for t in batch.column("text").to_pylist()]
@@ -173,7 +183,7 @@ def _fit(open_: DataFrame, known: DataFrame, prior: float | None, positives: int
     for k in range(CLASSIFIERS):
         half = np.random.default_rng(k).random(len(xu)) < 0.5
         weights.append(fit_nnpu(xp, xu[half] if half.any() else xu, prior, k))
-    return Model(features, np.stack(weights))
+    return Model(lexicon, np.stack(weights))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

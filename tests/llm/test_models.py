@@ -157,10 +157,57 @@ def test_language_held_out(spark):
 def test_lexicon_counts_by_hand():
     lexicon = toxicity.Lexicon(["idiot", "idio*", "bomen*"])
     got = lexicon.values("Idiot! idiots, bomentera xbomen idiot 1idiot")
-    scale = toxicity.SCALE / (toxicity.SCALE + 6)
+    scale = toxicity.SCALE / (toxicity.SCALE + 6) if toxicity.SCALE else 1
     assert got == {0: pytest.approx(math.log1p(3)), 1: pytest.approx(math.log1p(4 * scale)), 2: pytest.approx(math.log1p(scale))}
 
 
+def slow_risk(w, xp, xu, prior):
+    """The risk by its definition, a row at a time: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))."""
+    margin = lambda x: sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1]
+    plus = sum(math.log1p(math.exp(-margin(x))) for x in xp) / len(xp)
+    minus = sum(math.log1p(math.exp(margin(x))) for x in xu) / len(xu) - prior * sum(math.log1p(math.exp(margin(x))) for x in xp) / len(xp)
+    return prior * plus + max(0.0, minus), minus
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_nnpu_risk_and_gradient_by_hand(back):
+    rng = np.random.default_rng(int(back))
+    xp, xu, w, prior = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (11, 3)), rng.normal(0, 1, 4), 0.3
+    if back:  # unlabelled text that looks far less toxic than the positives' share of it would
+        xu, w, prior = xu - 8, np.array([1.0, 1.0, 1.0, 0.0]), 0.6
+    risk, gradient, stepped = toxicity.nnpu(w, xp, xu, prior)
+    want, minus = slow_risk(w, xp, xu, prior)
+    assert stepped == back == (minus < 0) and risk == pytest.approx(want)
+    for k in range(4):
+        up, down = (w + s * np.eye(4)[k] * 1e-5 for s in (1, -1))
+        change = [slow_risk(v, xp, xu, prior)[int(back)] for v in (up, down)]
+        # Stepping back goes against what the negatives' part alone would ask for.
+        assert gradient[k] == pytest.approx((-1 if back else 1) * (change[0] - change[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_toxicity_scores_by_hand():
+    lexicon = toxicity.Lexicon(["bad", "worse", "terr*"])
+    weights = np.array([[1.0, 2.0, 0.5, -1.0], [0.5, 1.0, 2.0, -2.0], [0.0, 0.0, 0.0, 0.0]])
+    text = "Bad bad day, terrible terrors. Good!"
+    n = 6
+    x = [math.log1p(2), 0.0, math.log1p(2 * (toxicity.SCALE / (toxicity.SCALE + n) if toxicity.SCALE else 1))]
+    want = np.mean([1 / (1 + math.exp(-(sum(a * b for a, b in zip(w, x, strict=False)) + w[-1]))) for w in weights])
+    got = toxicity.Model(lexicon, weights).score([text, None, ""])
+    assert got[0] == pytest.approx(want)
+    assert got[1] == got[2] == pytest.approx(np.mean([1 / (1 + math.exp(-w[-1])) for w in weights]))
+
+
+def test_folds_never_meet(spark):
+    from rangeloom.llm import choose
+
+    for name, (n, held, m, own) in choose.FOLDS.items():
+        ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+        out, fold = choose.folds(name)
+        rows_ = ids.select("doc_id", out.alias("out"), fold.alias("fold")).collect()
+        assert all(r.out == (crc32(str(r.doc_id).encode()) % n == held) for r in rows_)
+        assert not any(r.out and r.fold for r in rows_) and 150 < sum(r.fold for r in rows_) < 700
+
+
 def test_nnpu_learns_without_negatives():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2

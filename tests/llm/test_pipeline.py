@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 import duckdb
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm import queries
 from rangeloom.llm.mixing import mix
-from tests.llm.test_dedup import reach, slow_fingerprint
+from tests.llm.test_similarity import jaccard
 
 
 def norm(t):
@@ -52,12 +53,13 @@ def test_stages(spark, sf_dir, tmp_path):
     for r in identified:
         first[norm(r.text)] = min(first.get(norm(r.text), r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in exact) == sorted(first.values())
-    roots = reach({slow_fingerprint(r.text) for r in exact}, 2)
-    least: dict[int, int] = {}
-    for r in exact:
-        x = roots[slow_fingerprint(r.text)]
-        least[x] = min(least.get(x, r.doc_id), r.doc_id)
-    assert sorted(r.doc_id for r in near) == sorted(least.values())
+    # Near-dedup: five words, a similarity of 0.8 or more, by comparing all pairs.
+    group = {r.doc_id: r.doc_id for r in exact}
+    for a, b in combinations(exact, 2):
+        if group[a.doc_id] != group[b.doc_id] and jaccard(a.text, b.text) >= 0.8:
+            low, high = sorted((group[a.doc_id], group[b.doc_id]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    assert sorted(r.doc_id for r in near) == sorted(set(group.values()))
     copies = {r.doc_id: r.copies for r in mix(made["near dedup"]).collect() if r.copies}
     assert Counter(r.doc_id for r in mixed) == Counter(copies)
     sizes = Counter()
