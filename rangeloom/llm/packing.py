@@ -9,9 +9,11 @@ documents has more of them, in proportion, and its documents take turns). Bins a
 their room; the search starts at the tightest bin that is large enough and goes on to the next
 larger until one is compatible, so it finds the tightest compatible bin, or opens a new one.
 
-Documents are dealt by hash to groups of about ``GROUP`` documents, each packed by itself; only the
-last few bins of a group are less full than they might be. Copies of a text are dealt like other
-documents and so spread over all groups. Only ids and lengths are shuffled, not texts.
+Documents are dealt by hash to groups of about ``GROUP`` documents, each packed by itself: the tightest
+compatible bin is that of the group, and only the last few bins of a group are less full than they might
+be. Copies of a text are dealt like other documents and so spread over all groups. Only ids and lengths
+are shuffled, not texts. A cluster is the documents with one text, or, in ``op3``, those whose SimHash
+fingerprints link (within 2 bits), so that texts that differ in a few words are kept apart as well.
 
 Defined cases: null, empty and blank texts have 0 words and get a row with bin_id -1, as they need no
 room; a null source is a source of its own; repeated rows are packed each, never two in a bin; an
@@ -28,12 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import BLANKS, WORD, n_words, stored
+from rangeloom.llm.simhash import near_groups
 
 CAPACITY = 4096
 GROUP = 20_000
 #: Slots that all sources share by their documents' number, one each at least.
 SLOTS = 48
-SCHEMA = "doc_id long, cluster long, piece int, bin_id long, start int, length int, offset int"
+SCHEMA = "doc_id long, cluster long, text_hash long, piece int, bin_id long, start int, length int, offset int"
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -79,7 +82,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 def _pack(capacity: int, slots: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])
-        rows = rows.sort_values(["size", "doc_id", "cluster"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         size = rows["size"].to_numpy()
         rest = size % capacity
         # Bits: of each source its slots, taken in turn; of each cluster that has two members here.
@@ -98,7 +101,7 @@ def _pack(capacity: int, slots: int):
         doc = np.repeat(np.arange(len(rows)), whole)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)
         bins = max(at, default=-1) + 1
-        ids, own = rows["doc_id"], rows["cluster"].to_numpy()
+        ids, own, text = rows["doc_id"], rows["cluster"].to_numpy(), rows["text_hash"].to_numpy()
         none = np.flatnonzero(size == 0)
         parts = [
             (packed, whole[packed], np.array(at, np.int64), whole[packed] * capacity, rest[packed], np.array(offset, np.int64)),
@@ -106,22 +109,28 @@ def _pack(capacity: int, slots: int):
             (none, np.zeros(len(none), np.int64), None, np.zeros(len(none), np.int64), np.zeros(len(none), np.int64), np.zeros(len(none), np.int64)),
         ]
         return pd.concat([
-            pd.DataFrame({"doc_id": ids.iloc[i].to_numpy(), "cluster": own[i], "piece": p, "bin_id": -1 if b is None else b + (group << 32), "start": s, "length": n, "offset": o})
+            pd.DataFrame({"doc_id": ids.iloc[i].to_numpy(), "cluster": own[i], "text_hash": text[i], "piece": p, "bin_id": -1 if b is None else b + (group << 32), "start": s, "length": n, "offset": o})
             for i, p, b, s, n, o in parts
         ])
 
     return run
 
 
-def _cluster() -> Column:
-    """Documents with the same text, but for blanks, are a cluster."""
+def _text_hash() -> Column:
+    """Documents with the same text, but for blanks, have the same."""
     return F.xxhash64(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANKS, " "))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slots: int = SLOTS) -> DataFrame:
-    """Where each piece of each row of ``docs`` (doc_id, text, source) goes: doc_id, cluster (a hash of the
-    text), piece, bin_id, start and length in words of the text, offset in words of the bin."""
-    slim = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), _cluster().alias("cluster"))
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slots: int = SLOTS, near: bool = False) -> DataFrame:
+    """Where each piece of each row of ``docs`` (doc_id, text, source) goes: doc_id, cluster, text_hash, piece, bin_id,
+    start and length in words of the text, offset in words of the bin. With ``near`` documents are a cluster if
+    their SimHash fingerprints link, otherwise if they have the same text."""
+    slim = docs.select(F.col("doc_id").cast("long"), "source", "text", n_words(F.col("text")).alias("size"), _text_hash().alias("text_hash"))
+    if near:
+        slim = near_groups(slim, keep=("source", "size", "text_hash")).withColumnRenamed("root", "cluster")
+    else:
+        slim = slim.withColumn("cluster", F.col("text_hash"))
+    slim = slim.select("doc_id", "source", "size", "text_hash", "cluster")
     slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "lengths")
     groups = max(1, -(-slim.count() // group))
     # By row, not id: a text that is in the table very often is spread over the groups.
@@ -132,9 +141,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, slots: i
 def bins(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """The bins themselves: bin_id, length in words, text (the pieces in order, words parted by one space)
     and the ids in it. A bin is bounded by its capacity; texts are shuffled twice, to their pieces and to bins."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), _cluster().alias("__c"), "text").dropDuplicates(["__id", "__c"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), _text_hash().alias("__c"), "text").dropDuplicates(["__id", "__c"])
     placed = packed.where("bin_id >= 0")
-    met = placed.join(texts, placed["doc_id"].eqNullSafe(texts["__id"]) & (placed["cluster"] == texts["__c"]))
+    met = placed.join(texts, placed["doc_id"].eqNullSafe(texts["__id"]) & (placed["text_hash"] == texts["__c"]))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     piece = F.struct("offset", "doc_id", F.array_join(F.slice(words, F.col("start") + 1, F.col("length")), " ").alias("text"), "length")
     each = met.select("bin_id", piece.alias("p")).groupBy("bin_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
@@ -143,4 +152,4 @@ def bins(docs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), near=True)

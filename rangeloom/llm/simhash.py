@@ -78,14 +78,16 @@ def mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, fp) of each row of ``docs`` (doc_id, text); ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, mark, keep, fp) of each row of ``docs`` (doc_id, text, keep); ``fp`` is the fingerprint as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long"), mark(F.col("text")).alias("mark"), *keep, "text")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(made.view(np.int64))], ["doc_id", "mark", "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", *keep)), pa.array(made.view(np.int64))], ["doc_id", "mark", *keep, "fp"])
 
-    return by_batch(docs.select(F.col("doc_id").cast("long"), mark(F.col("text")).alias("mark"), "text"), of, "doc_id long, mark long, fp long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    return by_batch(rows, of, f"{schema}, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -236,16 +238,17 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, spread: int = SPREAD)
     return links.unionByName(shared.select(F.explode("us").alias("u"), F.col("lead.fp").alias("v")).where("u != v"))
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD) -> DataFrame:
-    """(doc_id, mark, fp, root, component_id) of each row of ``docs`` (doc_id, text); ``root`` is a fingerprint of the component."""
-    with freed(docs.sparkSession) as keep:
-        rows = stored(fingerprints(docs), "fingerprints")
-        return keep(grouped(rows, lambda distinct: near_links(distinct.select("fp"), radius, spread)), "near_groups")
+def near_groups(docs: DataFrame, radius: int = RADIUS, spread: int = SPREAD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, mark, keep, fp, root, component_id) of each row of ``docs`` (doc_id, text, keep); ``root`` is a fingerprint
+    of the component, ``keep`` are columns that come along."""
+    with freed(docs.sparkSession) as kept:
+        rows = stored(fingerprints(docs, *keep), "fingerprints")
+        return kept(grouped(rows, lambda distinct: near_links(distinct.select("fp"), radius, spread)), "near_groups")
 
 
 def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, mark, fp, root, component_id) of ``rows`` (doc_id, mark, fp) by what the links (u, v) reach
-    that ``links`` finds between their distinct ``fp``."""
+    """``rows`` (doc_id, fp, ...) with root and component_id, by what the links (u, v) reach that ``links`` finds
+    between their distinct ``fp``."""
     groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(groups))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -253,7 +256,7 @@ def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFra
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
     total = groups.agg(F.sum("n"), F.count(F.lit(1))).first()
     by_fp = counted_join(rooted, stored(named, "named"), "root", "fps", total[1]).select("fp", "n", "root", "v.component_id")
-    return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select("doc_id", "mark", "fp", "v.root", "v.component_id")
+    return counted_join(rows, stored(by_fp, "by_fp"), "fp", "n", total[0] or 0).select(*rows.columns, "v.root", "v.component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
