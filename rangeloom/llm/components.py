@@ -18,6 +18,12 @@ def _hung(edges: DataFrame, largest_only: bool) -> DataFrame:
     return met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link at most, and those that links lead to have none: one pass over the links."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (u, v) that isn't the smallest of its component.
 
@@ -28,12 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = stored(ordered.distinct(), "links")
-    mark = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(_hung(both, True).distinct(), "large")
-        edges = stored(_hung(large, False).distinct(), "small")
+        edges = stored(_hung(_hung(both, True).distinct(), False).distinct(), "links")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
