@@ -251,13 +251,14 @@ def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, l.start, l.stop FROM orders JOIN (SELECT l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber = 7 THEN 2000 ELSE 0 END AS stop FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 5) l
-ON o_orderkey >= l.start AND o_orderkey < l.stop""")
+WITH l AS (SELECT l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber = 7 THEN 300 ELSE 0 END AS stop FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey, count(*) AS n, max(stop) AS last FROM orders JOIN l ON o_orderkey >= start AND o_orderkey < stop GROUP BY o_orderkey""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in ranges of very different lengths, which lines make."""
-    lines = bag(spark, sf_dir, "lineitem").df.where("l_returnflag = 'R' AND l_linenumber > 5")
-    stop = F.col("l_orderkey") + F.col("l_quantity").cast("long") + F.when(F.col("l_linenumber") == 7, F.lit(2000)).otherwise(F.lit(0))
-    return range_join(orders(spark, sf_dir).df.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("start"), stop.alias("stop")), "o_orderkey")
+    """Orders in the ranges, of very different lengths, that returned lines make."""
+    lines = bag(spark, sf_dir, "lineitem").df.where("l_returnflag = 'R'")
+    stop = F.col("l_orderkey") + F.col("l_quantity").cast("long") + F.when(F.col("l_linenumber") == 7, F.lit(300)).otherwise(F.lit(0))
+    met = range_join(orders(spark, sf_dir).df.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("start"), stop.alias("stop")), "o_orderkey")
+    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("stop").alias("last"))
 
 
 @query(f"SELECT greatest(r.start, q.start) AS start, least(r.stop, q.stop) AS stop FROM {VALUES} JOIN {OTHER_VALUES} ON greatest(r.start, q.start) < least(r.stop, q.stop)")
