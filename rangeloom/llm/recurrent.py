@@ -42,7 +42,7 @@ from rangeloom.llm.arrow import slices
 from rangeloom.llm.common import HOT, freed, remainder, small_join, stored
 
 #: ``BANDS`` is the most classes by count there can be; a network has those that are in use.
-HEAD, WIDTH, BANDS = 1024, 32, 48
+HEAD, WIDTH, BANDS = 2048, 32, 48
 STATE = 16
 CHUNK = 5_000_000
 #: Words of a training group, and words that a worker scores at once.

@@ -382,8 +382,8 @@ def test_gradients(small_net):
     counts, net = small_net
     rng = np.random.default_rng(1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    inputs = rng.choice([0, 1, 2, 1024, 1025, recurrent.END], (5, 3))
-    codes = rng.choice([0, 1, 3, 1024, 1026], (5, 3))
+    inputs = rng.choice([1, 2, recurrent.HEAD, recurrent.HEAD + 1, recurrent.END], (5, 3))
+    codes = rng.choice([0, 1, 3, recurrent.HEAD, recurrent.HEAD + 2], (5, 3))
     fresh, real = rng.random((5, 3)) < 0.2, rng.random((5, 3)) < 0.9
     h = rng.uniform(-1, 1, (recurrent.STATE, 3))
     g, _, loss = net.gradients(inputs, codes, fresh, real, h)
@@ -404,7 +404,7 @@ def test_gradients(small_net):
 def test_lanes_and_windows_do_not_matter(small_net, lanes, window):
     _, net = small_net
     rng = np.random.default_rng(2)
-    docs = [rng.choice([0, 1, 2, 3, 1024, 1025], rng.integers(1, 60)).astype(np.int32) for _ in range(20)]
+    docs = [rng.choice([0, 1, 2, 3, recurrent.HEAD, recurrent.HEAD + 1], rng.integers(1, 60)).astype(np.int32) for _ in range(20)]
     alone = [recurrent.log_likelihoods(net, [d], 1, 1000)[0] for d in docs]
     assert recurrent.log_likelihoods(net, docs, lanes, window) == pytest.approx(alone, rel=1e-4)
 
@@ -513,7 +513,7 @@ def test_an_id_on_many_rows_is_spread_over_groups(spark):
 def test_all_words_of_a_long_document_are_trained_on(small_net, monkeypatch):
     counts, net = small_net
     rng = np.random.default_rng(5)
-    docs = [rng.choice([0, 1, 2, 1024], n).astype(np.int32) for n in (3000, *[40] * 640)]
+    docs = [rng.choice([0, 1, 2, recurrent.HEAD], n).astype(np.int32) for n in (3000, *[40] * 640)]
     seen, plain = [], recurrent.Network.gradients
 
     def counted(self, inputs, codes, fresh, real, h):
