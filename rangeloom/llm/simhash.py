@@ -63,7 +63,11 @@ def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarr
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    hashes = shingle_hashes(text, words, seed)
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, 0 if there are none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

@@ -1,14 +1,17 @@
-"""Near-duplicates by similarity, for the pipeline: texts whose sets of ``WORDS``-word shingles have a Jaccard
-similarity of ``LEAST`` or more.
-
-Covering masks over SimHash fingerprints don't reach that far: near copies are up to about 11 bits
-apart, for which ``2 ** 12 - 1`` tables would be needed. Candidates come from ``BANDS`` bands of
-``DEPTH`` min-hashes instead; two texts of similarity s meet in some band but for a chance of
+"""Near-duplicates for the pipeline: SimHash with covering tables, checked exactly, linked are texts whose sets of
+``WORDS``-word shingles have a Jaccard similarity of ``LEAST`` or more.
+
+Fingerprints are those of :mod:`rangeloom.llm.simhash`, of the set of a text's ``MARK_WORDS``-word shingles, so
+that texts with the same ``WORDS``-word shingles have one. Its covering tables link those within ``RADIUS`` bits,
+and the members of a group of fingerprints are a bucket of candidates: no pair within the radius
+misses the other there. The tables don't reach all like texts, which are up to about 11 bits apart, for which
+``2 ** 12 - 1`` tables would be needed. So there are further buckets beside the groups: ``BANDS`` bands of
+``DEPTH`` min-hashes; two texts of similarity s meet in some band but for a chance of
 ``(1 - s ** DEPTH) ** BANDS``, 0.00006 at 0.8. Two bits of each of ``HASHES`` min-hashes tell before any
 text is read which candidates can be alike: a pair with over ``MISSES`` of them different is one in
 100,000 pairs of similarity 0.8. What is left is checked exactly on the shingles.
 
-A bucket's members aren't listed as pairs. The member that meets most others in its bands leads, and
+A bucket's members aren't listed as pairs. The member that meets most others in its buckets leads, and
 the others are checked against it. Then links are followed, and only buckets whose members aren't all
 linked go on: those that aren't linked to the leader, first a few of them, then all, are checked
 against the bucket's members that they aren't linked to yet. So a large group of copies costs
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 from rangeloom.llm.arrow import by_batch, slices
 from rangeloom.llm.common import freed, spread_of, stored
 from rangeloom.llm.components import components
-from rangeloom.llm.simhash import grouped, mark, shingle_hashes
+from rangeloom.llm.simhash import grouped, majority, mark, near_links, shingle_hashes
 
 WORDS = 5
+#: The words of a fingerprint's shingles, and at how many differing bits fingerprints still link.
+MARK_WORDS, RADIUS = 3, 4
 #: The least similarity, as a fraction of whole numbers, so that the check is exact.
 LEAST = (4, 5)
 BANDS, DEPTH = 32, 6
@@ -57,6 +62,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
+def bits(text: str | None) -> int:
+    """The fingerprint of the set of a text's shingles."""
+    return majority(np.unique(shingle_hashes(text, MARK_WORDS)))
+
+
 def min_hashes(own: np.ndarray) -> np.ndarray:
     """``HASHES`` min-hashes of a set of shingles."""
     short = (own >> np.uint64(32)).astype(np.uint32)
@@ -100,18 +110,21 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, fp, size, keys, signs) of each row of ``docs`` (doc_id, text); ``fp`` names the set of shingles, which
-    has no keys and signs if it is empty."""
+    """(doc_id, mark, fp, size, bits, keys, signs) of each row of ``docs`` (doc_id, text); ``fp`` names the set of shingles,
+    which has no keys and signs if it is empty."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in batch.column("text").to_pylist()]
-        fps = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+        texts = batch.column("text").to_pylist()
+        sets = [shingles(t) for t in texts]
+        longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        fps = longs([xxhash.xxh64_intdigest(s.tobytes()) for s in sets])
         least = [min_hashes(s) if len(s) else None for s in sets]
         lists = lambda f: pa.array([[] if x is None else f(x) for x in least], pa.list_(pa.int64()))
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), fps, sizes, lists(band_keys), lists(signs)], ["doc_id", "mark", "fp", "size", "keys", "signs"])
+        columns = [batch.column("doc_id"), batch.column("mark"), fps, sizes, longs([bits(t) for t in texts]), lists(band_keys), lists(signs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "size", "bits", "keys", "signs"])
 
-    schema = "doc_id long, mark long, fp long, size long, keys array<long>, signs array<long>"
+    schema = "doc_id long, mark long, fp long, size long, bits long, keys array<long>, signs array<long>"
     return by_batch(docs.select(F.col("doc_id").cast("long"), mark(F.col("text")).alias("mark"), "text"), of, schema)
 
 
@@ -146,8 +159,13 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def bucket_members(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (key, m) of buckets that have several, leads (key, lead), and the nodes' keys (fp, keys); ``m`` and ``lead``
-    are structs (fp, size, signs)."""
-    nodes = stored(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "keys", "signs")]), "nodes")
+    are structs (fp, size, signs). A node's first key is that of its group of fingerprints."""
+    near = components(near_links(rows.where("size > 0").select(F.col("bits").alias("fp")).distinct(), RADIUS))
+    nodes = rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "bits", "keys", "signs")])
+    nodes = nodes.join(near.withColumnRenamed("node", "bits"), "bits", "left")
+    group = F.array(F.xxhash64(F.lit("bits"), F.coalesce("root", "bits")))
+    nodes = nodes.withColumn("keys", F.when(F.col("size") > 0, F.concat(group, "keys")).otherwise(F.col("keys")))
+    nodes = stored(nodes.select("fp", "size", "keys", "signs"), "nodes")
     each = nodes.select("fp", F.explode("keys").alias("key"))
     several = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     members = stored(each.join(several, "key"), "met")  # a row a key on one side: adaptive execution splits a hot one

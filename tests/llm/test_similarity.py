@@ -54,6 +54,48 @@ def test_unlike_texts_of_common_buckets_stay(spark, monkeypatch):
     assert kept(spark, []) == set()
 
 
+def linked(n, pairs):
+    """The smallest of 0 to n - 1 that pairs reach from each one."""
+    root = {i: i for i in range(n)}
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return root
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """Without any band all that leads to a copy are op7's tables: what is alike and in one group of fingerprints within
+    the radius is linked, by brute force over all pairs; other near copies aren't reached and stay."""
+    monkeypatch.setattr(similarity, "band_keys", lambda least: similarity.np.array([], similarity.np.int64))
+    random.seed(3)
+    texts = ["", "one", "one two"]
+    for n in (150, 300, 600):
+        for _ in range(8):
+            words = [f"w{random.randrange(5000)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, "end"]), " ".join([*words, "end", "of", "it"])]
+            for at in random.sample(range(n), n // 60):
+                words[at] = "edited"
+            texts.append(" ".join(words))
+    assert len(kept(spark, texts)) < len(texts) - 20
+    sets = [{" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if (w := t.split()) else set() for t in texts]
+    fps = [sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > len(own)) for own in ([similarity.xxhash.xxh64_intdigest(x, 42) for x in s] for s in sets)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = linked(len(texts), [(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= 4])
+    like = [(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= 0.8]
+    want = linked(len(texts), [(i, j) for i, j in like if near[i] == near[j]])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in similarity.similar_groups(docs).collect()} == want
+    assert want != linked(len(texts), like)
+
+
+def test_like_fingerprints_are_checked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "band_keys", lambda least: similarity.np.array([], similarity.np.int64))
+    monkeypatch.setattr(similarity, "bits", lambda text: 1, raising=False)
+    random.seed(5)
+    unlike = [" ".join(f"w{random.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    assert kept(spark, [*unlike, unlike[0] + " end", ""]) == {0, 1, 2, 3, 4, 5, 7}
+
+
 def test_links_of_one_bucket_by_brute_force(spark, monkeypatch):
     """Copies of one text with few or many edits, all in one bucket: linked as all pairs link them, with a like
     pair found where just one of it is like the leader."""
