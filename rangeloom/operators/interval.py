@@ -40,6 +40,60 @@ def scanned(line: DataFrame, block: str, value: str, over: Callable[[str], Colum
     return met.withColumn("__before", both(F.col("__top"), F.col("__in"))).drop("__stretch", "__in", "__top")
 
 
+#: Keys of a block of a running scan; aggregates that can be taken of their own results, and how two of those go together.
+RUN = 8192
+RUNS = {"sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(keys: DataFrame, rows: DataFrame, values: dict[str, tuple[str, Column]], own: dict[str, tuple[str, Column]] | None = None, key: str = "key", span: tuple[int, int] | None = None, width: int = RUN) -> DataFrame:
+    """(key, own, values): each different key of ``keys`` with ``own``, aggregated over its rows, and ``values``,
+    aggregated over all ``rows`` whose key is at or below it. Aggregates are (sum, min or max, column).
+
+    Equal keys are one row before they are sorted, keys are scanned inside blocks of ``width``, and blocks in two
+    levels, stretches of blocks first: the work grows with keys and rows, not with the pairs of them.
+    """
+    own = own or {}
+    kinds = dict(rows.agg(*[RUNS[op][0](v).alias(k) for k, (op, v) in values.items()]).dtypes)
+    first = rows.select(F.col(key).cast("long").alias("__key"), F.lit(False).alias("__ask"), *[v.alias(k) for k, (_, v) in values.items()])
+    asked = keys.select(F.col(key).cast("long").alias("__key"), F.lit(True).alias("__ask"), *[v.alias(k) for k, (_, v) in own.items()])
+    both = first.unionByName(asked, allowMissingColumns=True).where("__key IS NOT NULL")
+    if span is None:
+        span = tuple(both.agg(F.min("__key"), F.max("__key")).first())
+    low, high = ((span[0] or 0) // width, (span[1] or 0) // width)
+    stretch = max(1, -(-(high - low + 1) // STRETCHES))
+    block, before = block_of("__key", width).alias("__block"), Window.unboundedPreceding
+    # What is before each block: one row a block, STRETCHES stretches at most.
+    line = first.where("__key IS NOT NULL").groupBy(block).agg(*[RUNS[op][0](k).alias(k) for k, (op, _) in values.items()])
+    line = line.unionByName(asked.where("__key IS NOT NULL").select(block).distinct(), allowMissingColumns=True)
+    line = line.groupBy("__block").agg(*[RUNS[op][0](k).alias(k) for k, (op, _) in values.items()]).withColumn("__stretch", quotient(F.col("__block") - F.lit(low), stretch))
+    tops = line.groupBy("__stretch").agg(*[RUNS[op][0](k).alias(k) for k, (op, _) in values.items()])
+    order = Window.orderBy("__stretch").rowsBetween(before, -1)
+    tops = tops.select("__stretch", *[RUNS[op][0](k).over(order).alias(f"__top_{k}") for k, (op, _) in values.items()])
+    inside = Window.partitionBy("__stretch").orderBy("__block").rowsBetween(before, -1)
+    line = line.select("__block", "__stretch", *[RUNS[op][0](k).over(inside).alias(f"__in_{k}") for k, (op, _) in values.items()]).join(F.broadcast(tops), "__stretch")
+    line = line.select("__block", *[RUNS[op][1](F.col(f"__top_{k}"), F.col(f"__in_{k}")).alias(f"__before_{k}") for k, (op, _) in values.items()])
+    # Keys inside their block.
+    each = both.groupBy("__key").agg(F.bool_or("__ask").alias("__ask"), *[RUNS[op][0](k).alias(k) for k, (op, _) in (values | own).items()])
+    here = Window.partitionBy("__block").orderBy("__key").rowsBetween(before, 0)
+    each = each.withColumn("__block", block).withColumns({k: RUNS[op][0](k).over(here) for k, (op, _) in values.items()}).where("__ask")
+    met = each.join(F.broadcast(line) if high - low < SMALL else line, "__block")
+    return met.select(F.col("__key").alias(key), *own, *[RUNS[op][1](F.col(f"__before_{k}"), F.col(k)).cast(kinds[k]).alias(k) for k, (op, _) in values.items()])
+
+
+def covered(rows: DataFrame, ranges: DataFrame, idx: str = "idx", n: str = "n", last: str = "last") -> DataFrame:
+    """Each index of ``rows`` that lies in some of ``ranges`` (start, stop) with their number and their greatest stop.
+
+    What :func:`range_join` and a count for each index give, but by one scan over starts and stops: the number is
+    the ranges begun less those ended at an index, and the greatest stop of those begun is one of a range that holds it.
+    """
+    real = ranges.where("start < stop").select(F.col("start").cast("long").alias("start"), "stop")
+    one = F.lit(1).cast("long")
+    begun = real.select(F.col("start").alias("key"), one.alias("d"), F.col("stop").alias("s"))
+    ended = real.select(F.col("stop").cast("long").alias("key"), (-one).alias("d"))
+    found = running(rows.select(F.col(idx).alias("key")), begun.unionByName(ended, allowMissingColumns=True), {"d": ("sum", F.col("d")), "s": ("max", F.col("s"))}, {"copies": ("sum", one)})
+    return found.where("d > 0").select(F.col("key").cast(rows.schema[idx].dataType).alias(idx), (F.col("d") * F.col("copies")).alias(n), F.col("s").alias(last))
+
+
 def blocks(ranges: DataFrame, width: int) -> DataFrame:
     """Each range once for each block of ``width`` indices that it meets."""
     return ranges.where("start < stop").withColumn("block", F.explode(F.sequence(block_of("start", width), block_of(F.col("stop") - 1, width))))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.ranges import LongRange, SquareRange, split_squares, split_two_levels
 from rangeloom.operators.accumulate import accept
+from rangeloom.operators.dots import TYPE as DOTS
+from rangeloom.operators.dots import dot_bounds
 from rangeloom.operators.grid import GridFrame, TiledGrid
 from rangeloom.operators.indexed import IndexedFrame
 from rangeloom.operators.product import Product
@@ -98,9 +100,9 @@ SELECT ti, tj, count(*) AS n, max(dot) AS top, min(dot) AS low FROM p GROUP BY t
 def embedding_pairs_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot products of all pairs of embeddings, by tile."""
     x = IndexedFrame(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    products = F.zip_with("l_embedding", "r_embedding", lambda a, b: a.cast("double") * b.cast("double"))
-    dot = F.round(F.aggregate(products, F.lit(0.0), lambda a, b: a + b), 4)
-    return x.combination().split(4, 4).reduce_tiles(n=rows(), top=F.max(dot), low=F.min(dot))
+    p = x.combination().split(4, 4)
+    found = p.map_blocks(lambda a, b: dot_bounds(a, b, "l_embedding", "r_embedding", 1), DOTS)
+    return found.groupBy("ti", "tj").agg(F.sum("n").alias("n"), F.round(F.max("top"), 4).alias("top"), F.round(F.min("low"), 4).alias("low"))
 
 
 @query("""
