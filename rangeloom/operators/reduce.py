@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.functions.ranges import col
+from rangeloom.functions.ranges import block_of, col
 
 BITS = {"short": 16, "int": 32, "long": 64}
 REAL = ("float", "double")
@@ -199,7 +199,7 @@ def fold(df: DataFrame, zero: Column | None, step: Callable[[Column, Column], Co
     With ``zero`` steps take the state and a struct of ``values``. Without it they take two values of
     the one column named, the first element is where it starts, and an empty list gives null. The
     values are gathered in one place, in order, so this is for lists that fit there; associative
-    folds are reductions.
+    folds are reductions, or :func:`fold_in_levels` where the order matters.
     """
     rows = F.array_sort(F.collect_list(F.struct(order, *values)))
     if zero is not None:
@@ -208,6 +208,33 @@ def fold(df: DataFrame, zero: Column | None, step: Callable[[Column, Column], Co
     return plain.select(F.aggregate(F.slice("v", 2, F.greatest(F.size("v"), F.lit(1))), F.get("v", F.lit(0)), step).alias("result"))
 
 
+#: Blocks of indices that a level of a fold puts together.
+FAN = 256
+
+
+def fold_in_levels(df: DataFrame, step: Callable[[Column, Column], Column], value: str, order: str = "idx") -> DataFrame:
+    """An ordered fold of ``value`` by a step that is associative: one row ``result``, null for an empty list.
+
+    Blocks of ``FAN`` indices are folded, then ``FAN`` blocks in order, and so on, so that no task gathers the list and
+    a step on long values is taken few times. A null index comes last; of equal ones the lesser value comes first.
+    """
+    idx = F.col(order).cast("long")
+    rows = df.select(idx.alias("k"), F.col(value).alias("v"))
+    low, high = rows.agg(F.min("k"), F.max("k")).first()
+    width = 1
+    while True:
+        last = low is None or high // width - low // width < FAN
+        width *= FAN
+        by = [] if last else [block_of("k", width).alias("b")]
+        at = F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), F.col("v").alias("v"))
+        values = F.transform(F.array_sort(F.collect_list(at)), lambda x: x["v"])
+        plain = rows.groupBy(*by).agg(F.min("k").alias("k"), values.alias("v"))
+        done = F.aggregate(F.slice("v", 2, F.greatest(F.size("v"), F.lit(1))), F.get("v", F.lit(0)), step)
+        if last:
+            return plain.select(done.alias("result"))
+        rows = plain.select("k", done.alias("v"))
+
+
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     """The first ``k`` rows in an order: each task keeps ``k``, no full sort."""
     return df.orderBy(*order).limit(k)

@@ -13,7 +13,7 @@ from rangeloom.operators import rangeset
 from rangeloom.operators.indexed import IndexedFrame, prefix_sum
 from rangeloom.operators.interval import floor_join, range_join
 from rangeloom.operators.rangeset import RangeSet
-from rangeloom.operators.reduce import fold, top_k
+from rangeloom.operators.reduce import fold_in_levels, top_k
 from rangeloom.queries import money, query
 from rangeloom.sources.scratch import new_path
 from rangeloom.sources.tables import bag, indexed
@@ -330,14 +330,15 @@ def list_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS result FROM orders")
 def fold_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold(orders(spark, sf_dir).df, F.lit(""), lambda a, x: F.concat(a, x["o_orderstatus"]), "o_orderstatus", order="o_orderkey")
+    texts = orders(spark, sf_dir).df.where("o_orderstatus IS NOT NULL")
+    return fold_in_levels(texts, lambda a, b: F.concat(a, b), "o_orderstatus", order="o_orderkey")
 
 
 @query("SELECT CAST(max(o_totalprice) AS DOUBLE) AS result, CAST(NULL AS DOUBLE) AS none FROM orders")
 def fold_without_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, bigger = orders(spark, sf_dir), lambda a, b: F.greatest(a, b)
-    some = fold(x.df, None, bigger, "o_totalprice", order="o_orderkey")
-    none = fold(x.slice(LongRange(-9, -5)).df, None, bigger, "o_totalprice", order="o_orderkey").withColumnRenamed("result", "none")
+    some = fold_in_levels(x.df, bigger, "o_totalprice", order="o_orderkey")
+    none = fold_in_levels(x.slice(LongRange(-9, -5)).df, bigger, "o_totalprice", order="o_orderkey").withColumnRenamed("result", "none")
     return some.join(none, F.lit(True))
 
 

@@ -99,3 +99,21 @@ def test_dot_bounds_of_odd_numbers():
     right = pa.table({"j": pa.array([0, 1, 2, 3]), "y": e, "tj": pa.array([0] * 4, pa.int32())})
     row = dot_bounds(left, right, "x", "y", 1).to_pylist()[0]
     assert row["n"] == 6 and math.isnan(row["top"]) and row["low"] == 2.0
+
+
+def test_fold_in_levels(spark):
+    from rangeloom.operators.reduce import fold_in_levels
+
+    rng = random.Random(4)
+    keys = [*range(-700, 900), 10**12, -(10**15)]
+    rows = [(k, rng.choice("abc")) for k in keys]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "idx long, s string").repartition(5)
+    join = lambda a, b: F.concat(a, b)
+    assert fold_in_levels(df, join, "s").first().result == "".join(s for _, s in sorted(rows))
+    assert fold_in_levels(df.where("idx = 5"), join, "s").first().result == dict(rows)[5]
+    assert fold_in_levels(df.where("false"), join, "s").first().result is None
+    assert fold_in_levels(spark.createDataFrame([(None, "z"), (1, "b"), (1, "a")], "idx long, s string"), join, "s").first().result == "abz"
+    # A step on a long state taken once for each element would copy 10 ** 11 bytes here.
+    long = spark.range(0, 500_000, 1, 4).select(F.col("id").alias("idx"), F.col("id").cast("string").substr(-1, 1).alias("s"))
+    assert fold_in_levels(long, join, "s").first().result == "0123456789" * 50_000
