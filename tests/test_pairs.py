@@ -117,3 +117,14 @@ def test_fold_in_levels(spark):
     # A step on a long state taken once for each element would copy 10 ** 11 bytes here.
     long = spark.range(0, 500_000, 1, 4).select(F.col("id").alias("idx"), F.col("id").cast("string").substr(-1, 1).alias("s"))
     assert fold_in_levels(long, join, "s").first().result == "0123456789" * 50_000
+
+
+def test_sibling_sums(spark):
+    rng = random.Random(5)
+    for _ in range(1):
+        x, y = (IndexedFrame(some_list(spark, rng).df.dropDuplicates(["idx"]).localCheckpoint(), "idx") for _ in range(2))
+        p = x.product(y)
+        want = p.siblings((F.col("l_v") * F.col("r_v")).cast("long"), s=lambda v, di, dj: F.sum(v))
+        assert same(p.sibling_sums("s", F.col("l_v"), F.col("r_v")), want)
+    with pytest.raises(ValueError):
+        x.combination().sibling_sums("s", F.col("l_v"), F.col("r_v"))
