@@ -11,7 +11,7 @@ from rangeloom.operators.dots import TYPE as DOTS
 from rangeloom.operators.dots import dot_bounds
 from rangeloom.operators.grid import GridFrame, TiledGrid
 from rangeloom.operators.indexed import IndexedFrame
-from rangeloom.operators.product import Product
+from rangeloom.operators.product import EACH, Product, times
 from rangeloom.queries import money, query
 from rangeloom.queries.lists import suppliers, total_of
 from rangeloom.sources.tables import table
@@ -33,7 +33,7 @@ def product_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, CAST(sum(a.p_size * b.p_size) AS BIGINT) AS total FROM part a JOIN part b ON a.p_partkey < b.p_partkey")
 def product_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = parts(spark, sf_dir)
-    return x.combination().reduce(n=rows(), total=F.sum((F.col("l_p_size") * F.col("r_p_size")).cast("long")))
+    return x.combination().sums(n=EACH, total=times(F.col("l_p_size"), F.col("r_p_size")))
 
 
 @query("SELECT a.s_suppkey AS i, b.s_suppkey AS j, a.s_acctbal AS l_s_acctbal, b.s_acctbal AS r_s_acctbal FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
@@ -45,7 +45,7 @@ def combination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, CAST(sum(a.s_suppkey * 1000 + b.s_suppkey) AS BIGINT) AS total FROM supplier a JOIN supplier b ON b.s_suppkey >= a.s_suppkey + 1 - 3")
 def product_triangle_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = suppliers(spark, sf_dir)
-    return Product.triangle(x, x, shift=3).split(4, 3).reduce(n=rows(), total=F.sum(F.col("i") * 1000 + F.col("j")))
+    return Product.triangle(x, x, shift=3).split(4, 3).sums(n=EACH, total=times(F.col("i"), F.lit(1000)) + times(F.lit(1), F.col("j")))
 
 
 @query("SELECT a.s_suppkey AS i, count(*) AS n, max(b.s_acctbal) AS top FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey >= 5 AND a.s_suppkey < 60 GROUP BY 1")

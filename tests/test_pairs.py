@@ -128,3 +128,23 @@ def test_sibling_sums(spark):
         assert same(p.sibling_sums("s", F.col("l_v"), F.col("r_v")), want)
     with pytest.raises(ValueError):
         x.combination().sibling_sums("s", F.col("l_v"), F.col("r_v"))
+
+
+def test_sums(spark):
+    """With gaps, equal indices, nulls, shifts and tiles, against the pairs."""
+    f, g, both = F.col("l_v"), F.col("r_v"), (F.col("l_v") * F.col("r_v")).cast("long")
+    for p in some_products(spark):
+        sums = {"n": EACH, "t": times(f, g), "u": times(F.col("i"), F.lit(10)) + times(F.lit(1), F.col("j"))}
+        made = {"n": F.count(F.lit(1)), "t": F.sum(both), "u": F.sum(F.col("i") * 10 + F.col("j"))}
+        assert same(p.sums(**sums), p.reduce(**made))
+        assert same(p.sum_tiles(**sums), p.reduce_tiles(**made))
+        for how in ("block", "random"):
+            want = p.dealt(3, how, seed=2).groupBy("part").agg(*[c.alias(k) for k, c in made.items()])
+            assert same(p.sum_dealt(3, how, seed=2, **sums), want)
+
+
+def test_sums_of_many(spark):
+    n = 400_000
+    x = IndexedFrame.generate(spark, LongRange(0, n), v=F.lit(3))
+    row = x.combination().sums(n=EACH, total=times(F.col("l_v"), F.col("r_v"))).first()
+    assert (row.n, row.total) == (n * (n - 1) // 2, 9 * n * (n - 1) // 2)
