@@ -27,7 +27,7 @@ def parts(spark: SparkSession, sf_dir: str) -> IndexedFrame:
 
 @query("SELECT count(*) AS n, CAST(sum(s.s_suppkey * p.p_size) AS BIGINT) AS total FROM supplier s CROSS JOIN part p")
 def product_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).product(parts(spark, sf_dir)).reduce(n=rows(), total=F.sum(F.col("i") * F.col("r_p_size")))
+    return suppliers(spark, sf_dir).product(parts(spark, sf_dir)).sums(n=EACH, total=times(F.col("i"), F.col("r_p_size")))
 
 
 @query("SELECT count(*) AS n, CAST(sum(a.p_size * b.p_size) AS BIGINT) AS total FROM part a JOIN part b ON a.p_partkey < b.p_partkey")

@@ -148,3 +148,10 @@ def test_sums_of_many(spark):
     x = IndexedFrame.generate(spark, LongRange(0, n), v=F.lit(3))
     row = x.combination().sums(n=EACH, total=times(F.col("l_v"), F.col("r_v"))).first()
     assert (row.n, row.total) == (n * (n - 1) // 2, 9 * n * (n - 1) // 2)
+
+
+def test_sums_of_all_pairs(spark):
+    n, m = 60_000, 1_200_000
+    x, y = IndexedFrame.generate(spark, LongRange(0, n)), IndexedFrame.generate(spark, LongRange(0, m), v=F.lit(2))
+    row = x.product(y).sums(n=EACH, total=times(F.col("i"), F.col("r_v"))).first()
+    assert (row.n, row.total) == (n * m, n * (n - 1) * m)
