@@ -155,3 +155,14 @@ def test_sums_of_all_pairs(spark):
     x, y = IndexedFrame.generate(spark, LongRange(0, n)), IndexedFrame.generate(spark, LongRange(0, m), v=F.lit(2))
     row = x.product(y).sums(n=EACH, total=times(F.col("i"), F.col("r_v"))).first()
     assert (row.n, row.total) == (n * m, n * (n - 1) * m)
+
+
+def test_tasks_of_pairs_are_bounded(spark):
+    """However few tiles are asked for, pairs meet in tiles of work."""
+    from rangeloom.operators.product import TILE
+
+    n = 2 * TILE
+    p = IndexedFrame.generate(spark, LongRange(0, n)).combination().split(1, 1)
+    found = p.pairs().groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in found) == n * (n - 1) // 2
+    assert len(found) > 1 and max(r.n for r in found) < n * (n - 1) // 2
