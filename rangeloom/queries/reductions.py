@@ -169,9 +169,9 @@ def scatter_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) + coalesce((SELECT sum(CAST(b.s_acctbal AS DECIMAL(18,2))) FROM supplier b WHERE b.s_suppkey < a.s_suppkey), 0) AS DOUBLE) AS total
 FROM supplier a""")
 def accumulate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each value is sent to all larger indices and added there, through the triangle of pairs."""
+    """Each value is sent to all larger indices and added there, over the triangle of pairs."""
     x = suppliers(spark, sf_dir)
-    acc = x.combination().scatter((F.col("j"), money("l_s_acctbal")))
+    acc = x.combination().scatter_sums(inner=money("l_s_acctbal"))
     total = (money("s_acctbal") + F.coalesce(F.col("acc_delta"), F.lit(0))).cast("double")
     out = accept(x.map(s_acctbal=F.col("s_acctbal"), total=money("s_acctbal").cast("double")), acc, total=total)
     return out.df.select("s_suppkey", "total")

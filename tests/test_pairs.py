@@ -166,3 +166,9 @@ def test_tasks_of_pairs_are_bounded(spark):
     found = p.pairs().groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
     assert sum(r.n for r in found) == n * (n - 1) // 2
     assert len(found) > 1 and max(r.n for r in found) < n * (n - 1) // 2
+
+
+def test_scatter_sums(spark):
+    for p in some_products(spark):
+        assert same(p.scatter_sums(F.col("r_v"), F.col("l_v")), p.scatter((F.col("i"), F.col("r_v")), (F.col("j"), F.col("l_v"))))
+        assert same(p.scatter_sums(inner=F.col("l_v")), p.scatter((F.col("j"), F.col("l_v"))))
