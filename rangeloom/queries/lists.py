@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions.ranges import LongRange, chunk_order, null_safe_equals, range_intersection, ranges_overlap, slice_bounds
 from rangeloom.operators import rangeset
 from rangeloom.operators.indexed import IndexedFrame, prefix_sum
-from rangeloom.operators.interval import floor_join, range_join
+from rangeloom.operators.interval import covered, floor_join, range_join
 from rangeloom.operators.rangeset import RangeSet
 from rangeloom.operators.reduce import fold_in_levels, top_k
 from rangeloom.queries import money, query
@@ -257,8 +257,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in the ranges, of very different lengths, that returned lines make."""
     lines = bag(spark, sf_dir, "lineitem").df.where("l_returnflag = 'R'")
     stop = F.col("l_orderkey") + F.col("l_quantity").cast("long") + F.when(F.col("l_linenumber") == 7, F.lit(300)).otherwise(F.lit(0))
-    met = range_join(orders(spark, sf_dir).df.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("start"), stop.alias("stop")), "o_orderkey")
-    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("stop").alias("last"))
+    return covered(orders(spark, sf_dir).df.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("start"), stop.alias("stop")), "o_orderkey")
 
 
 @query(f"SELECT greatest(r.start, q.start) AS start, least(r.stop, q.stop) AS stop FROM {VALUES} JOIN {OTHER_VALUES} ON greatest(r.start, q.start) < least(r.stop, q.stop)")

@@ -172,3 +172,15 @@ def test_scatter_sums(spark):
     for p in some_products(spark):
         assert same(p.scatter_sums(F.col("r_v"), F.col("l_v")), p.scatter((F.col("i"), F.col("r_v")), (F.col("j"), F.col("l_v"))))
         assert same(p.scatter_sums(inner=F.col("l_v")), p.scatter((F.col("j"), F.col("l_v"))))
+
+
+def test_covered(spark):
+    from rangeloom.operators.interval import covered, range_join
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(rng.choice([None, *range(-50, 60)]),) for _ in range(150)], "idx long")
+    starts = [(rng.randrange(-70, 70), rng.choice([0, 1, 2, 9, 40, 100, -3])) for _ in range(80)] + [(10**14, 5), (-(10**15), 10**15 - 20)]
+    ranges = spark.createDataFrame([(a, a + k) for a, k in starts] + [(None, 3), (4, None)], "start long, stop long")
+    want = range_join(rows, ranges.where("start < stop")).groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.max("stop").alias("last"))
+    assert same(covered(rows, ranges), want)
+    assert covered(rows, ranges.where("false")).count() == 0 and covered(rows.where("false"), ranges).count() == 0
