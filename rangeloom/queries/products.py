@@ -63,7 +63,7 @@ WITH a AS (SELECT s_suppkey AS i, CAST(ntile(3) OVER (ORDER BY s_suppkey) - 1 AS
 SELECT ti, tj, count(*) AS n, CAST(sum(i * j) AS BIGINT) AS total FROM a JOIN b ON i < j GROUP BY ti, tj""")
 def product_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = suppliers(spark, sf_dir)
-    return x.combination().split(3, 5).reduce_tiles(n=rows(), total=F.sum(F.col("i") * F.col("j")))
+    return x.combination().split(3, 5).sum_tiles(n=EACH, total=times(F.col("i"), F.col("j")))
 
 
 @query("SELECT a.s_suppkey AS i, p_partkey AS j, a.s_acctbal AS balance, p_size AS size FROM supplier a CROSS JOIN part WHERE a.s_suppkey >= 3 AND a.s_suppkey < 9 AND p_partkey >= 10 AND p_partkey < 40")
