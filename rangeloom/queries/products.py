@@ -50,12 +50,12 @@ def product_triangle_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.s_suppkey AS i, count(*) AS n, max(b.s_acctbal) AS top FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey WHERE a.s_suppkey >= 5 AND a.s_suppkey < 60 GROUP BY 1")
 def product_per_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).combination().reduce_outer(LongRange(5, 60), n=rows(), top=F.max("r_s_acctbal"))
+    return suppliers(spark, sf_dir).combination().scan_outer(LongRange(5, 60), n=("count", F.lit(1)), top=("max", F.col("r_s_acctbal")))
 
 
 @query("SELECT b.s_suppkey AS j, count(*) AS n, min(a.s_acctbal) AS low FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey GROUP BY 1")
 def product_per_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppliers(spark, sf_dir).combination().reduce_inner(n=rows(), low=F.min("l_s_acctbal"))
+    return suppliers(spark, sf_dir).combination().scan_inner(n=("count", F.lit(1)), low=("min", F.col("l_s_acctbal")))
 
 
 @query("""

@@ -184,3 +184,13 @@ def test_covered(spark):
     want = range_join(rows, ranges.where("start < stop")).groupBy("idx").agg(F.count(F.lit(1)).alias("n"), F.max("stop").alias("last"))
     assert same(covered(rows, ranges), want)
     assert covered(rows, ranges.where("false")).count() == 0 and covered(rows.where("false"), ranges).count() == 0
+
+
+def test_scans_of_partners(spark):
+    for k, p in enumerate([*some_products(spark)][1:3]):
+        for within in (LongRange(-9, 9) if k else None,):
+            v, w = F.col("l_v"), F.col("r_v")
+            got = p.scan_inner(within, n=("count", F.lit(1)), c=("count", v), s=("sum", v), low=("min", v), top=("max", v))
+            assert same(got, p.reduce_inner(within, n=F.count(F.lit(1)), c=F.count(v), s=F.sum(v), low=F.min(v), top=F.max(v)))
+            got = p.scan_outer(within, n=("count", F.lit(1)), c=("count", w), s=("sum", w), low=("min", w), top=("max", w))
+            assert same(got, p.reduce_outer(within, n=F.count(F.lit(1)), c=F.count(w), s=F.sum(w), low=F.min(w), top=F.max(w)))
