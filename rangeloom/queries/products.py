@@ -89,7 +89,7 @@ def product_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT how, CAST((SELECT count(*) * (count(*) - 1) // 2 FROM supplier) AS BIGINT) AS n FROM (VALUES ('block'), ('cyclic'), ('random')) t(how)")
 def product_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = suppliers(spark, sf_dir).combination().split(4, 4)
-    each = [p.dealt(3, how, seed=42).groupBy("part").agg(rows().alias("n")).agg(F.lit(how).alias("how"), F.sum("n").alias("n")) for how in ("block", "cyclic", "random")]
+    each = [p.sum_dealt(3, how, seed=42, n=EACH).agg(F.lit(how).alias("how"), F.sum("n").alias("n")) for how in ("block", "cyclic", "random")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
