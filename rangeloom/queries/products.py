@@ -112,7 +112,7 @@ SELECT s_suppkey, s_nationkey + (SELECT CAST(sum(v) AS BIGINT) FROM d WHERE idx
 def scatter_pairs_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pair interactions do: each pair adds to both of its elements."""
     x = IndexedFrame(suppliers(spark, sf_dir).df.select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey")), "s_suppkey")
-    acc = x.combination().split(3, 3).scatter((F.col("i"), F.col("r_s_nationkey")), (F.col("j"), F.col("l_s_nationkey")))
+    acc = x.combination().split(3, 3).scatter_sums(F.col("r_s_nationkey"), F.col("l_s_nationkey"))
     return accept(x.map(s_nationkey=F.col("s_nationkey"), force=F.col("s_nationkey")), acc, force=F.col("s_nationkey") + F.col("acc_delta")).df.select("s_suppkey", "force")
 
 
