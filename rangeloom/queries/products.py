@@ -273,6 +273,6 @@ def accumulator_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of scatter and gather: what is sent in the second begins from nothing again."""
     x = IndexedFrame(suppliers(spark, sf_dir).df.select("s_suppkey", F.col("s_nationkey").cast("long").alias("n"), F.lit(0).cast("long").alias("force")), "s_suppkey")
     for _ in range(2):
-        acc = x.combination().split(2, 2).scatter((F.col("i"), F.col("r_n")), (F.col("j"), F.col("l_n")))
+        acc = x.combination().split(2, 2).scatter_sums(F.col("r_n"), F.col("l_n"))
         x = accept(x, acc, force=F.col("force") + F.col("acc_delta"))
     return x.df.select("s_suppkey", "force")
